@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontaminate
+from folioflow.llm import decontaminate, mixing
 
-QUERIES = {"op1_decontaminate": decontaminate.op1}
+QUERIES = {"op1_decontaminate": decontaminate.op1, "op3_mix_sources": mixing.op3}
 SQL: dict[str, str] = {}
