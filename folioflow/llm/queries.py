@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import decontaminate, mixing, sstable
+from folioflow.llm import decontaminate, mixing, quality, sstable
 
-QUERIES = {"op1_decontaminate": decontaminate.op1, "op3_mix_sources": mixing.op3, "op8_token_sstable": sstable.op8}
+QUERIES = {"op1_decontaminate": decontaminate.op1, "op3_mix_sources": mixing.op3, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9}
 SQL: dict[str, str] = {}
