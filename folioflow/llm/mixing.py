@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from folioflow.session import cut, importable
 
-MAX_PATTERNS = 100_000
+MAX_PATTERNS = 100_000  # also bounds what is broadcast
 WORDS = r"[^\x20\x09-\x0D]+"
 SEED = 20240607
 BITS, LEVELS = 8, 3
@@ -141,7 +141,7 @@ def mix(docs: DataFrame, members: Column, text: str = "text", key: str = "doc_id
             break
         shift = BITS * (LEVELS - level)
         here = spark.createDataFrame([(p, t) for p, t in live.items()], "p string, top long")
-        cells = small.join(here, "p").where(F.shiftright("c", shift + BITS) == F.col("top"))
+        cells = small.join(F.broadcast(here), "p").where(F.shiftright("c", shift + BITS) == F.col("top"))
         got: dict[str, dict[int, int]] = {}
         for row in cells.groupBy("p", F.shiftright("c", shift).alias("k")).agg(F.sum("n").alias("n")).collect():
             got.setdefault(row.p, {})[row.k] = row.n
@@ -158,7 +158,7 @@ def mix(docs: DataFrame, members: Column, text: str = "text", key: str = "doc_id
     by = [(r.p, plan[r.p][0], plan[r.p][2] if plan[r.p][1] else 0, plan[r.p][4] if plan[r.p][1] else 0.0, json.dumps({json.dumps(x): sizes[names.index(x)] for x in json.loads(r.p)}), json.dumps({json.dumps(x): quota[x] for x in json.loads(r.p)})) for r in found]
     table = spark.createDataFrame(by, "_p string, _often long, _under long, _f double, _s string, _t string")
     own = docs.select("*", pattern.alias("_p"), size.alias("_size"), cell.alias("_c"))
-    return own.join(table, "_p", "left").select(
+    return own.join(F.broadcast(table), "_p", "left").select(
         *docs.columns,
         "_size",
         F.from_json("_s", "map<string,long>").alias("_source_size"),
