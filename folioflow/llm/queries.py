@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folioflow.llm import chat, decontaminate, language, minhash, mixing, neighbours, quality, sstable, suffixes
+from folioflow.llm import chat, decontaminate, language, minhash, mixing, neighbours, phrases, quality, sstable, suffixes
 
-QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_suffix_dedup": suffixes.op2, "op3_mix_sources": mixing.op3, "op4_language_id": language.op4, "op5_neighbours": neighbours.op5, "op6_chat_format": chat.op6, "op10_minhash": minhash.op10, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9}
+QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_suffix_dedup": suffixes.op2, "op3_mix_sources": mixing.op3, "op4_language_id": language.op4, "op5_neighbours": neighbours.op5, "op6_chat_format": chat.op6, "op10_minhash": minhash.op10, "op7_phrase_dedup": phrases.op7, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9}
 SQL: dict[str, str] = {}
