@@ -13,8 +13,6 @@ passes over the texts, whose spans are merged per row.
 
 from __future__ import annotations
 
-import hashlib
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -290,7 +288,7 @@ def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col
         F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
         F.flatten(F.collect_set(F.arrays_zip("from_byte", "to_byte"))).alias("_spans"),
     )
-    spans = _merge_spans(merged).withColumn("_r", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(blocks)).cast("int"))))
+    spans = _merge_spans(merged, text_col).withColumn("_r", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(blocks)).cast("int"))))
     return spans.select(*names, "n_words", "n_hit", "items", "from_byte", "to_byte")
 
 
@@ -298,7 +296,7 @@ def list_or_one(blocks) -> list:
     return list(blocks) or [[]]
 
 
-def _merge_spans(df: DataFrame) -> DataFrame:
+def _merge_spans(df: DataFrame, text_col: str) -> DataFrame:
     """Spans of several passes as one sorted union, with the hit words counted anew from the text."""
     import pandas as pd
 
@@ -312,37 +310,41 @@ def _merge_spans(df: DataFrame) -> DataFrame:
             rows.append((int((np.searchsorted(starts, b) - np.searchsorted(starts, a)).sum()), a.tolist(), b.tolist()))
         return pd.DataFrame(rows, columns=["n_hit", "from_byte", "to_byte"])
 
-    return df.withColumn("_u", union("text", "_spans")).select("*", "_u.n_hit", "_u.from_byte", "_u.to_byte")
+    return df.withColumn("_u", union(F.col(f"`{text_col}`"), F.col("_spans"))).select("*", "_u.n_hit", "_u.from_byte", "_u.to_byte")
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
-    """docs with all merged spans cut out of their texts; texts without a hit, null and empty ones are unchanged."""
+    """docs with all merged spans cut out of their texts; texts without a hit, null and empty ones are unchanged.
+
+    A document all of whose words are hit goes. Columns of any names stay as they are.
+    """
     importable(docs.sparkSession)
-    names = docs.columns
-    found = find(docs, benchmark, text_col, **options)
-    schema = docs.schema
+    schema, titles = docs.schema, docs.columns
+    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
+    names = plain.columns
+    own = f"_{docs.columns.index(text_col)}"
+    found = find(plain, benchmark, own, **options).where("n_hit = 0 or n_hit < n_words")
 
     def cut(batches):
         for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
-            a, b = (batch.column(batch.schema.get_field_index(c)).to_pylist() for c in ("from_byte", "to_byte"))
-            for k, spans in enumerate(a):
-                if spans:
-                    raw, at, out = texts[k].encode(), 0, []
-                    for s, e in zip(spans, b[k], strict=True):
+            texts = batch.column(batch.schema.get_field_index(own))
+            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("from_byte", "to_byte"))
+            hit = np.flatnonzero(a.value_lengths().to_numpy())
+            if len(hit):
+                new = texts.to_pylist()
+                for k in hit.tolist():
+                    raw, at, out = new[k].encode(), 0, []
+                    for s, e in zip(a[k].as_py(), b[k].as_py(), strict=True):
                         out.append(raw[at:s])
                         at = e
-                    texts[k] = b"".join([*out, raw[at:]]).decode()
-            cols = [pa.array(texts, pa.string()) if c == text_col else batch.column(batch.schema.get_field_index(c)) for c in names]
-            yield pa.RecordBatch.from_arrays(cols, names=names)
+                    new[k] = b"".join([*out, raw[at:]]).decode()
+                texts = pa.array(new, pa.string())
+            cols = [texts if n == own else batch.column(batch.schema.get_field_index(n)) for n in names]
+            yield pa.RecordBatch.from_arrays(cols, names=titles)
 
     return found.mapInArrow(cut, schema)
 
 
-def digest(items: list[int]) -> str:
-    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
-
-
 def op1(spark, sf_dir: str) -> DataFrame:
     """Contract query: whole documents against whole benchmark."""
     from folioflow.sources.tables import table
