@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from folioflow.plans import history_queries
+
+TOPICS = (history_queries,)
+
 
 def flagship(spark, sf_dir):
     return spark.read.parquet(f"{sf_dir}/documents.parquet")
 
 
 def queries():
-    return {}
+    return {name: f for topic in TOPICS for name, f in topic.Q.items()}
 
 
 def oracle_sql():
-    return {}
+    return {name: sql for topic in TOPICS for name, sql in topic.S.items()}
