@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from folioflow.plans import history_queries
+from folioflow.plans import history_queries, retrieval_queries
 
-TOPICS = (history_queries,)
+TOPICS = (history_queries, retrieval_queries)
 
 
 def flagship(spark, sf_dir):
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    return retrieval_queries.Q["RET6_hybrid_search"](spark, sf_dir)
 
 
 def queries():
