@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from folioflow.plans import history_queries, relational_queries, retrieval_queries, text_queries
+from folioflow.plans import history_queries, relational_queries, retrieval_queries, stream_queries, text_queries
 
-TOPICS = (history_queries, retrieval_queries, relational_queries, text_queries)
+TOPICS = (history_queries, retrieval_queries, relational_queries, text_queries, stream_queries)
 
 
 def flagship(spark, sf_dir):
