@@ -118,48 +118,45 @@ def train(x: np.ndarray, held: np.ndarray, y: np.ndarray, labels: int, seed: int
 
 
 def label_positions(p: dict, x: np.ndarray, held: np.ndarray) -> np.ndarray:
-    """For each segment, the sum over its positions of their label probabilities."""
+    """For each segment, the sum over its positions of their label probabilities. Features are rows here, segments columns."""
     h, k = HIDDEN, len(p["bias"])
     out = np.zeros((x.shape[1], k), np.float32)
-    half = {d: (p[f"in_{d}"] * np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32), p[f"rec_{d}"] * np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)) for d in "fb"}
+    half = np.r_[np.full(2 * h, 0.5), np.ones(h)].astype(np.float32)[:, None]  # a sigmoid is a tanh of half the sum
+    weights = {d: (np.ascontiguousarray(p[f"in_{d}"].T * half), np.ascontiguousarray(p[f"rec_{d}"].T * half), p[f"cand_{d}"][:, None]) for d in "fb"}
     order = np.argsort(-held, kind="stable")
     for i in range(0, x.shape[1], LANES):
         pick = order[i : i + LANES]
         xb, n = np.ascontiguousarray(x[:, pick]), held[pick]
         top = int(n[0])
         live = np.searchsorted(-n, -np.arange(1, top + 1), "right")  # segments that reach each position: the first so many
-        logits = np.empty((top, len(pick), k), np.float32)
-        for d, weights in (("f", p["out"][:h]), ("b", p["out"][h:])):
-            table, rec_w = half[d]
-            cand = p[f"cand_{d}"]
-            s = np.zeros((len(pick), h), np.float32)
+        logits = np.zeros((top, k, len(pick)), np.float32)
+        for d, to in (("f", p["out"][:h].T), ("b", p["out"][h:].T)):
+            table, rec_w, cand = weights[d]
+            s = np.zeros((h, len(pick)), np.float32)
             for t in range(top) if d == "f" else range(top - 1, -1, -1):
                 w = live[t]
-                own = s[:w]
-                gates, rec = table[xb[t, :w]], own @ rec_w
-                zr = gates[:, : 2 * h]
-                zr += rec[:, : 2 * h]
+                own = s[:, :w] if w < s.shape[1] else s
+                gates = table.take(xb[t, :w], axis=1)
+                rec = rec_w @ own
+                zr = gates[: 2 * h]
+                zr += rec[: 2 * h]
                 np.tanh(zr, out=zr)
                 zr *= 0.5
                 zr += 0.5
-                c = rec[:, 2 * h :]
+                c = rec[2 * h :]
                 c += cand
-                c *= zr[:, h:]
-                c += gates[:, 2 * h :]
+                c *= zr[h:]
+                c += gates[2 * h :]
                 np.tanh(c, out=c)
                 own -= c
-                own *= zr[:, :h]
+                own *= zr[:h]
                 own += c
-                if d == "f":
-                    np.matmul(own, weights, out=logits[t, :w])
-                else:
-                    logits[t, :w] += own @ weights
-        logits += p["bias"]
-        logits -= logits.max(2, keepdims=True)
+                logits[t, :, :w] += to @ own
+        logits += p["bias"][:, None]
+        logits -= logits.max(1, keepdims=True)
         np.exp(logits, out=logits)
-        logits /= logits.sum(2, keepdims=True)
-        logits *= (np.arange(top)[:, None] < n[None, :])[:, :, None]
-        out[pick] = logits.sum(0)
+        logits *= (np.arange(top)[:, None] < n[None, :])[:, None, :] / logits.sum(1, keepdims=True)
+        out[pick] = logits.sum(0).T
     return out
 
 
@@ -170,12 +167,17 @@ class Identifier:
         importable(docs.sparkSession)
         order = F.xxhash64(F.lit(4), key)
         place = F.lit(1) + F.pmod(F.xxhash64(F.lit(6), key), F.greatest(F.lit(1), F.length(text) - chars + 1))
-        rows = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(F.substring(F.col(text), place.cast("int"), F.lit(chars)).alias("t"), F.col(lang).alias("l"), order.alias("h"))
+        real = docs.where(F.col(lang).isNotNull() & F.col(text).rlike(LETTER)).select(F.col(lang).alias("l"), order.alias("h"), F.col(text).alias("t"), place.cast("int").alias("p"))
+        counts = real.groupBy("l").agg(F.count(F.lit(1)).alias("n")).limit(MAX_LANGUAGES + 1).collect()
+        if len(counts) > MAX_LANGUAGES:
+            raise ValueError(f"more than {MAX_LANGUAGES} languages")
+        # about twice the wanted rows pass by their hash; of them the window takes the first
+        share = {r.l: int(min(1.0, (2 * per_language + 50) / r.n) * (1 << 30)) for r in counts}
+        passed = F.create_map(*[F.lit(x) for kv in share.items() for x in kv])[F.col("l")] if share else F.lit(0)
+        rows = real.where(F.shiftrightunsigned("h", 34) < passed).select(F.substring(F.col("t"), F.col("p"), F.lit(chars)).alias("t"), "l", "h")
         first = rows.withColumn("n", F.row_number().over(Window.partitionBy("l").orderBy("h", "t"))).where(F.col("n") <= per_language)
         got = sorted(first.select("t", "l", "h").collect(), key=lambda r: (r.l, r.h, r.t))
         self.labels = sorted({r.l for r in got})
-        if len(self.labels) > MAX_LANGUAGES:
-            raise ValueError(f"more than {MAX_LANGUAGES} languages")
         if len(self.labels) > 1:
             data, at = ts.flat(pa.array([r.t for r in got], pa.string()))
             x, held, first_of = segments(data, at)
