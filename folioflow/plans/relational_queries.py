@@ -15,18 +15,21 @@ from folioflow.sources.tables import table
 
 Q: dict = {}
 S: dict[str, str] = {}
-N = F.count(F.lit(1))
 NOW = 1709337600000000  # 2024-03-02
 
 
+def count_all() -> F.Column:
+    return F.count(F.lit(1))
+
+
 def add(name: str, query, sql: str | None = None) -> None:
     Q[name] = query
     if sql:
         S[name] = sql
 
 
-add("J1_star_join", lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(N.alias("n")), "SELECT n_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
-add("J3_term_star_join", lambda s, d: B.chunks(s, d).select("project", "doc_type", F.explode(X.tokens(F.col("content"))).alias("token")).groupBy("project", "doc_type").agg(N.alias("tokens"), F.countDistinct("token").alias("terms")), f"WITH {B.CHUNKS} SELECT project, doc_type, count(*) AS tokens, count(DISTINCT token) AS terms FROM (SELECT project, doc_type, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM chunks) GROUP BY project, doc_type")
+add("J1_star_join", lambda s, d: table(s, d, "lineitem").join(table(s, d, "orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(table(s, d, "customer"), F.col("o_custkey") == F.col("c_custkey")).join(table(s, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("n_name").agg(count_all().alias("n")), "SELECT n_name, count(*) AS n FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY n_name")
+add("J3_term_star_join", lambda s, d: B.chunks(s, d).select("project", "doc_type", F.explode(X.tokens(F.col("content"))).alias("token")).groupBy("project", "doc_type").agg(count_all().alias("tokens"), F.countDistinct("token").alias("terms")), f"WITH {B.CHUNKS} SELECT project, doc_type, count(*) AS tokens, count(DISTINCT token) AS terms FROM (SELECT project, doc_type, unnest(regexp_extract_all(lower(content), '[\\p{{L}}\\p{{N}}_]+')) AS token FROM chunks) GROUP BY project, doc_type")
 
 
 def _links(s, d):
@@ -59,16 +62,16 @@ SESSIONS = "sess AS (SELECT user_id, epoch_us(min(ts) FILTER (WHERE event_type =
 def _range(s, d):
     e = table(s, d, "events").select("user_id", "event_id", B.micros("ts").alias("t"))
     inside = (F.col("t") >= F.col("started")) & (F.col("ended").isNull() | (F.col("t") <= F.col("ended")))
-    return _sessions(s, d).join(e, "user_id").where(inside).groupBy("user_id").agg(N.alias("n"), F.max("event_id").alias("last"))
+    return _sessions(s, d).join(e, "user_id").where(inside).groupBy("user_id").agg(count_all().alias("n"), F.max("event_id").alias("last"))
 
 
 RANGE = f"WITH {SESSIONS} SELECT s.user_id, count(*) AS n, max(event_id) AS last FROM sess s JOIN events e ON e.user_id = s.user_id AND epoch_us(ts) >= started AND (ended IS NULL OR epoch_us(ts) <= ended) GROUP BY s.user_id"
 add("J9_range_join", _range, RANGE)
 add("FLT12_session_audit_window", _range, RANGE)
-add("J11_left_join_counts", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(N.alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders")), "SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
+add("J11_left_join_counts", lambda s, d: table(s, d, "customer").join(table(s, d, "orders").groupBy(F.col("o_custkey").alias("c_custkey")).agg(count_all().alias("n")), "c_custkey", "left").select("c_custkey", F.coalesce("n", F.lit(0)).alias("orders")), "SELECT c_custkey, coalesce(n, 0) AS orders FROM customer LEFT JOIN (SELECT o_custkey, count(*) AS n FROM orders GROUP BY o_custkey) ON c_custkey = o_custkey")
 add("J12_left_join_group", lambda s, d: table(s, d, "orders").join(table(s, d, "lineitem").where("l_returnflag = 'R'"), F.col("o_orderkey") == F.col("l_orderkey"), "left").groupBy("o_orderkey").agg(F.count("l_linenumber").alias("members")), "SELECT o_orderkey, count(l_linenumber) AS members FROM orders LEFT JOIN lineitem ON o_orderkey = l_orderkey AND l_returnflag = 'R' GROUP BY o_orderkey")
 add("AGG15_collection_members", Q["J12_left_join_group"], S["J12_left_join_group"])
-add("J13_scalar_subquery", lambda s, d: table(s, d, "nation").join(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(N.alias("k")), "n_nationkey", "left").select("n_name", F.coalesce("k", F.lit(0)).alias("customers")), "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation")
+add("J13_scalar_subquery", lambda s, d: table(s, d, "nation").join(table(s, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(count_all().alias("k")), "n_nationkey", "left").select("n_name", F.coalesce("k", F.lit(0)).alias("customers")), "SELECT n_name, (SELECT count(*) FROM customer WHERE c_nationkey = n_nationkey) AS customers FROM nation")
 add("J14_model_run_counts", lambda s, d: s.range(0, 12).select(F.col("id").cast("int").alias("label")).join(table(s, d, "embeddings"), "label", "left").groupBy("label").agg(F.count("vec_id").alias("n")), "SELECT CAST(r AS INTEGER) AS label, count(vec_id) AS n FROM range(12) t(r) LEFT JOIN embeddings ON label = r GROUP BY r")
 add("AGG14_embedding_stats", Q["J14_model_run_counts"], S["J14_model_run_counts"])
 
@@ -82,7 +85,7 @@ def _trace(s, d):
 
 TRACE = "r AS (SELECT DISTINCT doc_id AS requirement_id, CASE WHEN doc_id % 50 <> 0 THEN doc_id % 90 END AS version FROM labels), dec AS (SELECT item_id AS decision_id, item_id % 90 AS version, item_id % 20 AS document FROM benchmark), li AS (SELECT n_nationkey AS version, n_regionkey AS document FROM nation), tr AS (SELECT DISTINCT requirement_id, decision_id FROM r JOIN dec ON r.version IS NULL OR r.version = dec.version OR EXISTS (SELECT 1 FROM li WHERE li.version = r.version AND li.document = dec.document))"
 add("J15_or_join", _trace, f"WITH {TRACE} SELECT requirement_id, decision_id FROM tr")
-add("GRF2_traceability", lambda s, d: _trace(s, d).groupBy("requirement_id").agg(N.alias("decisions"), F.array_join(F.transform(F.sort_array(F.collect_set("decision_id")), lambda x: x.cast("string")), ",").alias("chain")), f"WITH {TRACE} SELECT requirement_id, count(*) AS decisions, string_agg(CAST(decision_id AS VARCHAR), ',' ORDER BY decision_id) AS chain FROM tr GROUP BY requirement_id")
+add("GRF2_traceability", lambda s, d: _trace(s, d).groupBy("requirement_id").agg(count_all().alias("decisions"), F.array_join(F.transform(F.sort_array(F.collect_set("decision_id")), lambda x: x.cast("string")), ",").alias("chain")), f"WITH {TRACE} SELECT requirement_id, count(*) AS decisions, string_agg(CAST(decision_id AS VARCHAR), ',' ORDER BY decision_id) AS chain FROM tr GROUP BY requirement_id")
 
 
 def _overlap(s, d):
@@ -110,12 +113,12 @@ add("J21_source_info", lambda s, d: table(s, d, "labels").join(table(s, d, "docu
 add("AGG5_jobs_pivot", lambda s, d: D.pivoted(_jobs(s, d), "priority"), f"WITH {JOBS} SELECT priority, count(*) FILTER (WHERE status = 'queued') AS queued, count(*) FILTER (WHERE status = 'running') AS running, count(*) FILTER (WHERE status = 'completed') AS completed, 0::BIGINT AS failed, 0::BIGINT AS skipped, count(*) AS total FROM jobs GROUP BY priority")
 add("TOP6_job_pick", lambda s, d: _jobs(s, d).where("status = 'queued'").orderBy("priority", "created", "o_orderkey").limit(1), f"WITH {JOBS} SELECT * FROM jobs WHERE status = 'queued' ORDER BY priority, created, o_orderkey LIMIT 1")
 add("AGG3_mention_counts", lambda s, d: table(s, d, "part").join(table(s, d, "lineitem"), F.col("p_partkey") == F.col("l_partkey"), "left").groupBy("p_partkey").agg(F.count("l_orderkey").alias("mentions")), "SELECT p_partkey, count(l_orderkey) AS mentions FROM part LEFT JOIN lineitem ON p_partkey = l_partkey GROUP BY p_partkey")
-add("AGG4_pending_candidates", lambda s, d: table(s, d, "orders").select("o_orderstatus").where("o_orderstatus = 'P'").unionByName(table(s, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_linestatus").alias("o_orderstatus"))).agg(N.alias("pending")), "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') + (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS pending")
-add("AGG6_conditional_count", lambda s, d: table(s, d, "events").groupBy("user_id").agg(N.alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")), "SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
+add("AGG4_pending_candidates", lambda s, d: table(s, d, "orders").select("o_orderstatus").where("o_orderstatus = 'P'").unionByName(table(s, d, "lineitem").where("l_linestatus = 'O'").select(F.col("l_linestatus").alias("o_orderstatus"))).agg(count_all().alias("pending")), "SELECT (SELECT count(*) FROM orders WHERE o_orderstatus = 'P') + (SELECT count(*) FROM lineitem WHERE l_linestatus = 'O') AS pending")
+add("AGG6_conditional_count", lambda s, d: table(s, d, "events").groupBy("user_id").agg(count_all().alias("n"), F.count_if(F.col("event_type") == "error").alias("errors")), "SELECT user_id, count(*) AS n, count(CASE WHEN event_type = 'error' THEN 1 END) AS errors FROM events GROUP BY user_id")
 CUT = 1706486400000000
-add("AGG7_hook_counts", lambda s, d: table(s, d, "events").where(B.micros("ts") >= CUT).groupBy("user_id", "event_type").agg(N.alias("n")), f"SELECT user_id, event_type, count(*) AS n FROM events WHERE epoch_us(ts) >= {CUT} GROUP BY ALL")
+add("AGG7_hook_counts", lambda s, d: table(s, d, "events").where(B.micros("ts") >= CUT).groupBy("user_id", "event_type").agg(count_all().alias("n")), f"SELECT user_id, event_type, count(*) AS n FROM events WHERE epoch_us(ts) >= {CUT} GROUP BY ALL")
 add("FLT11_recency", lambda s, d: table(s, d, "events").where(B.micros("ts") >= CUT).select("event_id", "user_id"), f"SELECT event_id, user_id FROM events WHERE epoch_us(ts) >= {CUT}")
-add("AGG8_deltas_per_session", lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(N.alias("deltas")), "SELECT conv_id, count(*) AS deltas FROM conversations GROUP BY conv_id")
+add("AGG8_deltas_per_session", lambda s, d: table(s, d, "conversations").groupBy("conv_id").agg(count_all().alias("deltas")), "SELECT conv_id, count(*) AS deltas FROM conversations GROUP BY conv_id")
 add("AGG9_flush_summary", lambda s, d: D.flush_summary(table(s, d, "events").select("user_id", "event_id", "event_type", "props"), "user_id", "event_id", "event_type", "props").select("user_id", "event_type", "n", F.array_join("values", "|").alias("first")), "WITH f AS (SELECT user_id, event_type, props, min(event_id) AS s, count(*) AS c FROM events GROUP BY ALL) SELECT user_id, event_type, CAST(sum(c) AS BIGINT) AS n, array_to_string(list(props ORDER BY s)[1:10], '|') AS first FROM f GROUP BY user_id, event_type")
 add("AGG10_dirty_counters", lambda s, d: D.counters(table(s, d, "events"), "user_id", "event_type").select("user_id", F.array_join(F.transform(F.map_entries("counts"), lambda e: F.concat_ws("=", e.key, e.value.cast("string"))), ",").alias("counts")), "WITH c AS (SELECT user_id, event_type, count(*) AS n FROM events GROUP BY ALL) SELECT user_id, string_agg(event_type || '=' || n, ',' ORDER BY event_type) AS counts FROM c GROUP BY user_id")
 add("FLT9_contains", lambda s, d: table(s, d, "part").where(F.col("p_name").ilike("%ED%") | F.col("p_type").ilike("%BRASS%")).select("p_partkey", "p_name"), "SELECT p_partkey, p_name FROM part WHERE p_name ILIKE '%ED%' OR p_type ILIKE '%BRASS%'")
@@ -133,10 +136,10 @@ def _edges(s, d):
 
 EDGES = "edges AS (SELECT DISTINCT l_suppkey AS source, l_partkey AS target FROM lineitem)"
 add("SET1_union_endpoints", lambda s, d: G.endpoints(_edges(s, d)), f"WITH {EDGES} SELECT source AS node FROM edges UNION SELECT target FROM edges")
-add("SET6_edges_both_ways", lambda s, d: G.both_ways(_edges(s, d)).groupBy("node", "direction").agg(N.alias("n")), f"WITH {EDGES} SELECT node, direction, count(*) AS n FROM (SELECT source AS node, 'outgoing' AS direction FROM edges UNION ALL SELECT target, 'incoming' FROM edges) GROUP BY ALL")
+add("SET6_edges_both_ways", lambda s, d: G.both_ways(_edges(s, d)).groupBy("node", "direction").agg(count_all().alias("n")), f"WITH {EDGES} SELECT node, direction, count(*) AS n FROM (SELECT source AS node, 'outgoing' AS direction FROM edges UNION ALL SELECT target, 'incoming' FROM edges) GROUP BY ALL")
 add("GRF1_entity_detail", lambda s, d: table(s, d, "supplier").select(F.col("s_suppkey").alias("node"), "s_name").join(G.both_ways(_edges(s, d)), "node").groupBy("node", "s_name").agg(F.count_if(F.col("direction") == "incoming").alias("incoming"), F.count_if(F.col("direction") == "outgoing").alias("outgoing"), F.max("other").alias("last")), f"WITH {EDGES}, b AS (SELECT source AS node, target AS other, 1 AS o FROM edges UNION ALL SELECT target, source, 0 FROM edges) SELECT s_suppkey AS node, s_name, count(*) FILTER (WHERE o = 0) AS incoming, count(*) FILTER (WHERE o = 1) AS outgoing, max(other) AS last FROM supplier JOIN b ON node = s_suppkey GROUP BY ALL")
 add("GRF3_link_list", lambda s, d: _links(s, d).join(table(s, d, "pages").select("page_id", "url"), "page_id").orderBy(F.desc("page_id"), "target").limit(50).select("page_id", "url", "target"), f"WITH {LINKS} SELECT links.page_id, url, target FROM links JOIN pages ON pages.page_id = links.page_id ORDER BY links.page_id DESC, target LIMIT 50")
-add("SET2_union_all", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("kind")).unionByName(table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"))).groupBy("nation", "kind").agg(N.alias("n")), "SELECT nation, kind, count(*) AS n FROM (SELECT c_nationkey AS nation, 'customer' AS kind FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) GROUP BY ALL")
+add("SET2_union_all", lambda s, d: table(s, d, "customer").select(F.col("c_nationkey").alias("nation"), F.lit("customer").alias("kind")).unionByName(table(s, d, "supplier").select(F.col("s_nationkey").alias("nation"), F.lit("supplier").alias("kind"))).groupBy("nation", "kind").agg(count_all().alias("n")), "SELECT nation, kind, count(*) AS n FROM (SELECT c_nationkey AS nation, 'customer' AS kind FROM customer UNION ALL SELECT s_nationkey, 'supplier' FROM supplier) GROUP BY ALL")
 add("SET3_orphans", lambda s, d: table(s, d, "part").select(F.col("p_partkey").alias("blob")).subtract(table(s, d, "lineitem").where("l_quantity > 40").select(F.col("l_partkey").alias("blob"))), "SELECT p_partkey AS blob FROM part EXCEPT SELECT l_partkey FROM lineitem WHERE l_quantity > 40")
 add("VER13_orphan_blobs", Q["SET3_orphans"], S["SET3_orphans"])
 add("SET4_intersection", lambda s, d: table(s, d, "orders").groupBy("o_custkey").agg(F.collect_set("o_orderpriority").alias("p")).select("o_custkey", F.size(F.array_intersect("p", F.array(F.lit("1-URGENT"), F.lit("2-HIGH")))).cast("long").alias("hits")), "SELECT o_custkey, count(DISTINCT o_orderpriority) FILTER (WHERE o_orderpriority IN ('1-URGENT', '2-HIGH')) AS hits FROM orders GROUP BY o_custkey")
@@ -151,8 +154,8 @@ def _integrity(s, d):
 
 
 add("VER8_integrity_findings", _integrity, "SELECT doc_id, 'hash_mismatch' AS finding FROM documents WHERE n_chars <> length(text) UNION ALL SELECT DISTINCT doc_id, 'missing_file' FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents) UNION ALL SELECT doc_id, 'orphan' FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-add("AGG17_stale_chunks", lambda s, d: B.saves(s, d).join(H.current(B.saves(s, d)).select("document_id", F.col("version_id").alias("head")), "document_id").where("version_id <> head").agg(N.alias("stale")), f"WITH {B.SAVES}, h AS (SELECT document_id, arg_max(version_id, (valid_from, version_id)) AS head FROM saves GROUP BY document_id) SELECT count(*) AS stale FROM saves JOIN h USING (document_id) WHERE version_id <> head")
-add("AGG18_chunk_batches", lambda s, d: B.chunks(s, d).agg(N.alias("chunks"), F.ceil(N / 64).alias("batches")), f"WITH {B.CHUNKS} SELECT count(*) AS chunks, CAST(ceil(count(*) / 64) AS BIGINT) AS batches FROM chunks")
+add("AGG17_stale_chunks", lambda s, d: B.saves(s, d).join(H.current(B.saves(s, d)).select("document_id", F.col("version_id").alias("head")), "document_id").where("version_id <> head").agg(count_all().alias("stale")), f"WITH {B.SAVES}, h AS (SELECT document_id, arg_max(version_id, (valid_from, version_id)) AS head FROM saves GROUP BY document_id) SELECT count(*) AS stale FROM saves JOIN h USING (document_id) WHERE version_id <> head")
+add("AGG18_chunk_batches", lambda s, d: B.chunks(s, d).agg(count_all().alias("chunks"), F.ceil(count_all() / 64).alias("batches")), f"WITH {B.CHUNKS} SELECT count(*) AS chunks, CAST(ceil(count(*) / 64) AS BIGINT) AS batches FROM chunks")
 add("AGG19_distinct_versions", lambda s, d: B.chunks(s, d).select("doc_id").distinct(), f"WITH {B.CHUNKS} SELECT DISTINCT doc_id FROM chunks")
 
 
@@ -162,9 +165,14 @@ def _values(s, d):
 
 VALUES = "vals AS (SELECT event_type AS entity, CAST(user_id % 20 AS VARCHAR) AS property, json_extract_string(props, '$.k') AS value, CAST(user_id AS VARCHAR) AS doc FROM events)"
 CONF = "SELECT {k}, array_to_string(list_sort(list(DISTINCT value)), ',') AS vals, array_to_string(list_sort(list(DISTINCT doc)), ',') AS docs FROM vals WHERE value <> '' GROUP BY {k} HAVING count(DISTINCT value) > 1"
-flat = [F.array_join("values", ",").alias("vals"), F.array_join("documents", ",").alias("docs")]
-add("AGG12_version_conflicts", lambda s, d: I.conflicts(_values(s, d), ["entity"], "value", "doc").select("entity", *flat), f"WITH {VALUES} " + CONF.format(k="entity"))
-add("AGG13_property_conflicts", lambda s, d: I.conflicts(_values(s, d), ["entity", "property"], "value", "doc").select("entity", "property", *flat), f"WITH {VALUES} " + CONF.format(k="entity, property"))
+
+
+def _flat() -> list:
+    return [F.array_join("values", ",").alias("vals"), F.array_join("documents", ",").alias("docs")]
+
+
+add("AGG12_version_conflicts", lambda s, d: I.conflicts(_values(s, d), ["entity"], "value", "doc").select("entity", *_flat()), f"WITH {VALUES} " + CONF.format(k="entity"))
+add("AGG13_property_conflicts", lambda s, d: I.conflicts(_values(s, d), ["entity", "property"], "value", "doc").select("entity", "property", *_flat()), f"WITH {VALUES} " + CONF.format(k="entity, property"))
 
 
 def _mentions(s, d):
@@ -172,7 +180,7 @@ def _mentions(s, d):
     return B.documents(s, d).select(F.col("project").alias("entity"), X.version_token(raw).alias("version"), F.col("doc_id").cast("string").alias("doc"))
 
 
-add("INS4_contradictions", lambda s, d: I.conflicts(_mentions(s, d), ["entity"], "version", "doc").select("entity", *flat), "WITH vals AS (SELECT source AS entity, (doc_id % 3) || '.' || (doc_id % 5) AS value, CAST(doc_id AS VARCHAR) AS doc FROM documents) " + CONF.format(k="entity"))
+add("INS4_contradictions", lambda s, d: I.conflicts(_mentions(s, d), ["entity"], "version", "doc").select("entity", *_flat()), "WITH vals AS (SELECT source AS entity, (doc_id % 3) || '.' || (doc_id % 5) AS value, CAST(doc_id AS VARCHAR) AS doc FROM documents) " + CONF.format(k="entity"))
 
 
 def _ages(s, d):
@@ -195,9 +203,9 @@ INSIGHTS = f"WITH {VALUES}, {LINKS}, {KNOWN} SELECT entity || '.' || property AS
 add("INS5_insight_run", _insights, INSIGHTS)
 add("J18_new_titles", _insights, INSIGHTS)
 add("UI3_inbox_sort", lambda s, d: table(s, d, "orders").select("o_orderkey", X.severity(F.col("o_totalprice") / 500000).alias("severity"), (F.col("o_totalprice") / 500000).alias("confidence")).orderBy(F.when(F.col("severity") == "high", 0).when(F.col("severity") == "medium", 1).otherwise(2), F.desc("confidence"), "o_orderkey").limit(60), "SELECT o_orderkey, CASE WHEN o_totalprice / 500000 >= 0.9 THEN 'high' WHEN o_totalprice / 500000 >= 0.7 THEN 'medium' ELSE 'low' END AS severity, o_totalprice / 500000 AS confidence FROM orders ORDER BY confidence DESC, o_orderkey LIMIT 60")
-add("TXT25_severity", lambda s, d: table(s, d, "orders").groupBy(X.severity(F.col("o_totalprice") / 500000).alias("severity")).agg(N.alias("n")), "SELECT CASE WHEN o_totalprice / 500000 >= 0.9 THEN 'high' WHEN o_totalprice / 500000 >= 0.7 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM orders GROUP BY 1")
+add("TXT25_severity", lambda s, d: table(s, d, "orders").groupBy(X.severity(F.col("o_totalprice") / 500000).alias("severity")).agg(count_all().alias("n")), "SELECT CASE WHEN o_totalprice / 500000 >= 0.9 THEN 'high' WHEN o_totalprice / 500000 >= 0.7 THEN 'medium' ELSE 'low' END AS severity, count(*) AS n FROM orders GROUP BY 1")
 add("UI4_palette_search", lambda s, d: table(s, d, "customer").where(F.contains(F.lower("c_name"), F.lit("01")) | F.contains(F.lower("c_mktsegment"), F.lit("mach"))).orderBy("c_custkey").limit(6).select("c_custkey", "c_name"), "SELECT c_custkey, c_name FROM customer WHERE contains(lower(c_name), '01') OR contains(lower(c_mktsegment), 'mach') ORDER BY c_custkey LIMIT 6")
-add("UI5_dashboard_counters", lambda s, d: _sessions(s, d).agg(N.alias("sessions"), F.count_if(F.col("ended").isNull()).alias("open"), F.count_if(F.coalesce(X.age_days(F.lit(NOW), F.col("started")) > 14, F.lit(True))).alias("stale")), f"WITH {SESSIONS} SELECT count(*) AS sessions, count(*) FILTER (WHERE ended IS NULL) AS open, count(*) FILTER (WHERE started IS NULL OR ({NOW} - started) // 86400000000 > 14) AS stale FROM sess")
+add("UI5_dashboard_counters", lambda s, d: _sessions(s, d).agg(count_all().alias("sessions"), F.count_if(F.col("ended").isNull()).alias("open"), F.count_if(F.coalesce(X.age_days(F.lit(NOW), F.col("started")) > 14, F.lit(True))).alias("stale")), f"WITH {SESSIONS} SELECT count(*) AS sessions, count(*) FILTER (WHERE ended IS NULL) AS open, count(*) FILTER (WHERE started IS NULL OR ({NOW} - started) // 86400000000 > 14) AS stale FROM sess")
 add("UI6_folder_tree", lambda s, d: G.folder_tree(table(s, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", "").alias("path"))), "WITH p AS (SELECT string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', ''), '/') AS l FROM pages), e AS (SELECT l, unnest(range(1, len(l))) AS i FROM p) SELECT DISTINCT array_to_string(l[1:i], '/') AS folder FROM e")
 add("UI7_distinct_types", lambda s, d: table(s, d, "events").select("event_type").distinct().orderBy("event_type"), "SELECT DISTINCT event_type FROM events")
 add("STR8_heartbeat", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max(B.micros("ts")).alias("seen")).withColumn("stale", F.lit(1706659200000000) - F.col("seen") > 60_000_000_000), "SELECT user_id, epoch_us(max(ts)) AS seen, 1706659200000000 - epoch_us(max(ts)) > 60000000000 AS stale FROM events GROUP BY user_id")

@@ -13,7 +13,10 @@ from folioflow.streaming import sessions as T
 
 Q: dict = {}
 S: dict[str, str] = {}
-N = F.count(F.lit(1))
+
+
+def count_all() -> F.Column:
+    return F.count(F.lit(1))
 
 
 def add(name: str, query, sql: str | None = None) -> None:
@@ -29,7 +32,7 @@ def _events(s, d):
 GAP = 1800_000_000
 add("STR1_debounce", lambda s, d: T.debounced(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "30 minutes").select("user_id", "n", B.micros("first").alias("first"), B.micros("last").alias("last")), f"WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, t, sum(CASE WHEN b IS NULL OR t - b > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e) SELECT user_id, count(*) AS n, min(t) AS first, max(t) AS last FROM g GROUP BY user_id, k")
 add("STR2_change_only", lambda s, d: T.changed(_events(s, d), "user_id", ["at_us", "event_id"], "event_type"), "WITH c AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at_us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type, at_us FROM c WHERE b IS DISTINCT FROM event_type")
-add("STR4_rate_limit", lambda s, d: T.rate_limited(_events(s, d), "user_id", "at_us", "event_id", 2, 86400).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), N.alias("n")))
+add("STR4_rate_limit", lambda s, d: T.rate_limited(_events(s, d), "user_id", "at_us", "event_id", 2, 86400).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), count_all().alias("n")))
 DAY = 86_400_000_000
 add("STR5_idempotency_ttl", lambda s, d: T.first_in_ttl(_events(s, d), ["user_id", "event_type"], "at_us", "event_id", DAY), f"WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events), f AS (SELECT user_id, event_type, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM e GROUP BY user_id, event_type UNION ALL SELECT * FROM (SELECT f.user_id, f.event_type, arg_min(e.event_id, (e.t, e.event_id)) AS event_id, min(e.t) AS t FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.t - f.t >= {DAY} GROUP BY f.user_id, f.event_type, f.t)) SELECT user_id, event_type, event_id FROM f")
 NOW = 1706659200000000
@@ -57,7 +60,7 @@ def _windowed(s, d):
     out = shared_dir(s)
     schema = table(s, d, "events").schema
     rows = T.event_stream(s, d, schema, pathGlobFilter="events.parquet").withWatermark("ts", "1 hour")
-    agg = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(N.alias("n")).select(F.unix_micros("window.start").alias("day"), "event_type", "n")
+    agg = rows.groupBy(F.window("ts", "1 day"), "event_type").agg(count_all().alias("n")).select(F.unix_micros("window.start").alias("day"), "event_type", "n")
     agg.writeStream.outputMode("complete").foreachBatch(lambda df, _: df.write.mode("overwrite").parquet(f"{out}/rows")).option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start().awaitTermination()
     return s.read.parquet(f"{out}/rows")
 
@@ -84,7 +87,7 @@ def _written(s, d):
     table(s, d, "documents").select("source", F.regexp_replace("text", "\n", " ").alias("value")).write.partitionBy("source").text(out)
     lines = s.read.option("wholetext", "false").text(out)
     got = lines.select(F.regexp_extract(F.input_file_name(), "source=([^/]+)", 1).alias("project"), "value")
-    return got.groupBy("project").agg(N.alias("lines"), F.sum(F.length("value")).alias("chars"))
+    return got.groupBy("project").agg(count_all().alias("lines"), F.sum(F.length("value")).alias("chars"))
 
 
 add("SRC5_text_files", _written, "SELECT source AS project, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
@@ -96,7 +99,7 @@ def _blobs(s, d):
 
 
 add("SNK1_blob_addresses", _blobs, "SELECT DISTINCT sha256(text) AS hash, substring(sha256(text), 1, 2) || '/' || substring(sha256(text), 3, 2) || '/' || sha256(text) || '.md' AS blob FROM documents")
-add("SRC9_blob_listing", lambda s, d: _blobs(s, d).groupBy(F.substring("blob", 1, 2).alias("folder")).agg(N.alias("n")), "SELECT substring(sha256(text), 1, 2) AS folder, count(DISTINCT sha256(text)) AS n FROM documents GROUP BY 1")
+add("SRC9_blob_listing", lambda s, d: _blobs(s, d).groupBy(F.substring("blob", 1, 2).alias("folder")).agg(count_all().alias("n")), "SELECT substring(sha256(text), 1, 2) AS folder, count(DISTINCT sha256(text)) AS n FROM documents GROUP BY 1")
 
 
 def _bundle(kind):
@@ -104,7 +107,7 @@ def _bundle(kind):
         out = shared_dir(s)
         table(s, d, "orders").where("o_orderstatus = 'F'").select("o_orderkey", F.lit("old").alias("origin")).write.parquet(out)
         present = s.read.parquet(out)
-        return X.import_rows(table(s, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("new").alias("origin")), present, "o_orderkey", kind).groupBy("origin").agg(N.alias("n"))
+        return X.import_rows(table(s, d, "orders").where("o_orderkey % 2 = 0").select("o_orderkey", F.lit("new").alias("origin")), present, "o_orderkey", kind).groupBy("origin").agg(count_all().alias("n"))
 
     return run
 
@@ -116,7 +119,7 @@ add("SNK3_import_skip", _bundle("skip"), "SELECT CASE WHEN o_orderstatus = 'F' T
 def _log(s, d):
     out = shared_dir(s)
     X.search_log(R._hybrid(s, d), "r1").write.mode("append").parquet(out)
-    return s.read.parquet(out).groupBy("run_id").agg(N.alias("rows"), F.max("final_rank").alias("deepest"))
+    return s.read.parquet(out).groupBy("run_id").agg(count_all().alias("rows"), F.max("final_rank").alias("deepest"))
 
 
 add("SNK4_search_log", _log, f"WITH {R.ALL}, {R.HY} SELECT 'r1' AS run_id, count(*) AS rows, CAST(max(final_rank) AS INTEGER) AS deepest FROM hy")

@@ -12,11 +12,14 @@ from folioflow.sources.tables import table
 
 Q: dict = {}
 S: dict[str, str] = {}
-N = F.count(F.lit(1))
 NOTES = f"WITH {B.NOTES} "
 ALL = "unnest(regexp_extract_all(text, '{}', {})) AS raw FROM notes"
 
 
+def count_all() -> F.Column:
+    return F.count(F.lit(1))
+
+
 def add(name: str, query, sql: str | None = None) -> None:
     Q[name] = query
     if sql:
@@ -25,29 +28,29 @@ def add(name: str, query, sql: str | None = None) -> None:
 
 def _counted(column, *keys):
     """Spans of every note as rows, counted by kind and text; each span is checked against its text by the caller's tests."""
-    return lambda s, d: B.notes(s, d).select("doc_id", F.inline(column(F.col("text")))).groupBy(*keys).agg(N.alias("n"))
+    return lambda s, d: B.notes(s, d).select("doc_id", F.inline(column(F.col("text")))).groupBy(*keys).agg(count_all().alias("n"))
 
 
 add("TXT3_technical_terms", _counted(T.terms, "kind", "raw"))
-add("TXT3_versions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'api_route'").groupBy("doc_id", "raw").agg(N.alias("n")), NOTES + "SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, " + ALL.format(r"(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/[\p{L}\p{N}_./{}\-:]+)", 1) + ") GROUP BY ALL")
-add("TXT4_normalised_packages", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'package'").select("doc_id", T.normalised_term(F.col("kind"), F.col("raw")).alias("term")).groupBy("term").agg(N.alias("n"), F.countDistinct("doc_id").alias("docs")))
-add("TXT5_secrets", lambda s, d: B.notes(s, d).select(F.inline(T.secrets(F.col("text")))).where("kind = 'api_key'").groupBy("raw").agg(N.alias("n")), NOTES + "SELECT raw, count(*) AS n FROM (SELECT " + ALL.format("(?i)((?:sk|pk|gh[pousr]|api)[_-][A-Za-z0-9_-]{16,})", 1) + ") GROUP BY raw")
-add("TXT6_personal_data", lambda s, d: B.notes(s, d).select(F.inline(T.personal(F.col("text")))).where("kind = 'email'").groupBy("raw").agg(N.alias("n")), NOTES + "SELECT raw, count(*) AS n FROM (SELECT " + ALL.format(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1) + ") GROUP BY raw")
+add("TXT3_versions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'api_route'").groupBy("doc_id", "raw").agg(count_all().alias("n")), NOTES + "SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, " + ALL.format(r"(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/[\p{L}\p{N}_./{}\-:]+)", 1) + ") GROUP BY ALL")
+add("TXT4_normalised_packages", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'package'").select("doc_id", T.normalised_term(F.col("kind"), F.col("raw")).alias("term")).groupBy("term").agg(count_all().alias("n"), F.countDistinct("doc_id").alias("docs")))
+add("TXT5_secrets", lambda s, d: B.notes(s, d).select(F.inline(T.secrets(F.col("text")))).where("kind = 'api_key'").groupBy("raw").agg(count_all().alias("n")), NOTES + "SELECT raw, count(*) AS n FROM (SELECT " + ALL.format("(?i)((?:sk|pk|gh[pousr]|api)[_-][A-Za-z0-9_-]{16,})", 1) + ") GROUP BY raw")
+add("TXT6_personal_data", lambda s, d: B.notes(s, d).select(F.inline(T.personal(F.col("text")))).where("kind = 'email'").groupBy("raw").agg(count_all().alias("n")), NOTES + "SELECT raw, count(*) AS n FROM (SELECT " + ALL.format(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1) + ") GROUP BY raw")
 add("TXT7_scan_all", _counted(T.scan_all, "kind", "doc_id"))
 add("TXT8_redact_emails", lambda s, d: B.notes(s, d).select("doc_id", F.md5(F.regexp_replace("text", T.PERSONAL[0][1], "[REDACTED:email]")).alias("h")), NOTES + r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:email]', 'g')) AS h FROM notes")
 add("TXT9_sanitise_policy", lambda s, d: B.notes(s, d).select("doc_id", F.sha2(F.when(F.col("project") == "src1", T.redact(F.col("text"), True)).otherwise(T.redact(F.col("text"), False)), 256).alias("h")))
 add("TXT10_entities", _counted(T.entities, "name", "kind"))
-add("TXT11_dates", lambda s, d: B.notes(s, d).select("doc_id", F.concat("text", F.lit("\nSince 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" and March 3, 2023.")).alias("t")).select(F.inline(T.entities(F.col("t")))).where("kind = 'date'").groupBy("name").agg(N.alias("n")), NOTES + r"SELECT lower(raw) AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || chr(10) || 'Since 2024-01-0' || (doc_id % 9 + 1) || ' and March 3, 2023.', '(?i)(\d{4}-\d{2}-\d{2}|march\s+\d{1,2},\s+\d{4})', 1)) AS raw FROM notes) GROUP BY 1")
+add("TXT11_dates", lambda s, d: B.notes(s, d).select("doc_id", F.concat("text", F.lit("\nSince 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" and March 3, 2023.")).alias("t")).select(F.inline(T.entities(F.col("t")))).where("kind = 'date'").groupBy("name").agg(count_all().alias("n")), NOTES + r"SELECT lower(raw) AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || chr(10) || 'Since 2024-01-0' || (doc_id % 9 + 1) || ' and March 3, 2023.', '(?i)(\d{4}-\d{2}-\d{2}|march\s+\d{1,2},\s+\d{4})', 1)) AS raw FROM notes) GROUP BY 1")
 add("TXT12_normalised_names", lambda s, d: table(s, d, "supplier").select("s_suppkey", T.normalised_name(F.concat(F.lit(" ."), F.when(F.col("s_suppkey") % 2 == 0, "Postgres").otherwise(F.col("s_name")), F.lit("!;"))).alias("name")), "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'postgresql' ELSE lower(s_name) END AS name FROM supplier")
 add("TXT13_merged_entities", lambda s, d: B.notes(s, d).select("doc_id", T.entities(F.col("text")).alias("e")).select("doc_id", F.size(T.merged_entities(F.filter("e", lambda x: x["name"] == "redis"), F.col("e"))).cast("long").alias("n"), F.size("e").cast("long").alias("all")))
 add("TXT14_markdown_links", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.markdown_links(F.col("text")))), NOTES + "SELECT doc_id, 'the guide' AS anchor, 'docs/g' || doc_id % 7 || '.md' AS target FROM notes")
 add("TXT15_path_references", lambda s, d: T.path_references(B.notes(s, d).withColumn("text", F.concat("text", F.lit("\nread docs/g"), (F.col("doc_id") % 7).cast("string"), F.lit(".md, twice"))), s.range(0, 4).select(F.concat(F.lit("docs/g"), F.col("id").cast("string"), F.lit(".md")).alias("path")), "doc_id", "text").select("doc_id", "target", "confidence"), NOTES + "SELECT doc_id, 'docs/g' || doc_id % 7 || '.md' AS target, 0.8::DOUBLE AS confidence FROM notes WHERE doc_id % 7 < 4")
-add("TXT16_all_links", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.markdown_links(F.col("text")))).select("doc_id", "target").distinct().groupBy("target").agg(N.alias("n")), NOTES + "SELECT 'docs/g' || doc_id % 7 || '.md' AS target, count(*) AS n FROM notes GROUP BY 1")
+add("TXT16_all_links", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.markdown_links(F.col("text")))).select("doc_id", "target").distinct().groupBy("target").agg(count_all().alias("n")), NOTES + "SELECT 'docs/g' || doc_id % 7 || '.md' AS target, count(*) AS n FROM notes GROUP BY 1")
 add("TXT17_decisions", lambda s, d: B.notes(s, d).select("doc_id", T.decision(F.col("text")).alias("x")).select("doc_id", "x.title", "x.status", "x.decision", "x.context"), NOTES + "SELECT doc_id, 'Head ' || doc_id % 1000000 AS title, 'accepted' AS status, 'Use redis v' || doc_id % 3 || '.' || doc_id % 5 || '.' || doc_id % 2 || ' and PostgreSQL for caching.' AS decision, CAST(NULL AS VARCHAR) AS context FROM notes")
 add("TXT18_requirements", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).where("method = 'regex_req_id'").select("doc_id", "requirement_id", "title", "priority", "confidence"), NOTES + "SELECT doc_id, 'REQ-' || doc_id % 11 AS requirement_id, 'The service must answer in ' || doc_id % 50 || ' ms' AS title, 'must' AS priority, 1.0::DOUBLE AS confidence FROM notes")
-add("TXT18_modal_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).groupBy("method", "priority").agg(N.alias("n")))
+add("TXT18_modal_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).groupBy("method", "priority").agg(count_all().alias("n")))
 add("TXT19_open_questions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).where("method = 'regex_todo_marker'").select("doc_id", "question", "confidence"), NOTES + "SELECT doc_id, 'decide about the quota ' || doc_id % 6 AS question, 0.9::DOUBLE AS confidence FROM notes")
-add("TXT19_question_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).groupBy("method", "context").agg(N.alias("n")))
+add("TXT19_question_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).groupBy("method", "context").agg(count_all().alias("n")))
 add("TXT20_code_fence", lambda s, d: B.notes(s, d).select("doc_id", X.in_fence(F.col("text"), F.instr("text", "The code in a fence")).alias("inside"), X.in_fence(F.col("text"), F.instr("text", "Should we move")).alias("outside")), NOTES + "SELECT doc_id, true AS inside, false AS outside FROM notes")
 add("TXT21_signatures", lambda s, d: table(s, d, "orders").select("o_orderkey", X.signature("o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))).alias("signature")), "SELECT o_orderkey, sha256(o_orderstatus || chr(10) || o_orderpriority || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END) AS signature FROM orders")
 add("TXT22_content_hash", lambda s, d: B.documents(s, d).select("doc_id", X.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
