@@ -6,14 +6,16 @@ class first (fingerprints of 128 bits and the size). Classes that share a band a
 
 1. In each band each member is held against the bucket's pivot (its smallest member; in a second round another
    one), if they aren't in one component yet: a bucket of n members gives n - 1 pairs, never all.
-2. In buckets that still have several components, the members outside the largest are held against all others, in blocks of
-   bounded size that give links only. So every pair of candidates is compared or already connected: no link is lost or capped.
+2. In buckets that still have several components, the members outside the largest are held against all others whose sets are large enough for
+   a link, in blocks of bounded size that give links only. So every pair of candidates is compared or already connected: no link is lost or capped.
 
 32 bands of four values miss a pair of similarity 0.8 with a probability of 5e-8.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -25,7 +27,7 @@ from folioflow.session import cut, importable
 
 PERMUTATIONS, BANDS = 64, 32
 SIMILARITY = 80
-QUERY_BLOCK, MEMBER_BLOCK = 64, 512
+BLOCK, BLOCK_VALUES = 1024, 1 << 20
 LONE = ts.U64(0x5851F42D4C957F2D)
 
 
@@ -117,18 +119,20 @@ def _blocks(similarity: int):
         node, comp, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "asks"))
         s = table.column("s").combine_chunks()
         at = s.offsets.to_numpy().astype(np.int64)
-        flat = s.values.to_numpy()[at[0] :]
+        values, place = np.unique(s.values.to_numpy()[at[0] : at[-1]], return_inverse=True)
         at = at - at[0]
         size = np.diff(at)
         found = []
-        member = np.flatnonzero(~asks.astype(bool))
+        member, asking = np.flatnonzero(~asks.astype(bool)), np.flatnonzero(asks.astype(bool))
         if len(member):
-            values = flat[ts.ragged(at[member], size[member])]
+            told = place[ts.ragged(at[member], size[member])]
             heads = np.r_[0, np.cumsum(size[member])[:-1]]
-            for q in np.flatnonzero(asks.astype(bool)):
-                own = flat[at[q] : at[q + 1]]
-                k = np.minimum(np.searchsorted(own, values), len(own) - 1)
-                both = np.add.reduceat((own[k] == values).astype(np.int64), heads)
+            held = np.zeros(len(values), np.uint8)
+            for q in asking:
+                own = place[at[q] : at[q + 1]]
+                held[own] = 1
+                both = np.add.reduceat(held[told], heads, dtype=np.int64)
+                held[own] = 0
                 good = (100 * both >= similarity * (size[member] + size[q] - both)) & (comp[member] != comp[q])
                 _, first = np.unique(comp[member][good], return_index=True)  # one link to a component connects it
                 found += [(int(node[q]), int(x)) for x in node[member][good][first]]
@@ -138,15 +142,25 @@ def _blocks(similarity: int):
 
 
 def _residual(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between components that share a bucket; members: band, node, label."""
-    sizes = members.groupBy("band", "label").agg(F.count(F.lit(1)).alias("n"))
-    of = sizes.groupBy("band").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k")).where("k > 1").select("band", "all", F.col("top.label").alias("most"), (F.col("all") - F.col("top.n")).alias("few"))
-    rows = members.join(of, "band").withColumn("ask_blocks", F.ceil(F.col("few") / QUERY_BLOCK).cast("int")).withColumn("blocks", F.ceil(F.col("all") / MEMBER_BLOCK).cast("int"))
+    """Links between components that share a bucket; members: band, node, n (its set's size), label.
+
+    Linked sets' sizes differ by a factor of 100 / similarity at most, so a bucket falls into steps of that factor, and only members of one step or
+    of two in a row are held against each other. A block holds BLOCK members or BLOCK_VALUES shingles of either side.
+    """
+    step = math.log(100 / similarity) + 1e-6 if similarity < 100 else 1e-3
+    mixed = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
+    own = F.floor(F.log("n") / step).cast("int")
+    rows = members.join(mixed, "band", "left_semi").withColumn("own", own).withColumn("step", F.explode(F.array("own", F.col("own") + 1)))
+    sizes = rows.groupBy("band", "step", "label").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
+    of = sizes.groupBy("band", "step").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("own").alias("own")).where("k > 1 and own = step")
+    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_VALUES / F.exp(F.col("step") * step))))
+    of = of.select("band", "step", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("ask_blocks"), F.ceil(F.col("all") / block).cast("int").alias("blocks"))
+    dealt = rows.select("band", "step", "node", "label").join(of, ["band", "step"])
     h = F.xxhash64(F.lit(17), "node")
-    asks = rows.where("label <> most").select("band", "node", "label", F.pmod(h, F.col("ask_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
-    told = rows.select("band", "node", "label", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), F.pmod(h, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))
-    dealt = asks.unionByName(told).join(sets.withColumnRenamed("doc_id", "node"), "node")
-    return dealt.groupBy("band", "i", "j").applyInArrow(_blocks(similarity), "a long, b long").distinct()
+    asks = dealt.where("label <> most").select("band", "step", "node", "label", F.pmod(h, F.col("ask_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
+    told = dealt.select("band", "step", "node", "label", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), F.pmod(h, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))
+    full = asks.unionByName(told).join(sets.withColumnRenamed("doc_id", "node"), "node")
+    return full.groupBy("band", "step", "i", "j").applyInArrow(_blocks(similarity), "a long, b long").distinct()
 
 
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
@@ -162,7 +176,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     signed = cut(own.mapInArrow(_signer(size), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
     real = signed.where("n > 0 and doc_id is not null")
     classes = cut(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    members = classes.select(F.explode("bands").alias("band"), F.col("rep").alias("node"))
+    members = classes.select(F.explode("bands").alias("band"), F.col("rep").alias("node"), "n")
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("first"), F.max_by("node", F.xxhash64("node")).alias("second")).where("k > 1").drop("k")
     members = cut(members.join(shared, "band"))
     wanted = members.select(F.col("node").alias("doc_id")).distinct()
@@ -175,7 +189,7 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     if more.limit(1).count():
         links = links.union(more)
         labels = components(links)
-    rest = cut(_residual(named().select("band", "node", "label"), sets, similarity))
+    rest = cut(_residual(named().select("band", "node", "n", "label"), sets, similarity))
     if rest.limit(1).count():
         labels = components(links.union(rest))
     of = classes.select("n", "f1", "f2", "rep").join(labels, classes.rep == labels.node, "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("label"))

@@ -256,6 +256,25 @@ def test_op10(spark, world):
     assert sum(not r.kept for r in got.values()) >= 7
 
 
+def test_op10_residual(spark, monkeypatch):
+    """Copies whose similarity lies on both sides of the threshold, in blocks of a few members: the same components as brute force."""
+    from folioflow.llm import minhash
+
+    monkeypatch.setattr(minhash, "BLOCK", 8)
+    r = random.Random(17)
+    base, many = r.choices(VOCABULARY, k=100), [f"u{i}" for i in range(400)]
+    made = []
+    for k in range(140):
+        own = base[: r.choice([60, 80, 100])]
+        for _ in range(r.randrange(1, 16)):
+            own[r.randrange(len(own))] = r.choice(many)
+        made.append(" ".join(own))
+    got = {x.doc_id: x for x in minhash.link(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string"), size=2).collect()}
+    want = linked(made, 2)
+    assert len({c for _, c in want}) > 5
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(made))] == want
+
+
 def test_empty_tables(spark, world, tmp_path):
     for n in ("documents", "benchmark", "labels", "embeddings", "conversations"):
         pq.write_table(pq.read_table(f"{world['dir']}/{n}.parquet").slice(0, 0), tmp_path / f"{n}.parquet")
