@@ -62,3 +62,21 @@ def remove(spark: SparkSession, *paths: str) -> None:
     for p in paths:
         path = jvm.org.apache.hadoop.fs.Path(p)
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def fresh(name: str, *frames: DataFrame) -> str:
+    """A column name like name that none of the frames has, in any case."""
+    taken = {c.lower() for df in frames for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def plain_names(df: DataFrame) -> DataFrame:
+    """df with its columns named c0, c1, ... so that no name can clash with an operator's own."""
+    return df.toDF(*[f"c{i}" for i in range(len(df.columns))])
+
+
+def fields(df: DataFrame) -> str:
+    """df's columns as a schema string."""
+    return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
