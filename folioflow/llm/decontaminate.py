@@ -7,8 +7,8 @@ begin with an id need sorting) gives the Burrows-Wheeler sequence, a wavelet mat
 are searched backward together, and occurrences are located by walking back to sampled suffix positions. Each
 occurrence's words are then compared with the phrase's bytes, and overlapping removal spans are merged.
 
-The phrases are sent to every task in blocks of at most BLOCK_BYTES of benchmark text; a larger benchmark takes more
-passes over the texts, whose spans are merged per row.
+The phrases are sent to every task in blocks of at most BLOCK_BYTES of benchmark text, one block at a time; a larger benchmark takes more
+passes over the texts. Each is written and read by the next one, which merges its spans with those so far, row by row.
 """
 
 from __future__ import annotations
@@ -19,12 +19,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import textscan as ts
-from folioflow.session import importable
+from folioflow.session import cut, fields, importable, plain_names
 
 WINDOW = 10
 SHARD_WORDS = 1 << 20
 SAMPLE = 16
-BLOCK_BYTES = 32 << 20
+BLOCK_BYTES = 8 << 20
 
 
 class Phrases:
@@ -198,25 +198,42 @@ def _shard(parts: list, phrases: Phrases) -> list[tuple]:
     return out
 
 
-def _mapper(block, window: int, shard_words: int, text_col: str):
+def _joined(texts, old, new: list) -> list:
+    """Results of two passes over the same rows: unions of items and spans, hit words counted anew."""
+    out = []
+    for t, n, items, starts, ends, got in zip(texts, *(c.to_pylist() for c in (old[0], old[2], old[3], old[4])), new, strict=True):
+        if not starts:
+            out.append(got)
+            continue
+        raw = np.frombuffer((t.as_py() or "").encode(), np.uint8)
+        first, stop, _ = ts.words(raw, np.array([0, len(raw)]), ts.ALNUM)
+        word = lambda x, more: np.searchsorted(first, np.r_[np.array(x, np.int64), more])
+        a, b = ts.merged(word(starts, got[3]), word(ends, got[4]))
+        out.append([n, int((b - a).sum()), np.union1d(np.array(items, np.int64), got[2]), first[a], stop[b - 1]])
+    return out
+
+
+def _mapper(box, shard_words: int, text_at: int, width: int, finish):
+    """finish makes a batch of the rows (their first width columns) and what was found; further columns are of an earlier pass."""
+
     def run(batches):
-        phrases = Phrases(block.value, window)
-        rows, parts, held, filled = [], [], [], 0
+        phrases = box.value
+        parts, held, filled = [], [], 0
         top = len(phrases.words)
 
         def flush():
-            got = _shard(parts, phrases)
-            at = 0
+            got, at = _shard(parts, phrases), 0
             for batch in held:
                 own = got[at : at + len(batch)]
                 at += len(batch)
-                yield _with(batch, own)
+                if batch.num_columns > width:
+                    own = _joined(batch.column(text_at), batch.columns[width:], own)
+                yield finish(pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]), own)
             parts.clear()
             held.clear()
 
         for batch in batches:
-            col = batch.column(batch.schema.get_field_index(text_col))
-            for i, j, data, at in ts.groups(col):
+            for i, j, data, at in ts.groups(batch.column(text_at)):
                 starts, ends, first = ts.words(data, at, ts.ALNUM)
                 h = ts.hashes(data, starts, ends, ts.BYTE_LOWER)
                 ids = np.zeros(len(h), np.int32)
@@ -235,19 +252,37 @@ def _mapper(block, window: int, shard_words: int, text_col: str):
     return run
 
 
-def _with(batch, got):
-    n = pa.array([g[0] for g in got], pa.int64())
+def _added(batch, got):
     lists = [pa.array([g[k].tolist() for g in got], pa.list_(pa.int64())) for k in (2, 3, 4)]
-    names = ["n_words", "n_hit", "items", "from_byte", "to_byte"]
-    cols = [n, pa.array([g[1] for g in got], pa.int64()), *lists]
-    return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *names])
+    cols = [pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.int64()), *lists]
+    return pa.RecordBatch.from_arrays([*batch.columns, *cols], names=[*batch.schema.names, *ADDED])
+
 
+def _cutter(text_at: int):
+    def cut_out(batch, got):
+        texts = batch.column(text_at)
+        hit = [k for k, g in enumerate(got) if g[1]]
+        if not hit:
+            return batch
+        new, stay = texts.to_pylist(), np.ones(len(batch), bool)
+        for k in hit:
+            raw, at, out = new[k].encode(), 0, []
+            stay[k] = got[k][1] < got[k][0]
+            for s, e in zip(got[k][3].tolist(), got[k][4].tolist(), strict=True):
+                out.append(raw[at:s])
+                at = e
+            new[k] = b"".join([*out, raw[at:]]).decode()
+        cols = [pa.array(new, texts.type) if i == text_at else c for i, c in enumerate(batch.columns)]
+        return pa.RecordBatch.from_arrays(cols, names=batch.schema.names).filter(pa.array(stay))
 
-ADDED = "n_words long, n_hit long, items array<long>, from_byte array<long>, to_byte array<long>"
+    return cut_out
+
+
+ADDED = {"n_words": "long", "n_hit": "long", "items": "array<long>", "from_byte": "array<long>", "to_byte": "array<long>"}
 
 
 def blocks_of(benchmark: DataFrame, limit: int):
-    """The benchmark's (item, text) in blocks of at most limit bytes of text, one at a time on the driver."""
+    """The benchmark's (item, text) in blocks of at most limit bytes of text, one at a time on the driver; an empty one if there is none."""
     block, size = [], 0
     for item, text in benchmark.toLocalIterator():
         n = len((text or "").encode())
@@ -256,93 +291,47 @@ def blocks_of(benchmark: DataFrame, limit: int):
             block, size = [], 0
         block.append((item, text))
         size += n
-    if block:
-        yield block
+    yield block
+
+
+def _passes(docs: DataFrame, benchmark: DataFrame, text_col: str, item_col: str, item_text: str, window: int, shard_words: int, block_bytes: int, last, last_schema: str) -> DataFrame:
+    """docs (columns c0, c1, ...) through one pass a block of the benchmark; last finishes the last pass."""
+    spark = docs.sparkSession
+    importable(spark)
+    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).where(F.col(item_col).isNotNull())
+    blocks, width, at = blocks_of(rows, block_bytes), len(docs.columns), docs.columns.index(text_col)
+    between = fields(docs) + "".join(f", {n} {t}" for n, t in ADDED.items())
+    block, df = next(blocks), docs
+    while True:
+        following = next(blocks, None)
+        box = spark.sparkContext.broadcast(Phrases(block, window))
+        if following is None:
+            return df.mapInArrow(_mapper(box, shard_words, at, width, last), last_schema)
+        df = cut(df.mapInArrow(_mapper(box, shard_words, at, width, _added), between))
+        box.destroy()
+        block = following
 
 
 def find(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """All columns of docs with n_words, n_hit, items (sorted), and merged removal spans from_byte, to_byte (UTF-8).
 
-    Each row of docs is judged by itself, so repeated rows give repeated results. Null and empty texts have no words.
-    Items that are null, or have no words, occur nowhere. Columns of docs with the added names are an error of the caller
-    (the query selects what it needs first). An empty benchmark leaves all clean.
+    Each row of docs is judged by itself, so repeated rows give repeated results, and null ids don't matter. Null and empty texts have no
+    words. Items that are null, or have no words, occur nowhere. Columns of docs with the added names are replaced. An empty
+    benchmark leaves all clean; an empty table stays empty.
     """
-    spark = docs.sparkSession
-    importable(spark)
-    rows = benchmark.select(F.col(item_col).cast("long"), F.col(item_text).cast("string")).where(F.col(item_col).isNotNull())
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields) + ", " + ADDED
-    out = None
-    names = docs.columns
-    for block in (blocks := list_or_one(blocks_of(rows, block_bytes))):
-        found = docs.mapInArrow(_mapper(spark.sparkContext.broadcast(block), window, shard_words, text_col), schema)
-        out = found if out is None else out.unionByName(found)
-    if len(blocks) == 1:
-        return out
-    # more than one pass: rows are told apart by all their columns, and repeats are counted in each pass alike
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in names])
-    key2 = F.sha2(F.to_json(F.struct(*[F.col(f"`{c}`") for c in names])), 256)
-    merged = out.withColumn("_k", key).withColumn("_s", key2).groupBy("_k", "_s").agg(
-        *[F.first(F.col(f"`{c}`")).alias(c) for c in names],
-        F.count(F.lit(1)).alias("_n"),
-        F.first("n_words").alias("n_words"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_set("items")))).alias("items"),
-        F.flatten(F.collect_set(F.arrays_zip("from_byte", "to_byte"))).alias("_spans"),
-    )
-    spans = _merge_spans(merged, text_col).withColumn("_r", F.explode(F.sequence(F.lit(1), (F.col("_n") / len(blocks)).cast("int"))))
-    return spans.select(*names, "n_words", "n_hit", "items", "from_byte", "to_byte")
-
-
-def list_or_one(blocks) -> list:
-    return list(blocks) or [[]]
-
-
-def _merge_spans(df: DataFrame, text_col: str) -> DataFrame:
-    """Spans of several passes as one sorted union, with the hit words counted anew from the text."""
-    import pandas as pd
-
-    @F.pandas_udf("struct<n_hit:long, from_byte:array<long>, to_byte:array<long>>")
-    def union(text: pd.Series, spans: pd.Series) -> pd.DataFrame:
-        rows = []
-        for t, s in zip(text, spans, strict=True):
-            a, b = ts.merged(np.array([x["from_byte"] for x in s], np.int64), np.array([x["to_byte"] for x in s], np.int64))
-            raw = np.frombuffer((t or "").encode(), np.uint8)
-            starts, _, _ = ts.words(raw, np.array([0, len(raw)]), ts.ALNUM)
-            rows.append((int((np.searchsorted(starts, b) - np.searchsorted(starts, a)).sum()), a.tolist(), b.tolist()))
-        return pd.DataFrame(rows, columns=["n_hit", "from_byte", "to_byte"])
-
-    return df.withColumn("_u", union(F.col(f"`{text_col}`"), F.col("_spans"))).select("*", "_u.n_hit", "_u.from_byte", "_u.to_byte")
-
-
-def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **options) -> DataFrame:
+    plain, names = plain_names(docs), docs.columns
+    found = _passes(plain, benchmark, f"c{names.index(text_col)}", item_col, item_text, window, shard_words, block_bytes, _added, fields(plain) + "".join(f", {n} {t}" for n, t in ADDED.items()))
+    return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() not in ADDED], *ADDED)
+
+
+def clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text", window: int = WINDOW, shard_words: int = SHARD_WORDS, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """docs with all merged spans cut out of their texts; texts without a hit, null and empty ones are unchanged.
 
     A document all of whose words are hit goes. Columns of any names stay as they are.
     """
-    importable(docs.sparkSession)
-    schema, titles = docs.schema, docs.columns
-    plain = docs.toDF(*[f"_{i}" for i in range(len(docs.columns))])
-    names = plain.columns
-    own = f"_{docs.columns.index(text_col)}"
-    found = find(plain, benchmark, own, **options).where("n_hit = 0 or n_hit < n_words")
-
-    def cut(batches):
-        for batch in batches:
-            texts = batch.column(batch.schema.get_field_index(own))
-            a, b = (batch.column(batch.schema.get_field_index(c)) for c in ("from_byte", "to_byte"))
-            hit = np.flatnonzero(a.value_lengths().to_numpy())
-            if len(hit):
-                new = texts.to_pylist()
-                for k in hit.tolist():
-                    raw, at, out = new[k].encode(), 0, []
-                    for s, e in zip(a[k].as_py(), b[k].as_py(), strict=True):
-                        out.append(raw[at:s])
-                        at = e
-                    new[k] = b"".join([*out, raw[at:]]).decode()
-                texts = pa.array(new, pa.string())
-            cols = [texts if n == own else batch.column(batch.schema.get_field_index(n)) for n in names]
-            yield pa.RecordBatch.from_arrays(cols, names=titles)
-
-    return found.mapInArrow(cut, schema)
+    plain, names = plain_names(docs), docs.columns
+    at = names.index(text_col)
+    return _passes(plain, benchmark, f"c{at}", item_col, item_text, window, shard_words, block_bytes, _cutter(at), fields(plain)).toDF(*names)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
