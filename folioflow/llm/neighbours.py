@@ -16,14 +16,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from folioflow.llm.textscan import ragged
 from folioflow.session import cut, importable
 
 SHARD = 1 << 14
-LINKS, UPPER_LINKS, STEP = 32, 16, 16
+LINKS, UPPER_LINKS, STEP = 40, 16, 16
 CANDIDATES = 64
-WIDTH, EXPAND = 160, 4
+WIDTH, EXPAND = 320, 8
 QUERY_BLOCK = 1 << 16
 SLICE = 512
 
@@ -100,7 +101,6 @@ class Graph:
     """Nodes in a hashed order; layer l holds the first n / STEP**l of them."""
 
     def __init__(self, vectors: np.ndarray, flat: list[np.ndarray] | None = None):
-        self.vectors = vectors
         norms = (vectors.astype(np.float64) ** 2).sum(1)
         self.x = np.hstack([vectors, np.sqrt(np.maximum(norms.max() - norms, 0))[:, None]]).astype(np.float32)
         if flat is None:
@@ -180,7 +180,7 @@ BUILT = "dim int, shard int, n int, vectors binary, ids binary, counts binary, l
 def _build(table: pa.Table) -> pa.Table:
     dim, shard = table.column("dim")[0].as_py(), table.column("shard")[0].as_py()
     order = np.argsort(table.column("h").to_numpy(), kind="stable")
-    v = np.frombuffer(table.column("v").combine_chunks().flatten().to_numpy(), np.float32).reshape(-1, dim)[order]
+    v = table.column("v").combine_chunks().flatten().to_numpy().reshape(-1, dim)[order]
     ids = table.column("ids").to_pylist()
     ids = [ids[i] for i in order]
     g = Graph(v)
@@ -190,8 +190,14 @@ def _build(table: pa.Table) -> pa.Table:
 
 
 def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v of all rows whose vector takes part; repeated rows once."""
-    own = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    """id and v of all rows whose vector takes part, as floats if they are given so, else as doubles; repeated rows once.
+
+    Rows with a null id, or a vector that is null, empty or zero or holds null, infinite or undefined components, take no part.
+    Other columns play no part, whatever their names. An empty table gives none.
+    """
+    kind = df.schema[vector].dataType
+    kind = "array<float>" if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, T.FloatType) else "array<double>"
+    own = df.select(F.col(key).cast("long").alias("id"), F.col(vector).cast(kind).alias("v"))
     bad = F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return own.where(F.col("id").isNotNull() & F.col("v").isNotNull() & ~bad & F.exists("v", lambda x: x != 0)).distinct()
 
@@ -216,12 +222,13 @@ def _searcher(block, k: int, keep: int):
                 pick = np.flatnonzero(sizes == row["dim"])
                 if not len(pick):
                     continue
-                x = np.frombuffer(row["vectors"], np.float32).reshape(row["n"], row["dim"])
+                x = np.frombuffer(row["vectors"])
+                x = (x if len(x) == row["n"] * row["dim"] else np.frombuffer(row["vectors"], np.float32)).reshape(row["n"], row["dim"])
                 ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32).astype(np.int64)
                 at = np.cumsum(counts) - counts
                 g = Graph(x, [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(row["layers"], row["links"], strict=True)])
                 q = np.stack([queries[p] for p in pick])
-                got = g.search(q, max(WIDTH, 4 * k))
+                got = g.search(q.astype(np.float32), max(WIDTH, 4 * k))
                 a, c = np.nonzero(got >= 0)
                 node = got[a, c]
                 score = exact(q[a], x[node])
@@ -240,6 +247,7 @@ def _searcher(block, k: int, keep: int):
 def search(index: DataFrame, queries: DataFrame, k: int = 20, query_block: int = QUERY_BLOCK) -> DataFrame:
     """query_id, rank, vec_id, score: the k best found for each query row (id, v) but itself, ties to the smaller id.
 
+    Vectors of different lengths are graphs of their own, and queries meet those of their length. Without queries there is no row.
     What is broadcast is bounded by query_block: its vectors, and k + 1 rows for each.
     """
     spark = index.sparkSession
@@ -250,11 +258,11 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, query_block: int =
     out = None
     for b in range(n_blocks):
         rows = named.where(F.col("b") == b).select("v").toArrow().column("v").to_pylist() if total else []
-        vectors = [np.array(r, np.float32) for r in rows]
+        vectors = [np.array(r, np.float64) for r in rows]
         sizes = np.array([len(r) for r in rows], np.int64)
         found = index.repartition("dim", "shard").mapInArrow(_searcher(spark.sparkContext.broadcast((vectors, sizes)), k, k + 1), "q int, vec_id long, score double")
         best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
-        names = spark.createDataFrame(pa.table({"q": pa.array(range(len(rows)), pa.int32()), "v": pa.array(rows, pa.list_(pa.float32()))}))
+        names = spark.createDataFrame(pa.table({"q": pa.array(range(len(rows)), pa.int32()), "v": pa.array(rows, pa.list_(pa.float64()))})).withColumn("v", F.col("v").cast(queries.schema["v"].dataType))
         own = queries.join(F.broadcast(names), "v").select(F.col("id").alias("query_id"), "q")
         got = own.join(F.broadcast(best), "q").where(F.col("vec_id") != F.col("query_id"))
         top = got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
