@@ -82,7 +82,7 @@ def _lists(flat: np.ndarray, first: np.ndarray) -> pa.Array:
 def _signer(size: int):
     def run(batches):
         for batch in batches:
-            for i, j, data, at in ts.groups(batch.column(1)):
+            for i, j, data, at in ts.groups(batch.column(2)):
                 x, first = shingles(data, at, size)
                 n = np.diff(first)
                 full = n > 0
@@ -93,17 +93,26 @@ def _signer(size: int):
                     f2[full] = np.add.reduceat(ts.mix(x ^ LONE), heads)
                     sig = bands(x, np.r_[heads, len(x)])
                 at_sig = np.r_[0, np.cumsum(full * BANDS)]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), pa.array(n, pa.int64()), _signed(f1), _signed(f2), _lists(sig.ravel(), at_sig)], names=["doc_id", "n", "f1", "f2", "bands"])
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), batch.column(1).slice(i, j - i), pa.array(n, pa.int64()), _signed(f1), _signed(f2), _lists(sig.ravel(), at_sig)], names=["doc_id", "h", "n", "f1", "f2", "bands"])
 
     return run
 
 
 def _setter(size: int):
+    """Sets of documents; of equal rows one after the other only the first gives one."""
+
     def run(batches):
+        last = None
         for batch in batches:
+            ids = batch.column(0).to_numpy()
             for i, j, data, at in ts.groups(batch.column(1)):
                 x, first = shingles(data, at, size)
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(i, j - i), _lists(x, first)], names=["doc_id", "s"])
+                new = np.r_[ids[i] != last, ids[i + 1 : j] != ids[i : j - 1]]
+                last = ids[j - 1]
+                if not new.all():
+                    x, n = x[np.repeat(new, np.diff(first))], np.diff(first)[new]
+                    first = np.r_[0, np.cumsum(n)]
+                yield pa.RecordBatch.from_arrays([pa.array(ids[i:j][new]), _lists(x, first)], names=["doc_id", "s"])
 
     return run
 
@@ -163,24 +172,31 @@ def _residual(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame
     return full.groupBy("band", "step", "i", "j").applyInArrow(_blocks(similarity), "a long, b long").distinct()
 
 
+def standing(text: str):
+    """Of rows that share an id, the one with the least of this stands for all: one with words first, then by a hash of the text."""
+    return F.struct((~F.coalesce(F.col(text).rlike(r"[^\x20\x09-\x0D]"), F.lit(False))).alias("blank"), F.xxhash64(text).alias("h"))
+
+
 def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5, similarity: int = SIMILARITY) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for every row of docs.
 
     Links join documents whose sets have 100 * intersection >= similarity * union. Null, empty and blank texts have no
     shingles and link with nothing; a text of fewer words than a shingle is one shingle of its own kind. Rows with a null id link with nothing, have no
-    component and are kept. Repeated rows share their component. Columns beside key and text play no part.
+    component and are kept. Repeated rows share their component; of rows with one id and several texts standing() says which is
+    linked, and the others with words share its component. Columns beside key and text play no part. An empty table gives none.
     """
     spark = docs.sparkSession
     importable(spark)
-    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("t"))
-    signed = cut(own.mapInArrow(_signer(size), "doc_id long, n long, f1 long, f2 long, bands array<long>"))
+    own = docs.select(F.col(key).cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), F.col(text).alias("t"))
+    signed = cut(own.mapInArrow(_signer(size), "doc_id long, h long, n long, f1 long, f2 long, bands array<long>"))
     real = signed.where("n > 0 and doc_id is not null")
-    classes = cut(real.groupBy("n", "f1", "f2").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
-    members = classes.select(F.explode("bands").alias("band"), F.col("rep").alias("node"), "n")
+    one = real.groupBy("doc_id").agg(F.min_by(F.struct("h", "n", "f1", "f2", "bands"), "h").alias("r")).select("doc_id", "r.*")
+    classes = cut(one.groupBy("n", "f1", "f2").agg(F.min_by(F.struct("doc_id", "h", "bands"), "doc_id").alias("r")).select("n", "f1", "f2", F.col("r.doc_id").alias("rep"), "r.h", "r.bands"))
+    members = classes.select(F.explode("bands").alias("band"), F.col("rep").alias("node"), "n", "h")
     shared = members.groupBy("band").agg(F.count(F.lit(1)).alias("k"), F.min("node").alias("first"), F.max_by("node", F.xxhash64("node")).alias("second")).where("k > 1").drop("k")
     members = cut(members.join(shared, "band"))
-    wanted = members.select(F.col("node").alias("doc_id")).distinct()
-    sets = cut(own.where("doc_id is not null").join(wanted, "doc_id", "left_semi").dropDuplicates(["doc_id"]).select("doc_id", "t").mapInArrow(_setter(size), "doc_id long, s array<long>"))
+    wanted = members.select(F.col("node").alias("doc_id"), "h").distinct()
+    sets = cut(own.where("doc_id is not null").join(wanted, ["doc_id", "h"], "left_semi").select("doc_id", "t").mapInArrow(_setter(size), "doc_id long, s array<long>"))
     links = cut(_confirmed(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), sets, similarity))
     labels = components(links)
     named = lambda: members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -193,7 +209,8 @@ def link(docs: DataFrame, key: str = "doc_id", text: str = "text", size: int = 5
     if rest.limit(1).count():
         labels = components(links.union(rest))
     of = classes.select("n", "f1", "f2", "rep").join(labels, classes.rep == labels.node, "left").select("n", "f1", "f2", F.coalesce("label", "rep").alias("label"))
-    done = signed.select("doc_id", "n", "f1", "f2").join(of, ["n", "f1", "f2"], "left")
+    own_label = one.select("doc_id", "n", "f1", "f2").join(of, ["n", "f1", "f2"]).select("doc_id", "label")
+    done = signed.select("doc_id", "n").join(own_label, "doc_id", "left")
     component = F.when(F.col("n") > 0, F.when(F.col("doc_id").isNotNull(), F.col("label"))).otherwise(F.col("doc_id"))
     return done.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 

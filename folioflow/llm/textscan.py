@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-GROUP_BYTES = 1 << 21
+GROUP_BYTES = 1 << 19
 U64 = np.uint64
 
 #: Bytes of words [^\x00-\x2F\x3A-\x60\x7B-\x7F]+ before or after lower-casing A-Z.
@@ -152,3 +152,16 @@ def merged(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray
     starts, reach = starts[order], np.maximum.accumulate(ends[order])
     head = np.r_[True, starts[1:] > reach[:-1]]
     return starts[head], reach[np.r_[np.flatnonzero(head)[1:] - 1, len(starts) - 1]]
+
+
+def alike(x: np.ndarray, a: np.ndarray, y: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether x from a and y from b agree in size symbols, for each pair; compared symbol for symbol, in pieces. No size is 0."""
+    out = np.ones(len(a), bool)
+    edge = np.r_[0, np.cumsum(size)]
+    i = 0
+    while i < len(a):
+        j = max(i + 1, int(np.searchsorted(edge, edge[i] + (1 << 20), "right")) - 1)
+        s = size[i:j]
+        out[i:j] = np.logical_and.reduceat(x[ragged(a[i:j], s)] == y[ragged(b[i:j], s)], edge[i:j] - edge[i])
+        i = j
+    return out
