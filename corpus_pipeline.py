@@ -5,24 +5,29 @@ The first four return the columns of documents; the last returns what it reads b
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, minhash, mixing, quality, sstable
-from folioflow.session import cut, importable
+from folioflow.session import cut, fresh, importable
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier, fitted on all labels of these documents, takes for good."""
     known = quality.Classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return known.score(docs, name="_score").where(F.col("_score") >= quality.THRESHOLD).drop("_score")
+    score = fresh("score", docs)
+    return known.score(docs, name=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest id of each group of near copies (shingles of five words, similarity 0.8); rows with a null id stay."""
+    """The smallest id of each group of near copies (shingles of five words, similarity 0.8).
+
+    Of rows that share an id the one that was linked stays; rows with a null id stay.
+    """
     kept = minhash.link(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    one = docs.join(kept, "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    return one.unionByName(docs.where("doc_id is null")).select(docs.columns)
+    first, n = Window.partitionBy("doc_id").orderBy(minhash.standing("text"), F.xxhash64(*docs.columns)), fresh("n", docs)
+    one = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
+    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,10 +37,10 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one taken in part counts if that is half of it at least."""
+    """Each document as often as the mix takes it; one taken in part counts if that is half of it at least. Columns that mix() adds are replaced."""
     got = mixing.mix(docs, F.array("source"))
     times = F.col("_times") + ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size"))).cast("long")
-    return got.withColumn("_n", times).where("_n > 0").withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    return got.select("*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(fresh("k", got))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
