@@ -280,39 +280,3 @@ def test_empty_tables(spark, world, tmp_path):
         pq.write_table(pq.read_table(f"{world['dir']}/{n}.parquet").slice(0, 0), tmp_path / f"{n}.parquet")
     for name, q in QUERIES.items():
         assert q(spark, str(tmp_path)).count() == (1 if name.startswith("op6") else 0), name
-
-
-def test_rows_repeated_null_keys_and_clashing_columns(spark):
-    """General operators: repeated rows, null ids and columns with names as the operators' own don't crash and keep their rows."""
-    from folioflow.llm import decontaminate, language, minhash, mixing, quality
-    from pyspark.sql import functions as F
-
-    own = "doc_id long, text string, source string, lang string, n_hit int, score int, _size int, label int, node int"
-    t = " ".join(f"v{i}" for i in range(30))
-    data = [(1, t, "a", "de", 1, 1, 1, 1, 1)] * 2 + [(None, t, None, None, 2, 2, 2, 2, 2), (2, None, "a", "en", 3, 3, 3, 3, 3), (4, "", None, "en", 4, 4, 4, 4, 4), (5, "other words here", "b", "en", 5, 5, 5, 5, 5)]
-    docs = spark.createDataFrame(data, own)
-    bench = spark.createDataFrame([(1, t[:60]), (None, None)], "item_id long, text string")
-    assert minhash.link(docs).count() == 6
-    assert mixing.mix(docs.drop("_size"), F.array("source")).count() == 6
-    assert decontaminate.clean(docs, bench).count() == 6
-    model = language.Identifier(docs)
-    assert model.predict(docs.drop("score")).count() == 6
-    labels = spark.createDataFrame([(1, 1), (5, 0), (None, None)], "doc_id long, quality int")
-    assert quality.Classifier(docs, labels).score(docs, name="_p").count() == 6
-
-
-def test_pipeline(spark, world):
-    pytest.importorskip("corpus_pipeline")
-    import corpus_pipeline as p
-
-    names = ["doc_id", "text", "lang", "source", "n_chars"]
-    docs = spark.read.parquet(f"{world['dir']}/documents.parquet")
-    near = p.drop_near_copies(spark, docs, world["dir"])
-    assert near.columns == names
-    assert sorted(r.doc_id for r in near.select("doc_id").collect()) == [i for i, (_, c) in enumerate(linked(world["texts"], 5)) if i == c]
-    clean = p.drop_benchmark(spark, docs, world["dir"])
-    assert clean.columns == names and clean.count() >= docs.count() - 3
-    mixed = p.mix_sources(spark, docs, world["dir"])
-    assert mixed.columns == names and mixed.groupBy("doc_id").count().agg({"count": "max"}).first()[0] <= 3
-    assert p.keep_quality(spark, docs, world["dir"]).columns == names
-    assert p.run(spark, world["dir"]).count() >= 0
