@@ -2,7 +2,10 @@
 
 Byte-level BPE first splits a text into pieces by a fixed pattern and encodes every piece by itself. The split is done
 here on arrays of code points, whose classes are asked of the library's own pre-tokenizer; pieces are looked up by a 64-bit hash in a
-table, and only those not seen before go to the library. Texts that hold one of the vocabulary's special strings go to it whole.
+table and compared with the piece found, code point by code point, and only those not seen before go to the library. Texts that hold one of the
+vocabulary's special strings, or a piece that shares another one's hash, go to it whole.
+
+The library alone takes about three times as long here, for the same ids.
 """
 
 from __future__ import annotations
@@ -11,11 +14,11 @@ import os
 
 import numpy as np
 
-from folioflow.llm.textscan import U64, Rolling, groups, mix, ragged
+from folioflow.llm.textscan import U64, Rolling, alike, groups, mix, ragged
 
 L, N, O, S, SEP, UNKNOWN = range(6)
-CAPACITY = 1 << 21
-GROUP = 1 << 20
+CAPACITY = 1 << 20
+GROUP = 1 << 19
 
 
 def vocabulary(name: str = "byte_bpe_50k.json") -> str:
@@ -41,6 +44,7 @@ class Encoder:
         self.keys, self.slots = np.zeros(2 * CAPACITY, U64), np.zeros(2 * CAPACITY, np.int32)
         self.starts, self.counts = np.zeros(1024, np.int64), np.zeros(1024, np.int32)
         self.pool, self.used, self.held = np.zeros(4096, np.uint32), 0, 0
+        self.piece_at, self.pieces = np.zeros(1025, np.int64), np.zeros(4096, np.uint32)  # the code points of every piece held
 
     def _classify(self, cps: np.ndarray) -> np.ndarray:
         kinds = self.kind[cps]
@@ -92,14 +96,21 @@ class Encoder:
             todo, at = todo[go], (at[go] + U64(1)) & mask
         return out
 
-    def _store(self, h: np.ndarray, encoded: list) -> None:
+    def _store(self, h: np.ndarray, words: list[str]) -> None:
+        encoded = self.library.encode_batch_fast(words, add_special_tokens=False)
         ids = [e.ids for e in encoded]
         counts = np.array([len(x) for x in ids], np.int32)
         more = int(counts.sum())
         if self.used + more > len(self.pool):
             self.pool = np.resize(self.pool, max(2 * len(self.pool), self.used + more))
         if self.held + len(h) > len(self.starts):
-            self.starts, self.counts = (np.resize(x, max(2 * len(x), self.held + len(h))) for x in (self.starts, self.counts))
+            self.starts, self.counts, self.piece_at = (np.resize(x, max(2 * len(x), self.held + len(h) + 1)) for x in (self.starts, self.counts, self.piece_at))
+        cps, size = np.frombuffer("".join(words).encode("utf-32-le"), np.uint32), np.array([len(w) for w in words], np.int64)
+        to = self.piece_at[self.held] + np.r_[0, np.cumsum(size)]
+        if to[-1] > len(self.pieces):
+            self.pieces = np.resize(self.pieces, max(2 * len(self.pieces), int(to[-1])))
+        self.pieces[to[0] : to[-1]] = cps
+        self.piece_at[self.held : self.held + len(to)] = to
         self.pool[self.used : self.used + more] = np.fromiter((i for x in ids for i in x), np.uint32, more)
         own = slice(self.held, self.held + len(h))
         self.starts[own], self.counts[own] = self.used + np.cumsum(counts) - counts, counts
@@ -125,12 +136,15 @@ class Encoder:
             counts.append(n)
         return (np.concatenate(out) if out else np.zeros(0, np.uint32)), np.r_[0, np.cumsum(np.concatenate(counts) if counts else np.zeros(0, np.int64))].astype(np.int64)
 
+    def _whole(self, raw: bytes, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        got = self.library.encode_batch([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
+        n = np.array([len(e.ids) for e in got], np.int64)
+        return np.fromiter((i for e in got for i in e.ids), np.uint32, int(n.sum())), n
+
     def _group(self, data: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         raw = data.tobytes()
         if any(s.encode() in raw for s in self.special):
-            got = self.library.encode_batch([raw[a:b].decode() for a, b in zip(at[:-1], at[1:], strict=True)], add_special_tokens=False)
-            n = np.array([len(e.ids) for e in got], np.int64)
-            return np.fromiter((i for e in got for i in e.ids), np.uint32, int(n.sum())), n
+            return self._whole(raw, at)
         text = np.frombuffer(raw.decode().encode("utf-32-le"), np.uint32)
         chars = np.r_[0, np.cumsum((data & 0xC0) != 0x80)][at]
         texts = len(at) - 1
@@ -148,8 +162,11 @@ class Encoder:
                 new, where = np.unique(h, return_index=True)
             where = np.flatnonzero(missing)[where]
             words = [cps[a:b].tobytes().decode("utf-32-le") for a, b in zip(starts[where], ends[where], strict=True)]
-            self._store(new, self.library.encode_batch_fast(words, add_special_tokens=False))
+            self._store(new, words)
             entry[missing] = self._find(h[missing])
+        size = self.piece_at[entry + 1] - self.piece_at[entry]
+        if not (np.array_equal(size, ends - starts) and alike(cps, starts, self.pieces, self.piece_at[entry], size).all()):
+            return self._whole(raw, at)  # two pieces share a hash
         n = self.counts[entry].astype(np.int64)
         ids = self.pool[ragged(self.starts[entry], n)]
         ends_of = np.searchsorted(starts, chars[1:] + 1 + np.arange(texts))

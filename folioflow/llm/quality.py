@@ -4,7 +4,7 @@ Words are runs of letters, digits and bytes above ASCII, or runs of other visibl
 and a sparse ternary index vector. Its context vector is the sum, over every occurrence in every document, of its
 neighbours' index vectors, those to the right turned by one place. Each task sums its own table, the tables are added by blocks of
 buckets, and the whole (BUCKETS x DIMS numbers, whatever the corpus) goes to the driver. A document is the mean and the deviation of its words'
-normalised context and index vectors, with a few counts. The network learns from a bounded sample of labelled
+normalised context and index vectors, and the mean product of each word's with the next one's. The network learns from a bounded sample of labelled
 rows (SAMPLE, by a hash of their id) and its probabilities are calibrated by a temperature fitted on a fifth of it.
 """
 
@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import textscan as ts
-from folioflow.session import importable
+from folioflow.session import fields, importable, plain_names
 
 BUCKETS, DIMS, NONZERO = 1 << 14, 32, 4
 BLOCKS = 16
@@ -99,30 +99,28 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
     return (out / np.maximum(np.linalg.norm(out, axis=1, keepdims=True), 1e-9)).astype(np.float32)
 
 
-FEATURES = 4 * DIMS + 4
+FEATURES = 6 * DIMS
 
 
 def features(column, vectors: np.ndarray, index: np.ndarray) -> np.ndarray:
-    """A row of pooled features for each text."""
+    """A row of pooled word vectors for each text: their mean, their deviation, and how far each word's vector agrees with the next one's."""
     both = np.hstack([vectors, index / np.sqrt(NONZERO)]).astype(np.float32)
     out = np.zeros((len(column), FEATURES), np.float32)
-    for i, j, data, at in ts.groups(column, 1 << 19):
+    for i, _, data, at in ts.groups(column, 1 << 18):
         ids, first = tokens(data, at)
         n = np.diff(first)
         full = np.flatnonzero(n)
         if len(full):
             x = both[ids]
             mean = np.add.reduceat(x, first[:-1][full], axis=0) / n[full, None]
-            square = np.add.reduceat(x * x, first[:-1][full], axis=0) / n[full, None]
+            following = np.zeros_like(x)
+            np.multiply(x[:-1], x[1:], out=following[:-1])
+            following[first[1:][full] - 1] = 0
+            x *= x
+            square = np.add.reduceat(x, first[:-1][full], axis=0) / n[full, None]
             out[i + full, : 2 * DIMS] = mean
             out[i + full, 2 * DIMS : 4 * DIMS] = np.sqrt(np.maximum(square - mean * mean, 0))
-            same = np.r_[0, np.cumsum(np.r_[ids[1:] == ids[:-1], False])]
-            out[i + full, -4] = (same[first[1:][full]] - same[first[:-1][full]]) / n[full]
-            upper = np.r_[0, np.cumsum((data >= 65) & (data <= 90))]
-            size = np.diff(at)
-            out[i + full, -3] = ((upper[at[1:]] - upper[at[:-1]]) / np.maximum(size, 1))[full]
-            out[i + full, -2] = (n / np.maximum(size, 1))[full]
-        out[i:j, -1] = np.log1p(n) / 10
+            out[i + full, 4 * DIMS :] = np.add.reduceat(following, first[:-1][full], axis=0) / n[full, None]
     return out
 
 
@@ -176,15 +174,19 @@ def crc_bucket(key: str, n: int):
 
 
 class Classifier:
-    """Fitted on docs (whole texts, for the word vectors) and labels (doc_id, quality)."""
+    """Fitted on docs (whole texts, for the word vectors) and labels (doc_id, quality).
+
+    The network learns from at most sample labelled rows, in order of a hash of their id. Labels with a null id or value, and those of no document, teach
+    nothing; repeated ones count as often as they stand there. With too few labels, or one class only, the score is the share of label 1.
+    """
 
     def __init__(self, docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text: str = "text", key: str = "doc_id", label: str = "quality"):
         spark = docs.sparkSession
         importable(spark)
         self.vectors = word_vectors(docs, text)
-        chosen = labels.select(F.col(key), F.col(label).cast("int").alias("_y")).where(F.col(key).isNotNull() & F.col("_y").isNotNull()).orderBy(F.xxhash64(F.lit(1), key), key, "_y").limit(sample)
+        chosen = labels.select(F.col(key).alias("k"), F.col(label).cast("int").alias("y")).where("k is not null and y is not null").orderBy(F.xxhash64(F.lit(1), "k"), "k", "y").limit(sample)
         box = spark.sparkContext.broadcast(self.vectors)
-        rows = docs.select(F.col(key), F.col(text).alias("_t")).join(F.broadcast(chosen), key).select("_t", "_y", F.xxhash64(F.lit(1), key).alias("_h"), key)
+        rows = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(chosen), "k").select("t", "y", F.xxhash64(F.lit(1), "k").alias("h"))
 
         def run(batches):
             index = index_vectors()
@@ -197,19 +199,25 @@ class Classifier:
         self.model = fit(x, np.array([r.y for r in got], np.float64))
 
     def score(self, docs: DataFrame, text: str = "text", name: str = "score") -> DataFrame:
-        """All columns of docs and the probability of label 1; null and empty texts have one too."""
-        spark = docs.sparkSession
+        """All columns of docs and the probability of label 1 (which replaces a column of that name); null and empty texts have one too.
+
+        Keys play no part; repeated rows give repeated results, an empty table none.
+        """
+        spark, names = docs.sparkSession, docs.columns
+        plain, at = plain_names(docs), names.index(text)
         box = spark.sparkContext.broadcast((self.vectors, self.model))
 
         def run(batches):
             index = index_vectors()
             vectors, model = box.value
             for batch in batches:
-                p = probability(model, features(batch.column(batch.schema.get_field_index(text)), vectors, index))
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p, pa.float64())], names=[*batch.schema.names, name])
+                for i, j, _, _ in ts.groups(batch.column(at)):
+                    part = batch.slice(i, j - i)
+                    p = probability(model, features(part.column(at), vectors, index))
+                    yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "score"])
 
-        schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-        return docs.mapInArrow(run, f"{schema}, {name} double")
+        found = plain.mapInArrow(run, f"{fields(plain)}, score double")
+        return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() != name.lower()], F.col("score").alias(name))
 
 
 def op9(spark, sf_dir: str) -> DataFrame:
