@@ -2,9 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+import base64
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.session import fields
+
 EPS = 1e-12
 PRESETS = {"small": 16, "medium": 32, "full": 64}
 
@@ -46,3 +54,86 @@ def guarded(a, size: int) -> Column:
 
 def yes_probability(no, yes) -> Column:
     return 1 / (1 + F.exp(no - yes))
+
+
+def to_base64(a) -> Column:
+    """The components as little-endian 32-bit floats, base64 encoded."""
+
+    @F.pandas_udf("string")
+    def encoded(vectors: pd.Series) -> pd.Series:
+        return vectors.map(lambda v: base64.b64encode(np.asarray(v, "<f4").tobytes()).decode(), na_action="ignore")
+
+    return encoded(a)
+
+
+def from_base64(c, size: int) -> Column:
+    """A vector of size components; another number of them is an error."""
+
+    @F.pandas_udf("array<float>")
+    def decoded(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda t: np.frombuffer(base64.b64decode(t), "<f4").reshape(size), na_action="ignore")
+
+    return decoded(c)
+
+
+def last_token(states, mask) -> Column:
+    """The state at the last place that the mask keeps: the last one where texts are padded on the left."""
+    last = F.aggregate(F.sequence(F.lit(1), F.size(mask)), F.lit(0), lambda a, i: F.when(F.element_at(mask, i) > 0, i).otherwise(a))
+    return F.when(last > 0, F.element_at(states, F.greatest(last, F.lit(1))))
+
+
+def fitted_ids(ids, prefix: list[int], suffix: list[int], most: int) -> Column:
+    """prefix, the first ids that leave room for both, and suffix: most ids at the most."""
+    fixed = lambda xs: F.array(*[F.lit(x) for x in xs]).cast("array<int>")
+    return F.concat(fixed(prefix), F.slice(ids, 1, most - len(prefix) - len(suffix)), fixed(suffix))
+
+
+def left_padded(ids, width, pad: int = 0) -> Column:
+    """ids padded on the left to width, and the mask of what is no padding."""
+    n = F.greatest(width - F.size(ids), F.lit(0))
+    return F.struct(F.concat(F.array_repeat(F.lit(pad), n), ids).alias("ids"), F.concat(F.array_repeat(F.lit(0), n), F.array_repeat(F.lit(1), F.size(ids))).alias("mask"))
+
+
+def batches(texts: DataFrame, group: str, order: list[str], size: Column, most: int, budget: int | None = None) -> DataFrame:
+    """texts with the number of their batch in the group: at most so many, and with a budget as long as their sizes fit it.
+
+    By count alone it is arithmetic on the row's number; with a budget a text that does not fit opens a batch of its own, which only a fold can tell.
+    """
+    w = Window.partitionBy(group).orderBy(*order)
+    if budget is None:
+        return texts.withColumn("batch", F.floor((F.row_number().over(w) - 1) / most).cast("long"))
+    sized = texts.withColumn("_size", size)
+
+    def run(rows: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, number, held, used = None, 0, 0, 0
+        for batch in rows:
+            out = []
+            for key, n in zip(batch.column(batch.schema.get_field_index(group)).to_pylist(), batch.column(batch.schema.get_field_index("_size")).to_pylist(), strict=True):
+                if (key,) != last:
+                    last, number, held, used = (key,), 0, 0, 0
+                elif held and (used + n > budget or held >= most):
+                    number, held, used = number + 1, 0, 0
+                held, used = held + 1, used + n
+                out.append(number)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int64())], names=[*batch.schema.names, "batch"])
+
+    dealt = sized.repartition(group).sortWithinPartitions(group, *order)
+    return dealt.mapInArrow(run, f"{fields(sized)}, batch long").drop("_size")
+
+
+def request_problem(query: Column, documents: Column, most_documents: int, most_query: int, most_document: int) -> Column:
+    """The first guard that a request breaks, in order: empty query, no documents, too many, query too long, a document too long; null if none."""
+    long_one = F.exists(documents, lambda d: F.length(d) > most_document)
+    return (
+        F.when(query.isNull() | (F.trim(F.regexp_replace(query, r"\s", " ")) == ""), "empty query")
+        .when(documents.isNull() | (F.size(documents) == 0), "empty documents")
+        .when(F.size(documents) > most_documents, "too many documents")
+        .when(F.length(query) > most_query, "query too long")
+        .when(long_one, "document too long")
+    )
+
+
+def checked_request(query: Column, documents: Column, **limits: int) -> Column:
+    """True, or an error that names the guard."""
+    problem = request_problem(query, documents, **limits)
+    return F.when(problem.isNull(), F.lit(True)).otherwise(F.raise_error(problem))

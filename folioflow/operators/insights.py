@@ -9,11 +9,19 @@ from folioflow.functions.text import age_days
 
 
 def conflicts(values: DataFrame, keys: list[str], value: str, doc: str) -> DataFrame:
-    """Keys with more than one distinct value: values and documents, sorted."""
+    """Keys with more than one distinct value: the values, sorted, and how many documents state one. evidence() has the documents."""
     real = values.where(F.col(value).isNotNull() & (F.col(value) != ""))
-    found = real.groupBy(*keys).agg(F.sort_array(F.collect_set(value)).alias("values"), F.sort_array(F.collect_set(doc)).alias("documents"))
+    docs = real.select(*keys, doc).distinct().groupBy(*keys).agg(F.count(F.lit(1)).alias("n_documents"))
+    found = real.select(*keys, value).distinct().groupBy(*keys).agg(F.sort_array(F.collect_list(value)).alias("values")).where(F.size("values") > 1)
     title = F.concat(F.lit("Conflicting values for "), F.concat_ws(".", *keys), F.lit(": "), F.array_join("values", ", "))
-    return found.where(F.size("values") > 1).withColumn("title", title)
+    return found.join(docs, keys).withColumn("title", title)
+
+
+def evidence(values: DataFrame, keys: list[str], value: str, doc: str) -> DataFrame:
+    """keys, value, doc, a row for each document of each value of the keys in conflict; a key that most documents have stays spread out."""
+    real = values.where(F.col(value).isNotNull() & (F.col(value) != "")).select(*keys, value, doc).distinct()
+    span = real.groupBy(*keys).agg(F.min(value).alias("_lo"), F.max(value).alias("_hi")).where("_lo < _hi")
+    return real.join(span.select(*keys), keys, "left_semi")
 
 
 def aged(rows: DataFrame, at: str, now, days: int, first: str, then: str, at_days: int) -> DataFrame:

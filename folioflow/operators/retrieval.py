@@ -10,11 +10,12 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.functions import vectors as V
+from folioflow.session import cut
 
 K1, B = 1.2, 0.75
 CANDIDATES = 100
 RRF_K, WEIGHTS = 60, {"bm25": 1.0, "vector": 1.0, "terms": 0.5}
-SMALL_QUERIES = 10_000
+BLOCK_QUERIES = 4096
 
 
 def top(scored: DataFrame, n: int, score: str = "score", key: str = "id", group: str = "query_id") -> DataFrame:
@@ -29,31 +30,66 @@ def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return t.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("token")).groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
 
 
-def bm25(index: DataFrame, queries: DataFrame) -> DataFrame:
-    """query_id, id, score. index as of postings, queries (query_id, token) distinct. Statistics cover the whole index."""
-    lengths = index.select("id", "dl").distinct()
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+def indexed(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
+    """postings() as a table in the shared folder, built once for all that reads it."""
+    return cut(postings(docs, key, text))
+
+
+def in_scope(rows: DataFrame, scope: DataFrame | None, key: str = "id") -> DataFrame:
+    """Rows whose key the scope has; all without a scope. Signals are cut to it before their best are taken."""
+    return rows if scope is None else rows.join(scope.select(F.col("id").alias(key)), key, "left_semi")
+
+
+def bm25(index: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score. index as of postings, queries (query_id, token) distinct. Statistics cover the whole index, hits the scope."""
+    stats = index.agg(F.count_distinct("id").alias("n"), (F.sum("tf") / F.count_distinct("id")).alias("avgdl"))
     wanted = index.join(queries.select("token").distinct(), "token", "left_semi")
     df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
     part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = queries.join(wanted, "token").join(df, "token").crossJoin(F.broadcast(stats))  # stats is one row
+    hits = queries.join(in_scope(wanted, scope), "token").join(df, "token").crossJoin(F.broadcast(stats))  # stats is one row
     return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
 
 
-def vector_search(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """Exact cosine: each query vector (query_id, q) against all rows (id, v) of its size; queries are a stated, checked set."""
-    if queries.limit(SMALL_QUERIES + 1).count() > SMALL_QUERIES:
-        raise ValueError("more query vectors than one pass takes: search in blocks")
-    pairs = vectors.crossJoin(F.broadcast(queries)).where(F.size("v") == F.size("q"))
-    return top(pairs.select("query_id", "id", V.cosine("v", "q").alias("score")), n)
+def in_blocks(queries: DataFrame, join, block: int = BLOCK_QUERIES) -> DataFrame:
+    """The union of join(queries of a block), so that what one join broadcasts is at most about block rows of a stated query set."""
+    n = max(1, -(-queries.count() // block))
+    out = None
+    for i in range(n):
+        part = join(queries if n == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(n)) == i))
+        out = part if out is None else out.unionByName(part)
+    return out
+
 
+def vector_search(vectors: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope: DataFrame | None = None, block: int = BLOCK_QUERIES) -> DataFrame:
+    """Exact cosine to nine digits: each query vector (query_id, q) against all rows (id, v) of its size in scope, queries in blocks."""
+    own = in_scope(vectors, scope)
+    pairs = lambda q: own.crossJoin(F.broadcast(q)).where(F.size("v") == F.size("q")).select("query_id", "id", F.round(V.cosine("v", "q"), 9).alias("score"))
+    return top(in_blocks(queries, pairs, block), n)
 
-def term_search(terms: DataFrame, queries: DataFrame, n: int = CANDIDATES) -> DataFrame:
-    """Matching postings (id, term) counted for each query (query_id, term)."""
-    hits = terms.join(queries.select("query_id", "term").distinct(), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
+
+def term_search(terms: DataFrame, queries: DataFrame, n: int = CANDIDATES, scope: DataFrame | None = None) -> DataFrame:
+    """Matching postings (id, term) in scope counted for each query (query_id, term)."""
+    hits = in_scope(terms, scope).join(queries.select("query_id", "term").distinct(), "term").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("score"))
     return top(hits, n)
 
 
+def containing(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
+    """query_id, id: documents (id, text) that hold an item (query_id, t) whole.
+
+    An equi join on the item's second to sixth word brings them together, and the strings decide; items of fewer words go in blocks.
+    """
+    split = lambda c: F.split(F.trim(F.regexp_replace(c, r"\s+", " ")), " ")
+    gram = lambda w, i: F.xxhash64(F.slice(w, i, words))
+    named = items.where("query_id is not null and t <> ''").withColumn("w", split(F.col("t"))).withColumn("long", F.size("w") >= words + 2)
+    keyed = named.where("long").select("query_id", "t", gram(F.col("w"), F.lit(2)).alias("g"))
+    own = docs.select("id", split(F.col("text")).alias("w")).where(F.size("w") >= words)
+    grams = own.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: gram(F.col("w"), i)))).alias("g"))
+    near = grams.join(keyed, "g").select("id", "query_id", "t")
+    found = near.join(docs.select("id", "text"), "id").where(F.expr("instr(text, t) > 0")).select("query_id", "id")
+    short = named.where("not long").select("query_id", "t")
+    return found.unionByName(in_blocks(short, lambda q: docs.join(F.broadcast(q), F.expr("instr(text, t) > 0")).select("query_id", "id"))).distinct()
+
+
 def fuse(bm25: DataFrame, vector: DataFrame, terms: DataFrame, k: int = RRF_K, weights: dict | None = None) -> DataFrame:
     """Weighted reciprocal rank fusion of three ranked frames (query_id, id, rank); the three addends have a fixed order."""
     w = weights or WEIGHTS
@@ -91,9 +127,10 @@ def facets(results: DataFrame, column: str, n: int = 20) -> DataFrame:
     return counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
-def search(index: DataFrame, vectors: DataFrame, terms: DataFrame, docs: DataFrame, queries: DataFrame, query_vectors: DataFrame, query_terms: DataFrame, per: str = "project", cap: int = 3, limit: int = 20) -> DataFrame:
-    """The whole hybrid search as one plan: three ranked signals, fusion, the documents' columns, cap and limit."""
-    fused = fuse(top(bm25(index, queries), CANDIDATES), vector_search(vectors, query_vectors), term_search(terms, query_terms))
+def search(index: DataFrame, vectors: DataFrame, terms: DataFrame, docs: DataFrame, queries: DataFrame, query_vectors: DataFrame, query_terms: DataFrame, scope: DataFrame | None = None, per: str = "project", cap: int | None = 3, limit: int = 20) -> DataFrame:
+    """The whole hybrid search as one plan: three ranked signals, each within scope, fusion, the documents' columns, cap and limit."""
+    lexical = bm25(index, queries, scope).withColumn("score", F.round("score", 6))
+    fused = fuse(top(lexical, CANDIDATES), vector_search(vectors, query_vectors, scope=scope), term_search(terms, query_terms, scope=scope))
     return capped(fused.join(docs, "id"), per, cap, limit)
 
 

@@ -164,15 +164,18 @@ def _values(s, d):
 
 
 VALUES = "vals AS (SELECT event_type AS entity, CAST(user_id % 20 AS VARCHAR) AS property, json_extract_string(props, '$.k') AS value, CAST(user_id AS VARCHAR) AS doc FROM events)"
-CONF = "SELECT {k}, array_to_string(list_sort(list(DISTINCT value)), ',') AS vals, array_to_string(list_sort(list(DISTINCT doc)), ',') AS docs FROM vals WHERE value <> '' GROUP BY {k} HAVING count(DISTINCT value) > 1"
+CONF = "SELECT {k}, array_to_string(list_sort(list(DISTINCT value)), ',') AS vals, count(DISTINCT doc) AS n_documents FROM vals WHERE value <> '' GROUP BY {k} HAVING count(DISTINCT value) > 1"
+EVIDENCE = "SELECT DISTINCT {k}, value, doc FROM vals SEMI JOIN (SELECT {k} FROM vals WHERE value <> '' GROUP BY {k} HAVING count(DISTINCT value) > 1) USING ({k}) WHERE value <> ''"
 
 
 def _flat() -> list:
-    return [F.array_join("values", ",").alias("vals"), F.array_join("documents", ",").alias("docs")]
+    return [F.array_join("values", ",").alias("vals"), "n_documents"]
 
 
 add("AGG12_version_conflicts", lambda s, d: I.conflicts(_values(s, d), ["entity"], "value", "doc").select("entity", *_flat()), f"WITH {VALUES} " + CONF.format(k="entity"))
 add("AGG13_property_conflicts", lambda s, d: I.conflicts(_values(s, d), ["entity", "property"], "value", "doc").select("entity", "property", *_flat()), f"WITH {VALUES} " + CONF.format(k="entity, property"))
+add("AGG12_conflict_evidence", lambda s, d: I.evidence(_values(s, d), ["entity"], "value", "doc"), f"WITH {VALUES} " + EVIDENCE.format(k="entity"))
+add("AGG13_conflict_evidence", lambda s, d: I.evidence(_values(s, d), ["entity", "property"], "value", "doc"), f"WITH {VALUES} " + EVIDENCE.format(k="entity, property"))
 
 
 def _mentions(s, d):

@@ -24,7 +24,12 @@ def _queries(s, d):
 
 
 def _index(s, d):
-    return R.postings(_docs(s, d))
+    return R.indexed(_docs(s, d))
+
+
+def _live(s, d):
+    """The scope of searches: documents that aren't deleted."""
+    return _docs(s, d).where("status <> 'deleted'").select("id")
 
 
 P = "p AS (SELECT id, token, count(*) AS tf, any_value(dl) AS dl FROM (SELECT doc_id AS id, len(t) AS dl, unnest(t) AS token FROM (SELECT doc_id, regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+') AS t FROM documents) WHERE len(t) > 0) GROUP BY id, token)"
@@ -50,7 +55,7 @@ COS = "vs AS (SELECT b.vec_id // 50 AS query_id, a.vec_id AS id, round(list_cosi
 
 
 def _vector(s, d):
-    return R.top(_vectors(s, d).crossJoin(F.broadcast(_query_vectors(s, d))).select("query_id", "id", F.round(V.cosine("v", "q"), 9).alias("score")), 100)
+    return R.vector_search(_vectors(s, d), _query_vectors(s, d))
 
 
 Q["RET3_vector_search"] = _vector
@@ -81,16 +86,19 @@ def _fused(s, d):
 
 
 FUSED = "u AS (SELECT query_id, id, rank AS rb, NULL AS rv, NULL AS rt FROM b UNION ALL SELECT query_id, id, NULL, rank, NULL FROM v UNION ALL SELECT query_id, id, NULL, NULL, rank FROM t), f AS (SELECT query_id, id, max(rb) AS rank_bm25, max(rv) AS rank_vector, max(rt) AS rank_terms FROM u GROUP BY query_id, id), fused AS (SELECT *, round(coalesce(1.0 / (60 + rank_bm25), 0) + coalesce(1.0 / (60 + rank_vector), 0) + coalesce(0.5 / (60 + rank_terms), 0), 9) AS fused FROM f)"
-ALL = f"{BM}, {TOPB}, {COS}, {TERMS}, {FUSED}"
+UNSCOPED = f"{BM}, {TOPB}, {COS}, {TERMS}, {FUSED}"
 Q["RET5_rrf_fusion"] = _fused
-S["RET5_rrf_fusion"] = f"WITH {ALL} SELECT query_id, id, CAST(rank_bm25 AS INTEGER) AS rank_bm25, CAST(rank_vector AS INTEGER) AS rank_vector, CAST(rank_terms AS INTEGER) AS rank_terms, CAST(fused AS DOUBLE) AS fused FROM fused"
+S["RET5_rrf_fusion"] = f"WITH {UNSCOPED} SELECT query_id, id, CAST(rank_bm25 AS INTEGER) AS rank_bm25, CAST(rank_vector AS INTEGER) AS rank_vector, CAST(rank_terms AS INTEGER) AS rank_terms, CAST(fused AS DOUBLE) AS fused FROM fused"
 
 
 def _hybrid(s, d, cap=3, limit=20):
-    return R.capped(_fused(s, d).join(_docs(s, d).where("status <> 'deleted'"), "id"), "project", cap, limit)
+    return R.search(_index(s, d), _vectors(s, d), _terms(s, d), _docs(s, d), _queries(s, d), _query_vectors(s, d), _query_terms(s, d), _live(s, d), cap=cap, limit=limit)
 
 
-HY = "h AS (SELECT f.query_id, f.id, f.fused, f.rank_bm25, f.rank_vector, f.rank_terms, x.source AS project, x.lang AS doc_type, x.text FROM fused f JOIN documents x ON x.doc_id = f.id WHERE x.doc_id % 10 <> 0), hc AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, project ORDER BY fused DESC, id) <= 3), hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS final_rank FROM hc QUALIFY final_rank <= 20)"
+# the scope holds within each signal, before its best hundred are taken
+TOPB_LIVE = TOPB.replace("FROM bm QUALIFY", "FROM bm WHERE id % 10 <> 0 QUALIFY")
+ALL = f"{BM}, {TOPB_LIVE}, {COS.replace('ON b.vec_id % 50 = 0)', 'ON b.vec_id % 50 = 0 JOIN documents x ON x.doc_id = a.vec_id WHERE x.doc_id % 10 <> 0)')}, {TERMS.replace('USING (term) GROUP', 'USING (term) WHERE id % 10 <> 0 GROUP')}, {FUSED}"
+HY = "h AS (SELECT f.query_id, f.id, f.fused, f.rank_bm25, f.rank_vector, f.rank_terms, x.source AS project, x.lang AS doc_type, x.text FROM fused f JOIN documents x ON x.doc_id = f.id), hc AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY query_id, project ORDER BY fused DESC, id) <= 3), hy AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fused DESC, id) AS final_rank FROM hc QUALIFY final_rank <= 20)"
 Q["RET6_hybrid_search"] = lambda s, d: _hybrid(s, d).select("query_id", "final_rank", "id", "project", "doc_type", "fused", X.snippet(F.col("text")).alias("snippet"), F.array_join(X.signals("rank_bm25", "rank_vector", "rank_terms"), ",").alias("signals"))
 SNIP = "CASE WHEN length(regexp_replace(text, '^\\s+|\\s+$', '', 'g')) > 200 THEN regexp_replace(substring(regexp_replace(text, '^\\s+|\\s+$', '', 'g'), 1, 200), '\\s+$', '') || '...' ELSE regexp_replace(text, '^\\s+|\\s+$', '', 'g') END"
 S["RET6_hybrid_search"] = f"WITH {ALL}, {HY} SELECT query_id, CAST(final_rank AS INTEGER) AS final_rank, id, project, doc_type, CAST(fused AS DOUBLE) AS fused, {SNIP} AS snippet, concat_ws(',', CASE WHEN rank_bm25 IS NOT NULL THEN 'keyword' END, CASE WHEN rank_vector IS NOT NULL THEN 'semantic' END, CASE WHEN rank_terms IS NOT NULL THEN 'exact-term' END) AS signals FROM hy"
@@ -111,8 +119,8 @@ Q["RET8_hydration"] = lambda s, d: _hybrid(s, d).select("query_id", "id", "proje
 S["RET8_hydration"] = f"WITH {ALL}, {HY} SELECT hy.query_id, hy.id, hy.project, g.terms FROM hy LEFT JOIN (SELECT id, string_agg(term, ',' ORDER BY term) AS terms FROM (SELECT DISTINCT id, term FROM tx) GROUP BY id) g ON g.id = hy.id"
 Q["UI2_facet_refinement"] = lambda s, d: _hybrid(s, d).select("query_id", "id").join(_terms(s, d).where("term like 'TH%'").select("id").distinct(), "id", "left_semi")
 S["UI2_facet_refinement"] = f"WITH {ALL}, {HY} SELECT query_id, id FROM hy WHERE id IN (SELECT id FROM tx WHERE term LIKE 'TH%')"
-Q["RET7_lexical_phase"] = lambda s, d: R.capped(Q["TOP1_bm25_top100"](s, d).withColumn("fused", F.round(1.0 / (60 + F.col("rank")), 9)).join(_docs(s, d), "id"), "project", 3, 20).select("query_id", "final_rank", "id")
-S["RET7_lexical_phase"] = f"WITH {BM}, {TOPB}, l AS (SELECT b.*, source AS project FROM b JOIN documents ON doc_id = id), lc AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, project ORDER BY rank) <= 3) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS final_rank, id FROM lc QUALIFY final_rank <= 20"
+Q["RET7_lexical_phase"] = lambda s, d: R.capped(R.top(R.bm25(_index(s, d), _queries(s, d), _live(s, d)).withColumn("score", F.round("score", 6)), 100).withColumn("fused", F.round(1.0 / (60 + F.col("rank")), 9)).join(_docs(s, d), "id"), "project", 3, 20).select("query_id", "final_rank", "id")
+S["RET7_lexical_phase"] = f"WITH {BM}, {TOPB_LIVE}, l AS (SELECT b.*, source AS project FROM b JOIN documents ON doc_id = id), lc AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, project ORDER BY rank) <= 3) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS final_rank, id FROM lc QUALIFY final_rank <= 20"
 
 
 def _reranked(s, d):
@@ -132,11 +140,8 @@ S["AGG22_score_distribution"] = "SELECT event_type, min(value) AS lo, max(value)
 
 
 def _gold(s, d):
-    """Documents that hold a benchmark text whole: the expected results. Items are a bounded table, checked before it is broadcast."""
-    items = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("t"))
-    if items.limit(R.SMALL_QUERIES + 1).count() > R.SMALL_QUERIES:
-        raise ValueError("more benchmark items than one pass takes")
-    return _docs(s, d).join(F.broadcast(items), F.expr("instr(text, t) > 0")).select("query_id", "id")
+    """Documents that hold a benchmark text whole: the expected results."""
+    return R.containing(_docs(s, d), table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("t")))
 
 
 def _ranked_gold(s, d):

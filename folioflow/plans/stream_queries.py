@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from contextlib import contextmanager
+
 from pyspark.sql import functions as F
 
 from folioflow.plans import bindings as B
@@ -32,7 +34,8 @@ def _events(s, d):
 GAP = 1800_000_000
 add("STR1_debounce", lambda s, d: T.debounced(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "30 minutes").select("user_id", "n", B.micros("first").alias("first"), B.micros("last").alias("last")), f"WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, t, sum(CASE WHEN b IS NULL OR t - b > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e) SELECT user_id, count(*) AS n, min(t) AS first, max(t) AS last FROM g GROUP BY user_id, k")
 add("STR2_change_only", lambda s, d: T.changed(_events(s, d), "user_id", ["at_us", "event_id"], "event_type"), "WITH c AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at_us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type, at_us FROM c WHERE b IS DISTINCT FROM event_type")
-add("STR4_rate_limit", lambda s, d: T.rate_limited(_events(s, d), "user_id", "at_us", "event_id", 2, 86400).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), count_all().alias("n")))
+RATE = "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, k, [t] AS w, true AS ok FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN len(list_filter(f.w, lambda x: x > e.t - 86400000000)) < 2 THEN list_append(list_filter(f.w, lambda x: x > e.t - 86400000000), e.t) ELSE f.w END, len(list_filter(f.w, lambda x: x > e.t - 86400000000)) < 2 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)"
+add("STR4_rate_limit", lambda s, d: T.rate_limited(_events(s, d), "user_id", "at_us", "event_id", 2, 86400).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), count_all().alias("n")), f"{RATE} SELECT user_id, count(*) FILTER (WHERE ok) AS allowed, count(*) AS n FROM f GROUP BY user_id")
 DAY = 86_400_000_000
 add("STR5_idempotency_ttl", lambda s, d: T.first_in_ttl(_events(s, d), ["user_id", "event_type"], "at_us", "event_id", DAY), f"WITH RECURSIVE e AS (SELECT user_id, event_type, event_id, epoch_us(ts) AS t FROM events), f AS (SELECT user_id, event_type, arg_min(event_id, (t, event_id)) AS event_id, min(t) AS t FROM e GROUP BY user_id, event_type UNION ALL SELECT * FROM (SELECT f.user_id, f.event_type, arg_min(e.event_id, (e.t, e.event_id)) AS event_id, min(e.t) AS t FROM f JOIN e ON e.user_id = f.user_id AND e.event_type = f.event_type AND e.t - f.t >= {DAY} GROUP BY f.user_id, f.event_type, f.t)) SELECT user_id, event_type, event_id FROM f")
 NOW = 1706659200000000
@@ -40,14 +43,26 @@ add("STR6_session_state", lambda s, d: T.sessions(_events(s, d).withColumn("kind
 add("STR7_write_barrier", lambda s, d: T.barrier(_events(s, d), "user_id", "at_us", "event_id", F.col("event_type") == "purchase", F.col("event_type") == "view", DAY).select("user_id", "event_id", "checked_at", "open"), f"WITH w AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS t, max(CASE WHEN event_type = 'view' THEN epoch_us(ts) END) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS checked_at FROM events) SELECT user_id, event_id, checked_at, coalesce(t - checked_at <= {DAY}, false) AS open FROM w WHERE event_type = 'purchase'")
 
 
+@contextmanager
+def _rocks(s):
+    """The state store that stateful processors need, for the streams started inside."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    before = s.conf.get(key, None)
+    s.conf.set(key, T.ROCKS)
+    try:
+        yield
+    finally:
+        s.conf.unset(key) if before is None else s.conf.set(key, before)
+
+
 def _streamed(s, d):
     """STR2 as a stream over the events file until it is read whole; equal to its batch form."""
-    s.conf.set("spark.sql.streaming.stateStore.providerClass", T.ROCKS)
     out = shared_dir(s)
     schema = table(s, d, "events").schema
     rows = T.event_stream(s, d, schema, pathGlobFilter="events.parquet").select("user_id", "event_id", "event_type", F.unix_micros("ts").alias("at_us"))
-    q = T.changed_stream(rows, "user_id", "at_us", "event_type").writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
-    q.awaitTermination()
+    with _rocks(s):
+        q = T.changed_stream(rows, "user_id", ["at_us", "event_id"], "event_type").writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state").trigger(availableNow=True).start(f"{out}/rows")
+        q.awaitTermination()
     got = s.read.parquet(f"{out}/rows")
     return got.select("user_id", "event_id", "event_type", "at_us")
 
@@ -65,7 +80,39 @@ def _windowed(s, d):
     return s.read.parquet(f"{out}/rows")
 
 
-add("STR3_windowed_counts_stream", _windowed, "SELECT epoch_us(date_trunc('day', ts)) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+add("ADD1_windowed_counts_stream", _windowed, "SELECT epoch_us(date_trunc('day', ts)) AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
+
+
+# orders are jobs: status O is queued, the priority is its first letter, older ones first
+JOBS = "jobs AS (SELECT o_orderkey AS job_id, CASE o_orderstatus WHEN 'O' THEN 'queued' WHEN 'P' THEN 'running' ELSE 'completed' END AS status, CAST(substring(o_orderpriority, 1, 1) AS INTEGER) AS priority, o_orderdate AS created_at, o_custkey % 5 AS pool FROM orders)"
+
+
+def _jobs(s, d):
+    status = F.when(F.col("o_orderstatus") == "O", "queued").when(F.col("o_orderstatus") == "P", "running").otherwise("completed")
+    return table(s, d, "orders").select(F.col("o_orderkey").alias("job_id"), status.alias("status"), F.substring("o_orderpriority", 1, 1).cast("int").alias("priority"), F.col("o_orderdate").alias("created_at"), (F.col("o_custkey") % 5).alias("pool"))
+
+
+add("STR3_queue_poll", lambda s, d: T.polled(_jobs(s, d), "pool", ["priority", "created_at", "job_id"]), f"WITH {JOBS} SELECT job_id, 'running' AS status, priority, created_at, pool FROM jobs WHERE status = 'queued' QUALIFY row_number() OVER (PARTITION BY pool ORDER BY priority, created_at, job_id) = 1")
+
+
+def _poll_stream(s, d):
+    """The queue as a stream of job files: what polls hand to the worker, until nothing is queued."""
+    out = shared_dir(s)
+    _jobs(s, d).repartition(4, "job_id").write.parquet(f"{out}/queue")
+    queue = s.readStream.schema(_jobs(s, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/queue")
+    T.poll_stream(queue, lambda df, n: df.withColumn("status", F.lit("running")).write.mode("overwrite").parquet(f"{out}/done/poll={n}"), f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/done").groupBy("pool", "status").agg(count_all().alias("n"))
+
+
+add("STR3_queue_poll_stream", _poll_stream, f"WITH {JOBS} SELECT pool, 'running' AS status, count(*) AS n FROM jobs WHERE status = 'queued' GROUP BY pool")
+
+
+def _polls(s, d):
+    """Each conversation's turns are polls of a workspace, whose state is the role and whether the text is long."""
+    return table(s, d, "conversations").select("conv_id", "turn", "role", (F.length("text") > 200).alias("long"))
+
+
+add("STR9_snapshot_push", lambda s, d: T.pushed(_polls(s, d), "conv_id", ["turn"], ["role", "long"]).select("conv_id", "turn", "payload"), "WITH p AS (SELECT conv_id, turn, '{\"role\":\"' || role || '\",\"long\":' || CASE WHEN length(text) > 200 THEN 'true' ELSE 'false' END || '}' AS payload FROM conversations) SELECT conv_id, turn, payload FROM p QUALIFY lag(payload) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM payload")
 
 
 def _paths(s, d):
@@ -93,6 +140,78 @@ def _written(s, d):
 add("SRC5_text_files", _written, "SELECT source AS project, count(*) AS lines, CAST(sum(length(text)) AS BIGINT) AS chars FROM documents GROUP BY source")
 
 
+KINDS = ("md", "sql", "json", "pdf", "tmp", "txt")
+
+
+def _tree(s, d):
+    """Small documents as files of several kinds below projects, some in folders that scans leave out; Markdown has front matter."""
+    out = shared_dir(s)
+    kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
+    folder = F.when(F.col("doc_id") % 7 == 0, "docs/.git").when(F.col("doc_id") % 11 == 0, "node_modules").otherwise("docs")
+    head = F.when(kind == "md", F.concat(F.lit("---\ntitle: Doc "), F.col("doc_id").cast("string"), F.lit("\nstatus: final\n---\n"))).otherwise("")
+    rows = table(s, d, "documents").where("doc_id < 120").select(F.concat_ws("/", "source", folder, F.concat(F.lit("my-doc_"), F.col("doc_id").cast("string"), F.lit("."), kind)).alias("path"), F.concat(head, "text").alias("text"))
+
+    def put(batches):
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(out)
+        for batch in batches:
+            for path, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files.create_dir(f"{top}/{path}".rpartition("/")[0], recursive=True)
+                with files.open_output_stream(f"{top}/{path}") as sink:
+                    sink.write((text or "").encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(put, "path string, text string").count()
+    return out
+
+
+TREE = "tree AS (SELECT doc_id, source, kind, source || '/docs/my-doc_' || doc_id || '.' || kind AS path, CASE WHEN kind = 'md' THEN '---' || chr(10) || 'title: Doc ' || doc_id || chr(10) || 'status: final' || chr(10) || '---' || chr(10) ELSE '' END || text AS content, text FROM (SELECT *, list_extract(['md', 'sql', 'json', 'pdf', 'tmp', 'txt'], CAST(doc_id % 6 + 1 AS BIGINT)) AS kind FROM documents WHERE doc_id < 120 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0) WHERE kind <> 'tmp')"
+add("SRC1_directory_scan", lambda s, d: X.scan(s, _tree(s, d)).select("path", "size"), f"WITH {TREE} SELECT path, CAST(strlen(content) AS BIGINT) AS size FROM tree")
+add("SRC3_scanned_state", lambda s, d: X.file_state(X.scan(s, _tree(s, d))).select("path", "size", "hash"), f"WITH {TREE} SELECT path, CAST(strlen(content) AS BIGINT) AS size, 'sha256:' || sha256(content) AS hash FROM tree")
+add("SRC4_document_listing", lambda s, d: X.listing(X.texts(X.scan(s, _tree(s, d)))), f"WITH {TREE} SELECT path, CASE WHEN kind = 'md' THEN 'Doc ' || doc_id ELSE 'My Doc ' || doc_id END AS title, CASE kind WHEN 'sql' THEN 'schema' WHEN 'json' THEN 'config' WHEN 'pdf' THEN 'reference' ELSE 'note' END AS type, CASE WHEN kind = 'md' THEN 'final' ELSE 'draft' END AS status FROM tree")
+add("SRC5_scanned_texts", lambda s, d: X.texts(X.scan(s, _tree(s, d))).select("path", "kind", F.md5("text").alias("h")), f"WITH {TREE} SELECT path, CASE kind WHEN 'md' THEN 'extracted' WHEN 'pdf' THEN 'unsupported' ELSE 'raw' END AS kind, md5(CASE WHEN kind = 'pdf' THEN '' ELSE text END) AS h FROM tree")
+add("SRC6_unsupported_kinds", lambda s, d: X.texts(X.scan(s, _tree(s, d))).where("kind = 'unsupported'").groupBy(F.regexp_extract("path", r"\.([^./]+)$", 1).alias("suffix")).agg(count_all().alias("n"), F.sum(F.length("text")).cast("long").alias("chars")), f"WITH {TREE} SELECT kind AS suffix, count(*) AS n, 0::BIGINT AS chars FROM tree WHERE kind = 'pdf' GROUP BY kind")
+
+
+def _manifests(s, d):
+    """Projects as manifests of four lines, JSON over several lines being YAML too."""
+    out = shared_dir(s)
+    rows = table(s, d, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("p"), F.concat(F.lit('{"name": "'), "n_name", F.lit('",\n "region": '), F.col("n_regionkey").cast("string"), F.lit(',\n "tags": ["a",\n "b"]}')).alias("t"))
+    _put(rows, out, "/project.yaml")
+    return X.manifests(s, out, "name string, region int, tags array<string>").select("name", "region", F.array_join("tags", ",").alias("tags"))
+
+
+def _put(rows, out: str, name: str) -> None:
+    """Writes t of every row to the folder p below out."""
+
+    def put(batches):
+        from pyarrow import fs
+
+        files, top = fs.FileSystem.from_uri(out)
+        for batch in batches:
+            for p, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                files.create_dir(f"{top}/{p}", recursive=True)
+                with files.open_output_stream(f"{top}/{p}{name}") as sink:
+                    sink.write(t.encode())
+            yield batch.slice(0, 0)
+
+    rows.mapInArrow(put, "p string, t string").count()
+
+
+add("SRC7_manifests", _manifests, "SELECT n_name AS name, n_regionkey::INTEGER AS region, 'a,b' AS tags FROM nation")
+
+
+def _attachments(s, d):
+    out = shared_dir(s)
+    rows = table(s, d, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 3).cast("string"), F.when(F.col("s_suppkey") % 5 == 0, "/docs/a").otherwise("/attachments/a"), F.col("s_suppkey").cast("string")).alias("p"), F.concat(F.lit('{"size": 1'), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit(',\n "blob_path": "blobs/'), F.md5("s_name"), F.lit('"'))).otherwise(""), F.lit("}")).alias("t"))
+    _put(rows, out, "/metadata.yaml")
+    return X.attachments(s, out)
+
+
+add("SRC10_attachment_metadata", _attachments, "SELECT 'p' || s_suppkey % 3 || '/attachments/a' || s_suppkey || '/metadata.yaml' AS document, 'blobs/' || md5(s_name) AS blob_path FROM supplier WHERE s_suppkey < 60 AND s_suppkey % 5 <> 0 AND s_suppkey % 4 > 0")
+
+
 def _blobs(s, d):
     f = table(s, d, "documents").select(F.concat(F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.encode("text", "UTF-8").alias("content"))
     return X.blobs(f).select("hash", "blob")

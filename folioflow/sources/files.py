@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def document_type(path: Column) -> Column:
 def scan(spark: SparkSession, root: str, suffixes: tuple = ("md", "txt", "sql", "prisma", "yaml", "yml", "json", "pdf", "docx")) -> DataFrame:
     """path (below root), size, modified, content of all wanted files with an allowed suffix."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.{" + ",".join(suffixes) + "}").load(root)
-    below = F.regexp_replace("path", "^.*?" + root.rstrip("/").replace(".", r"\.") + "/", "")
+    below = F.regexp_replace("path", "^.*?" + root.removeprefix("file:").rstrip("/").replace(".", r"\.") + "/", "")
     return files.select(below.alias("path"), F.col("length").alias("size"), F.col("modificationTime").alias("modified"), "content").where(wanted(F.col("path")))
 
 
@@ -66,22 +67,32 @@ def projects(files: DataFrame) -> DataFrame:
 
 
 def manifests(spark: SparkSession, root: str, schema: str, glob: str = "*.yaml") -> DataFrame:
-    """YAML or JSON files as rows of schema; YAML by its library if it is there, else the JSON subset."""
+    """path and the fields of schema of every YAML or JSON file under root; YAML by its library where that is installed, else its JSON subset."""
     import json
 
-    try:
-        import yaml
-
-        load = yaml.safe_load
-    except ImportError:
-        load = json.loads
+    from folioflow.operators.textetl import loaded_yaml
 
     @F.pandas_udf("string")
-    def as_json(s):
-        return s.map(lambda t: json.dumps(load(t), default=str))
-
-    raw = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root)
-    return raw.select(F.input_file_name().alias("path"), F.from_json(as_json("value"), schema).alias("m")).select("path", "m.*")
+    def as_json(texts: pd.Series) -> pd.Series:
+        def one(t: str) -> str | None:
+            try:
+                return json.dumps(json.loads(t), default=str)
+            except ValueError:
+                got = loaded_yaml(t)
+                return None if got is None else json.dumps(got, default=str)
+
+        return texts.map(one, na_action="ignore")
+
+    raw = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", glob).text(root, wholetext=True)
+    # the file's own metadata, since input_file_name() is asked after the Python batch and may then name a later file
+    return raw.select(F.col("_metadata.file_path").alias("path"), F.from_json(as_json("value"), schema).alias("m")).select("path", "m.*")
+
+
+def attachments(spark: SparkSession, root: str) -> DataFrame:
+    """document (the metadata file below root) and blob_path of every attachments/*/metadata.yaml that names a blob."""
+    found = manifests(spark, root, "blob_path string", "metadata.yaml")
+    below = F.regexp_replace("path", "^.*?" + root.removeprefix("file:").rstrip("/").replace(".", r"\.") + "/", "")
+    return found.select(below.alias("document"), "blob_path").where(F.col("document").rlike(r"(^|/)attachments/[^/]+/metadata\.yaml$") & (F.col("blob_path") != ""))
 
 
 def blob_path(digest: Column, path: Column) -> Column:

@@ -5,13 +5,16 @@ Each has a batch form over a table and, where state is needed, a Structured Stre
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import deque
+from collections.abc import Callable, Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.operators.history import changes
+from folioflow.session import fields
 
 ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -32,7 +35,7 @@ def changed(events: DataFrame, key: str, order: list[str], state: str) -> DataFr
     return changes(events, [key], order, state)
 
 
-def changed_stream(events: DataFrame, key: str, order: str, state: str) -> DataFrame:
+def changed_stream(events: DataFrame, key: str, order: list[str], state: str) -> DataFrame:
     """changed as a stream: the last state of every key is kept in the state store. Events of one batch are taken in their order."""
     from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
@@ -41,7 +44,7 @@ def changed_stream(events: DataFrame, key: str, order: str, state: str) -> DataF
             self.last = handle.getValueState("last", "v string")
 
         def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-            got = pd.concat(list(rows)).sort_values(order)
+            got = pd.concat(list(rows)).sort_values(order, kind="stable")
             known, keep = (self.last.get()[0] if self.last.exists() else None), []
             for v in got[state]:
                 keep.append(v != known)
@@ -55,29 +58,82 @@ def changed_stream(events: DataFrame, key: str, order: str, state: str) -> DataF
     return events.groupBy(key).transformWithStateInPandas(Last(), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
+def folded(events: DataFrame, keys: list[str], order: list[str], start: Callable, column: str) -> DataFrame:
+    """events with a boolean column: start() gives a key's fold, a function of the first order column's value, called for each event in order.
+
+    Events come sorted and stream through the fold, so a task holds one batch and the state of one key, however many events a key has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, step = None, None
+        for batch in batches:
+            own = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
+            out = []
+            for *key, at in zip(*own, batch.column(batch.schema.get_field_index(order[0])).to_pylist(), strict=True):
+                if step is None or key != last:
+                    last, step = key, start()
+                out.append(step(at))
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.bool_())], names=[*batch.schema.names, column])
+
+    dealt = events.repartition(*keys).sortWithinPartitions(*keys, *order)
+    return dealt.mapInArrow(run, f"{fields(events)}, {column} boolean")
+
+
 def rate_limited(events: DataFrame, key: str, at: str, order: str, most: int, seconds: int) -> DataFrame:
     """Events with allowed: at most so many allowed ones in the seconds before, rejected ones don't count. A fold over each key's events."""
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values([at, order])
-        window: list = []
-        out = []
-        for t in g[at]:
-            window = [x for x in window if x > t - seconds * 1_000_000]
-            out.append(len(window) < most)
-            if out[-1]:
-                window.append(t)
-        return g.assign(allowed=out)
+    def start() -> Callable:
+        window: deque = deque(maxlen=most) if most else deque()
 
-    return events.groupBy(key).applyInPandas(run, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in events.schema.fields) + ", allowed boolean")
+        def step(t: int) -> bool:
+            fine = most > 0 and (len(window) < most or window[0] <= t - seconds * 1_000_000)
+            if fine:
+                window.append(t)  # the oldest of most allowed ones leaves
+            return fine
+
+        return step
+
+    return folded(events, [key], [at, order], start, "allowed")
 
 
 def first_in_ttl(events: DataFrame, keys: list[str], at: str, order: str, micros: int) -> DataFrame:
-    """An event is new when no new event of its keys lies less than micros before it: a fold by aggregate over the sorted events."""
-    rows = F.array_sort(F.collect_list(F.struct(F.col(at).alias("t"), F.col(order).alias("o"))))
-    zero = F.struct(F.lit(None).cast("long").alias("last"), F.array().cast("array<bigint>").alias("new"))
-    step = lambda a, x: F.when(a["last"].isNull() | (x["t"] - a["last"] >= micros), F.struct(x["t"].alias("last"), F.concat(a["new"], F.array(x["o"])).alias("new"))).otherwise(a)
-    return events.groupBy(*keys).agg(F.aggregate(rows, zero, step, lambda a: a["new"]).alias("new")).select(*keys, F.explode("new").alias(order))
+    """keys and order of new events: an event is new when no new event of its keys lies less than micros before it."""
+
+    def start() -> Callable:
+        last: list = []
+
+        def step(t: int) -> bool:
+            fine = not last or t - last[0] >= micros
+            if fine:
+                last[:] = [t]
+            return fine
+
+        return step
+
+    return folded(events, keys, [at, order], start, "fresh").where("fresh").select(*keys, order)
+
+
+def polled(queue: DataFrame, by: str, order: list, worker: str | None = None) -> DataFrame:
+    """What a worker's poll takes of each queue (by): the first queued job by order, one a poll."""
+    first = Window.partitionBy(by).orderBy(*order)
+    taken = queue.where("status = 'queued'").withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+    return taken.withColumn("status", F.lit("running")) if worker is None else taken.withColumn("status", F.lit("running")).withColumn("worker", F.lit(worker))
+
+
+def poll_stream(queue: DataFrame, sink: Callable, checkpoint: str, every: str | None = None):
+    """The poll loop as a stream: each trigger hands the queued jobs that came since the last one to sink, most urgent first.
+
+    Without every it takes what is there and ends; with it, it polls at that pace until it is stopped.
+    """
+    work = lambda df, n: sink(df.where("status = 'queued'").orderBy("priority", "created_at", "job_id"), n)
+    writer = queue.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
+    return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
+
+
+def pushed(snapshots: DataFrame, key: str, order: list[str], payload: list[str]) -> DataFrame:
+    """Polls of a snapshot whose serialised payload differs from the last one of their key: what a watcher is sent."""
+    said = snapshots.withColumn("_said", F.to_json(F.struct(*payload), {"ignoreNullFields": "false"}))
+    return changes(said, [key], order, "_said").withColumn("payload", F.col("_said")).drop("_said")
 
 
 def sessions(events: DataFrame, key: str, at: str, kind: str, now, idle: int) -> DataFrame:
