@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.functions import vectors as V
+from folioflow.operators import textetl as T
 from folioflow.session import cut
 
 K1, B = 1.2, 0.75
@@ -35,6 +36,19 @@ def indexed(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
     return cut(postings(docs, key, text))
 
 
+def parsed(requests: DataFrame) -> DataFrame:
+    """query_id, query, tokens (distinct words), terms (technical terms as kind, term), project, scope_kind, scope_value of search requests.
+
+    requests has query_id, query, project and version_scope: current, all, as_of:<time>, snapshot:<name> or branch:<name>; a null scope is current.
+    Malformed scopes have a null kind; SearchRequest.validated() raises on them.
+    """
+    scope = F.coalesce(F.trim("version_scope"), F.lit("current"))
+    value = F.nullif(F.trim(F.regexp_extract(scope, r"^(?:as_of|snapshot|branch):([\s\S]*)$", 1)), F.lit(""))
+    kind = F.when(scope.isin("current", "all"), scope).when(value.isNotNull(), F.regexp_extract(scope, "^([a-z_]+):", 1))
+    found = requests.select("query_id", "query", "project", F.array_distinct(X.tokens(F.col("query"))).alias("tokens"), kind.alias("scope_kind"), value.alias("scope_value"), T.terms(F.col("query")).alias("_t"))
+    return found.withColumn("terms", F.transform("_t", lambda x: F.struct(x["kind"].alias("kind"), T.normalised_term(x["kind"], x["raw"]).alias("term")))).drop("_t")
+
+
 def in_scope(rows: DataFrame, scope: DataFrame | None, key: str = "id") -> DataFrame:
     """Rows whose key the scope has; all without a scope. Signals are cut to it before their best are taken."""
     return rows if scope is None else rows.join(scope.select(F.col("id").alias(key)), key, "left_semi")

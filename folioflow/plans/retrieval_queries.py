@@ -165,6 +165,15 @@ def _compare(s, d):
 Q["MET5_run_comparison"] = _compare
 S["MET5_run_comparison"] = f"WITH {GOLD}, a2 AS (SELECT avg(ndcg) AS n, avg(recall) AS r, avg(mrr) AS m FROM mm WHERE query_id % 2 = 0), b2 AS (SELECT avg(ndcg) AS n, avg(recall) AS r, avg(mrr) AS m FROM mm WHERE query_id % 2 = 1) SELECT CASE WHEN a2.n > b2.n + 0.01 THEN 'even' WHEN b2.n > a2.n + 0.01 THEN 'odd' WHEN a2.r > b2.r + 0.01 THEN 'even' WHEN b2.r > a2.r + 0.01 THEN 'odd' WHEN a2.m > b2.m + 0.01 THEN 'even' WHEN b2.m > a2.m + 0.01 THEN 'odd' ELSE 'tie' END AS winner, round(b2.n - a2.n, 4) AS ndcg_delta FROM a2, b2"
 
+def _parsed(s, d):
+    """Benchmark items and a technical tail as requests: their words, technical terms and scopes."""
+    q = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.concat("text", F.lit(" GET /api/v"), (F.col("item_id") % 3).cast("string"), F.lit("/x")).alias("query"), F.when(F.col("item_id") % 2 == 0, "current").otherwise("branch: dev ").alias("version_scope"), F.lit(None).cast("string").alias("project"))
+    return R.parsed(q).select("query_id", F.size("tokens").cast("long").alias("tokens"), F.expr("filter(terms, x -> x.kind = 'api_route')[0].term").alias("route"), "scope_kind", "scope_value")
+
+
+Q["RET1_query_parse"] = _parsed
+S["RET1_query_parse"] = "SELECT item_id AS query_id, len(list_distinct(regexp_extract_all(lower(text || ' GET /api/v' || item_id % 3 || '/x'), '[\\p{L}\\p{N}_]+'))) AS tokens, '/api/v' || item_id % 3 || '/x' AS route, CASE WHEN item_id % 2 = 0 THEN 'current' ELSE 'branch' END AS scope_kind, CASE WHEN item_id % 2 = 1 THEN 'dev' END AS scope_value FROM benchmark"
+
 # vectors
 Q["VEC1_normalise"] = lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(V.norm(V.normalised(F.transform("embedding", lambda x: x * 3))), 9).alias("norm"), F.round(F.element_at(V.normalised("embedding"), 1), 9).alias("first"))
 S["VEC1_normalise"] = "SELECT vec_id, 1.0::DOUBLE AS norm, round(CAST(embedding[1] AS DOUBLE) / sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))), 9) AS first FROM embeddings"
@@ -182,23 +191,64 @@ Q["VEC3_euclidean"] = lambda s, d: _next(s, d).select("vec_id", F.round(V.euclid
 S["VEC3_euclidean"] = f"SELECT a.vec_id, round(list_distance(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])), 9) AS distance {NEXT}"
 Q["VEC4_truncate"] = lambda s, d: _next(s, d).select("vec_id", F.round(V.dot(V.truncated("embedding", 16), V.truncated("other", 16)), 8).alias("dot"))
 S["VEC4_truncate"] = f"SELECT a.vec_id, round(list_cosine_similarity(CAST(a.embedding[1:16] AS DOUBLE[]), CAST(b.embedding[1:16] AS DOUBLE[])), 8) AS dot {NEXT}"
-Q["VEC6_batching"] = lambda s, d: table(s, d, "embeddings").select("vec_id", F.floor(F.col("vec_id") / 64).cast("long").alias("batch")).groupBy("batch").agg(F.count(F.lit(1)).alias("n"), F.min("vec_id").alias("first"))
-S["VEC6_batching"] = "SELECT vec_id // 64 AS batch, count(*) AS n, min(vec_id) AS first FROM embeddings GROUP BY 1"
+Q["VEC5_base64"] = lambda s, d: table(s, d, "embeddings").select("vec_id", "embedding", V.to_base64("embedding").alias("code")).select("vec_id", F.length("code").cast("long").alias("chars"), F.hex(F.substring(F.unbase64("code"), 1, 4)).alias("first"), (V.from_base64("code", 64) == F.col("embedding")).alias("same"))
+# a float's bits in hexadecimal, turned to little-endian order
+S["VEC5_base64"] = "SELECT vec_id, 4 * ((len(embedding) * 4 + 2) // 3) AS chars, hex(unhex(h[7:8] || h[5:6] || h[3:4] || h[1:2])) AS first, true AS same FROM (SELECT vec_id, embedding, lpad(to_hex(CASE WHEN x = 0 THEN 0 ELSE (CASE WHEN x < 0 THEN 2147483648 ELSE 0 END) + CAST((e + 127) * 8388608 + round((abs(x) / pow(2, e) - 1) * 8388608) AS BIGINT) END), 8, '0') AS h FROM (SELECT vec_id, embedding, CAST(embedding[1] AS DOUBLE) AS x, CAST(floor(log2(abs(CAST(embedding[1] AS DOUBLE)))) AS BIGINT) AS e FROM embeddings))"
+
+
+def _texts(s, d):
+    """Conversation turns as texts to batch, in order of their turn; a text is estimated at a token for four characters."""
+    return table(s, d, "conversations").select("conv_id", "turn", F.floor(F.length("text") / 4).cast("long").alias("size"))
+
+
+Q["VEC6_batching"] = lambda s, d: V.batches(_texts(s, d), "conv_id", ["turn"], F.col("size"), 3, 150).groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("tokens"))
+S["VEC6_batching"] = "WITH RECURSIVE t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k, CAST(length(text) // 4 AS BIGINT) AS size FROM conversations), f AS (SELECT conv_id, k, size, 0::BIGINT AS batch, 1::BIGINT AS held, size AS used FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.k, t.size, CASE WHEN f.used + t.size > 150 OR f.held >= 3 THEN f.batch + 1 ELSE f.batch END, CASE WHEN f.used + t.size > 150 OR f.held >= 3 THEN 1 ELSE f.held + 1 END, CASE WHEN f.used + t.size > 150 OR f.held >= 3 THEN t.size ELSE f.used + t.size END FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1) SELECT conv_id, batch, count(*) AS n, sum(size)::BIGINT AS tokens FROM f GROUP BY conv_id, batch"
+Q["VEC6_batching_by_count"] = lambda s, d: V.batches(_texts(s, d), "conv_id", ["turn"], F.col("size"), 3).groupBy("conv_id", "batch").agg(F.count(F.lit(1)).alias("n"))
+S["VEC6_batching_by_count"] = "SELECT conv_id, (k - 1) // 3 AS batch, count(*) AS n FROM (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations) GROUP BY ALL"
 
 
 def _padded(s, d):
-    ids = F.transform(F.sequence(F.lit(1), (F.col("vec_id") % 7 + 1).cast("int")), lambda i: i.cast("long") * 3)
-    n = F.lit(8) - F.size(ids)
-    return table(s, d, "embeddings").select("vec_id", F.array_join(F.concat(F.array_repeat(F.lit(0).cast("long"), n), ids), ",").alias("ids"), F.array_join(F.concat(F.array_repeat(F.lit(0), n), F.array_repeat(F.lit(1), F.size(ids))), ",").alias("mask"))
+    """Lengths of a text's words as token ids, fitted between a prefix and a suffix, padded to the longest of their conversation."""
+    ids = F.transform(F.regexp_extract_all(F.coalesce("text", F.lit("")), F.lit(r"(\S+)"), F.lit(1)), lambda w: F.length(w))
+    rows = table(s, d, "conversations").select("conv_id", "turn", V.fitted_ids(ids, [101, 102], [103], 24).alias("ids"))
+    wide = rows.groupBy("conv_id").agg(F.max(F.size("ids")).alias("width"))
+    return rows.join(wide, "conv_id").select("conv_id", "turn", V.left_padded(F.col("ids"), F.col("width")).alias("p")).select("conv_id", "turn", F.array_join(F.col("p.ids").cast("array<string>"), ",").alias("ids"), F.array_join(F.col("p.mask").cast("array<string>"), ",").alias("mask"))
 
 
 Q["VEC7_left_padding"] = _padded
-S["VEC7_left_padding"] = "SELECT vec_id, repeat('0,', CAST(7 - vec_id % 7 AS INTEGER)) || array_to_string(list_transform(range(1, vec_id % 7 + 2), lambda i: i * 3), ',') AS ids, repeat('0,', CAST(7 - vec_id % 7 AS INTEGER)) || array_to_string(list_transform(range(1, vec_id % 7 + 2), lambda i: 1), ',') AS mask FROM embeddings"
+S["VEC7_left_padding"] = "WITH r AS (SELECT conv_id, turn, [101, 102] || list_transform(regexp_extract_all(coalesce(text, ''), '\\S+'), lambda w: length(w))[1:21] || [103] AS ids FROM conversations), w AS (SELECT conv_id, max(len(ids)) AS width FROM r GROUP BY conv_id) SELECT conv_id, turn, repeat('0,', CAST(width - len(ids) AS INTEGER)) || array_to_string(ids, ',') AS ids, repeat('0,', CAST(width - len(ids) AS INTEGER)) || array_to_string(list_transform(ids, lambda x: 1), ',') AS mask FROM r JOIN w USING (conv_id)"
+Q["VEC10_last_token"] = lambda s, d: table(s, d, "embeddings").select("vec_id", F.round(V.last_token(F.col("embedding").cast("array<double>"), F.transform("embedding", lambda x: (x > 0).cast("int"))), 6).alias("state"))
+S["VEC10_last_token"] = "SELECT vec_id, round(list_filter(embedding, lambda x: x > 0)[-1]::DOUBLE, 6) AS state FROM embeddings"
+LIMITS = {"most_documents": 4, "most_query": 220, "most_document": 700}
+
+
+def _guarded(s, d):
+    """Conversations as rerank requests: the first turn asks, the others are the documents."""
+    r = table(s, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), 2, 10_000).alias("documents"))
+    query = F.when(F.col("conv_id") % 11 == 0, " \n").otherwise(F.col("query"))
+    return r.select("conv_id", V.request_problem(query, F.col("documents"), **LIMITS).alias("problem"))
+
+
+Q["VEC11_request_guards"] = _guarded
+S["VEC11_request_guards"] = "WITH r AS (SELECT conv_id, CASE WHEN conv_id % 11 = 0 THEN '' ELSE arg_min(text, turn) END AS q, list(text ORDER BY turn)[2:] AS docs FROM conversations GROUP BY conv_id) SELECT conv_id, CASE WHEN trim(q) = '' THEN 'empty query' WHEN len(docs) = 0 THEN 'empty documents' WHEN len(docs) > 4 THEN 'too many documents' WHEN length(q) > 220 THEN 'query too long' WHEN len(list_filter(docs, lambda x: length(x) > 700)) > 0 THEN 'document too long' END AS problem FROM r"
 Q["VEC8_prompts"] = lambda s, d: table(s, d, "benchmark").select("item_id", F.format_string("Instruct: %s\nQuery:%s", F.lit("find passages"), "text").alias("prompt"))
 S["VEC8_prompts"] = "SELECT item_id, 'Instruct: find passages' || chr(10) || 'Query:' || text AS prompt FROM benchmark"
 Q["VEC9_dimension_guard"] = lambda s, d: table(s, d, "embeddings").select("vec_id", F.size(V.guarded(F.col("embedding"), 64)).cast("long").alias("dims"))
 S["VEC9_dimension_guard"] = "SELECT vec_id, len(embedding) AS dims FROM embeddings"
 Q["AGG21_embedding_quality"] = lambda s, d: table(s, d, "embeddings").select("label", V.norm("embedding").alias("n"), F.exists("embedding", lambda x: F.isnan(x) | (F.abs(x) == float("inf"))).alias("bad")).groupBy("label").agg(F.count(F.lit(1)).alias("rows"), F.round(F.min("n"), 6).alias("lo"), F.round(F.max("n"), 6).alias("hi"), F.round(F.avg("n"), 6).alias("mean"), F.max("bad").alias("bad"), F.min(F.abs(F.col("n") - 1) < 1e-5).alias("normalised"))
 S["AGG21_embedding_quality"] = "WITH e AS (SELECT label, sqrt(list_inner_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) AS n, len(list_filter(embedding, lambda x: isnan(x) OR isinf(x))) > 0 AS bad FROM embeddings) SELECT label, count(*) AS rows, round(min(n), 6) AS lo, round(max(n), 6) AS hi, round(avg(n), 6) AS mean, bool_or(bad) AS bad, bool_and(abs(n - 1) < 1e-5) AS normalised FROM e GROUP BY label"
+# the ids that other queries stand for
+Q["J22_vector_top_k"] = lambda s, d: R.top(_vector(s, d).drop("rank"), 10).select("query_id", "id", "rank")
+S["J22_vector_top_k"] = f"WITH {COS} SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM v WHERE rank <= 10"
+Q["TOP2_vector_top100"] = lambda s, d: _vector(s, d).groupBy("query_id").agg(F.count(F.lit(1)).alias("n"), F.max("rank").alias("deepest"))
+S["TOP2_vector_top100"] = f"WITH {COS} SELECT query_id, count(*) AS n, CAST(max(rank) AS INTEGER) AS deepest FROM v GROUP BY query_id"
+Q["WIN1_rank_assignment"] = lambda s, d: Q["RET4_term_search"](s, d).select("query_id", "id", "rank")
+S["WIN1_rank_assignment"] = f"WITH {TERMS} SELECT query_id, id, CAST(rank AS INTEGER) AS rank FROM t"
+Q["TOP3_result_limit"] = lambda s, d: _hybrid(s, d, limit=5).select("query_id", "id", "final_rank")
+S["TOP3_result_limit"] = f"WITH {ALL}, {HY} SELECT query_id, id, CAST(final_rank AS INTEGER) AS final_rank FROM hy WHERE final_rank <= 5"
+Q["MET2_recall"] = lambda s, d: R.ranking_metrics(_ranked_gold(s, d), _gold(s, d), 10).select("query_id", "recall")
+S["MET2_recall"] = "WITH " + GOLD.replace("rank <= 5", "rank <= 10").replace("range(1, least(n, 5) + 1)", "range(1, least(n, 10) + 1)") + " SELECT query_id, recall FROM mm"
+Q["MET3_mrr"] = lambda s, d: R.ranking_metrics(_ranked_gold(s, d), _gold(s, d), 5).select("query_id", "mrr")
+S["MET3_mrr"] = f"WITH {GOLD} SELECT query_id, mrr FROM mm"
 Q["J2_embedding_star_join"] = lambda s, d: table(s, d, "embeddings").where("label = 3").select(F.col("vec_id").alias("doc_id"), "label").join(B.chunks(s, d).select("doc_id", "pos", "project"), "doc_id").groupBy("project", "label").agg(F.count(F.lit(1)).alias("chunks"))
 S["J2_embedding_star_join"] = f"WITH {B.CHUNKS} SELECT project, label, count(*) AS chunks FROM chunks JOIN embeddings ON vec_id = doc_id WHERE label = 3 GROUP BY project, label"

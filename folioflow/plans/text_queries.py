@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import context as C
 from folioflow.operators import textetl as T
 from folioflow.plans import bindings as B
 from folioflow.sources.tables import table
@@ -45,19 +46,35 @@ add("TXT12_normalised_names", lambda s, d: table(s, d, "supplier").select("s_sup
 add("TXT13_merged_entities", lambda s, d: B.notes(s, d).select("doc_id", T.entities(F.col("text")).alias("e")).select("doc_id", F.size(T.merged_entities(F.filter("e", lambda x: x["name"] == "redis"), F.col("e"))).cast("long").alias("n"), F.size("e").cast("long").alias("all")))
 add("TXT14_markdown_links", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.markdown_links(F.col("text")))), NOTES + "SELECT doc_id, 'the guide' AS anchor, 'docs/g' || doc_id % 7 || '.md' AS target FROM notes")
 add("TXT15_path_references", lambda s, d: T.path_references(B.notes(s, d).withColumn("text", F.concat("text", F.lit("\nread docs/g"), (F.col("doc_id") % 7).cast("string"), F.lit(".md, twice"))), s.range(0, 4).select(F.concat(F.lit("docs/g"), F.col("id").cast("string"), F.lit(".md")).alias("path")), "doc_id", "text").select("doc_id", "target", "confidence"), NOTES + "SELECT doc_id, 'docs/g' || doc_id % 7 || '.md' AS target, 0.8::DOUBLE AS confidence FROM notes WHERE doc_id % 7 < 4")
-add("TXT16_all_links", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.markdown_links(F.col("text")))).select("doc_id", "target").distinct().groupBy("target").agg(count_all().alias("n")), NOTES + "SELECT 'docs/g' || doc_id % 7 || '.md' AS target, count(*) AS n FROM notes GROUP BY 1")
+def _linked(s, d):
+    read = F.concat("text", F.lit("\nread docs/g"), (F.col("doc_id") % 7).cast("string"), F.lit(".md, twice"))
+    known = s.range(0, 4).select(F.concat(F.lit("docs/g"), F.col("id").cast("string"), F.lit(".md")).alias("path"))
+    return T.all_links(B.notes(s, d).withColumn("text", read), known, "doc_id", "text")
+
+
+add("TXT16_all_links", _linked, NOTES + r", l AS (SELECT doc_id, text || chr(10) || 'read docs/g' || doc_id % 7 || '.md, twice' AS t, 'docs/g' || doc_id % 7 || '.md' AS target FROM notes) SELECT doc_id, target, 'the guide' AS anchor, 1.0::DOUBLE AS confidence, CAST(strpos(t, '[the guide]') - 1 AS INTEGER) AS start, CAST(strpos(t, '[the guide]') - 1 + length('[the guide](' || target || '#part)') AS INTEGER) AS stop FROM l UNION ALL SELECT doc_id, target, target, 0.8, CAST(length(t) - length(target || ', twice') AS INTEGER), CAST(length(t) - length(', twice') AS INTEGER) FROM l WHERE doc_id % 7 < 4")
 add("TXT17_decisions", lambda s, d: B.notes(s, d).select("doc_id", T.decision(F.col("text")).alias("x")).select("doc_id", "x.title", "x.status", "x.decision", "x.context"), NOTES + "SELECT doc_id, 'Head ' || doc_id % 1000000 AS title, 'accepted' AS status, 'Use redis v' || doc_id % 3 || '.' || doc_id % 5 || '.' || doc_id % 2 || ' and PostgreSQL for caching.' AS decision, CAST(NULL AS VARCHAR) AS context FROM notes")
 add("TXT18_requirements", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).where("method = 'regex_req_id'").select("doc_id", "requirement_id", "title", "priority", "confidence"), NOTES + "SELECT doc_id, 'REQ-' || doc_id % 11 AS requirement_id, 'The service must answer in ' || doc_id % 50 || ' ms' AS title, 'must' AS priority, 1.0::DOUBLE AS confidence FROM notes")
-add("TXT18_modal_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).groupBy("method", "priority").agg(count_all().alias("n")))
+add("TXT18_modal_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).groupBy("method", "priority").agg(count_all().alias("n")), NOTES + r"SELECT method, priority, count(*) AS n FROM (SELECT DISTINCT doc_id, 'regex_shall_must' AS method, t, CASE WHEN regexp_matches(lower(t), 'must|shall') THEN 'must' WHEN contains(lower(t), 'should') THEN 'should' WHEN regexp_matches(lower(t), 'could|may') THEN 'could' END AS priority FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '(?im)^(.{0,20}(?:shall|must|should|will)\s+.{10,200})$', 1)), '^\s+|\s+$', '', 'g') AS t FROM notes) WHERE NOT ends_with(t, '?') AND NOT regexp_matches(t, '(?i)^(open question:|question:|todo:|tbd:)') AND NOT starts_with(t, 'REQ-') AND t <> 'The code in a fence must not be counted here' UNION ALL SELECT doc_id, 'regex_req_id', '', 'must' FROM notes) GROUP BY method, priority")
 add("TXT19_open_questions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).where("method = 'regex_todo_marker'").select("doc_id", "question", "confidence"), NOTES + "SELECT doc_id, 'decide about the quota ' || doc_id % 6 AS question, 0.9::DOUBLE AS confidence FROM notes")
 add("TXT19_question_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).groupBy("method", "context").agg(count_all().alias("n")))
 add("TXT20_code_fence", lambda s, d: B.notes(s, d).select("doc_id", X.in_fence(F.col("text"), F.instr("text", "The code in a fence")).alias("inside"), X.in_fence(F.col("text"), F.instr("text", "Should we move")).alias("outside")), NOTES + "SELECT doc_id, true AS inside, false AS outside FROM notes")
 add("TXT21_signatures", lambda s, d: table(s, d, "orders").select("o_orderkey", X.signature("o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))).alias("signature")), "SELECT o_orderkey, sha256(o_orderstatus || chr(10) || o_orderpriority || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END) AS signature FROM orders")
 add("TXT22_content_hash", lambda s, d: B.documents(s, d).select("doc_id", X.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
-add("TXT23_deterministic_uid", lambda s, d: B.documents(s, d).select("doc_id", T.uid("documents", "project", F.col("doc_id").cast("string")).alias("uid")))
+add("TXT23_deterministic_uid", lambda s, d: B.documents(s, d).select("doc_id", T.uid("documents", "project", F.col("doc_id").cast("string")).alias("uid")), "WITH h AS (SELECT doc_id, sha1(unhex('1cc63d41b3cc5d3a85f7ff816b448df0') || encode(source || '/' || doc_id)) AS h FROM documents) SELECT doc_id, substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-5' || substr(h, 14, 3) || '-' || substr('89ab89ab89ab89ab', 1 + strpos('0123456789abcdef', substr(h, 17, 1)) - 1, 1) || substr(h, 18, 3) || '-' || substr(h, 21, 12) AS uid FROM h")
 add("TXT24_version_token", lambda s, d: table(s, d, "part").select("p_partkey", X.version_token(F.concat("p_name", F.lit(" (v"), (F.col("p_size")).cast("string"), F.lit(".2), later"))).alias("version")), "SELECT p_partkey, coalesce(nullif(regexp_extract(p_name, '(?:^|\\s)[vV]?([0-9]\\S*)', 1), ''), p_size || '.2') AS version FROM part")
 add("TXT26_summary", lambda s, d: B.documents(s, d).select("doc_id", F.md5(X.summary(F.concat(F.lit("# H\n\n"), "text"))).alias("h")), "SELECT doc_id, md5(substring(regexp_replace(string_split(ltrim(text, chr(10)), chr(10) || chr(10))[1], '^\\s+|\\s+$', '', 'g'), 1, 500)) AS h FROM documents")
 add("TXT27_token_count", lambda s, d: B.documents(s, d).select("doc_id", F.size(X.tokens(F.col("text"))).cast("long").alias("tokens")), "SELECT doc_id, len(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS tokens FROM documents")
+
+
+def _vocabulary():
+    import public_tokenizers
+
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+add("TXT27_bpe_tokens", lambda s, d: B.documents(s, d).select("doc_id", F.coalesce(F.size(T.bpe_ids(F.col("text"), _vocabulary())), F.lit(0)).cast("long").alias("tokens"), F.md5(T.bpe_truncated(F.col("text"), 64, _vocabulary())).alias("first")))
+add("TXT2_bpe_windows", lambda s, d: B.documents(s, d).select("doc_id", T.bpe_ids(F.col("text"), _vocabulary()).alias("ids")).select("doc_id", F.inline(T.id_windows(F.col("ids"), 512, 50))).select("doc_id", F.col("start").cast("long").alias("start"), F.size("ids").cast("long").alias("tokens")))
 add("TXT28_canonical_path", lambda s, d: table(s, d, "pages").select("page_id", F.regexp_extract("url", "^https?://[^/]+(/[^?#]*)", 1).alias("p")).select("page_id", (~F.col("p").rlike(r"(^|/)\.\.(/|$)") & F.col("p").startswith("/")).alias("ok")), "SELECT page_id, NOT regexp_matches(p, '(^|/)\\.\\.(/|$)') AND starts_with(p, '/') AS ok FROM (SELECT page_id, regexp_extract(url, '^https?://[^/]+(/[^?#]*)', 1) AS p FROM pages)")
 
 
@@ -75,6 +92,8 @@ add("TXT33_sql_schema", lambda s, d: table(s, d, "nation").select("n_nationkey",
 add("TXT34_prisma_schema", lambda s, d: table(s, d, "nation").select("n_nationkey", T.schema_nodes(F.lit("model User {\n  id Int @id\n  posts Post[]\n}\nmodel Post {\n  id Int @id\n  author User\n}\n"), "prisma").alias("x")).select("n_nationkey", F.inline("x.edges")), "SELECT n_nationkey, e.source, e.target, 'relation' AS kind FROM nation, (SELECT 'User.posts' AS source, 'Post' AS target UNION ALL SELECT 'Post.author', 'User') e")
 add("TXT35_drizzle_schema", lambda s, d: table(s, d, "nation").select("n_nationkey", T.schema_nodes(F.lit("export const users = pgTable('users', {\n  id: serial('id'),\n});\nexport const posts = pgTable('posts', {\n  id: serial('id'),\n  author: integer('a').references(() => users.id),\n});"), "drizzle").alias("x")).select("n_nationkey", F.inline("x.edges")), "SELECT n_nationkey, 'posts.author' AS source, 'users' AS target, 'foreign_key' AS kind FROM nation")
 add("TXT36_openapi_schema", lambda s, d: table(s, d, "nation").select("n_nationkey", T.schema_nodes(F.lit('{"paths":{"/u":{"get":{"responses":{"200":{"schema":{"$ref":"#/components/schemas/User"}}}}}},"components":{"schemas":{"User":{}}}}'), "openapi").alias("x")).select("n_nationkey", F.inline("x.nodes")), "SELECT n_nationkey, e.name, e.kind FROM nation, (SELECT 'GET /u' AS name, 'endpoint' AS kind UNION ALL SELECT 'User', 'schema') e")
+API = "openapi: 3.0.0\npaths:\n  /u/{n}:\n    get:\n      responses:\n        '200':\n          content: {schema: {$ref: '#/components/schemas/User'}}\n    post: {}\ncomponents:\n  schemas:\n    User: {type: object}\n"
+add("TXT36_openapi_yaml", lambda s, d: table(s, d, "nation").select("n_nationkey", T.schema_nodes(F.replace(F.lit(API), F.lit("{n}"), F.col("n_nationkey").cast("string")), "openapi").alias("x")).select("n_nationkey", F.inline("x.nodes")), "SELECT n_nationkey, e.name || CASE WHEN e.kind = 'endpoint' THEN n_nationkey::VARCHAR ELSE '' END AS name, e.kind FROM nation, (SELECT 'GET /u/' AS name, 'endpoint' AS kind UNION ALL SELECT 'POST /u/', 'endpoint' UNION ALL SELECT 'User', 'schema') e")
 
 
 def _resolved(s, d):
@@ -85,7 +104,7 @@ def _resolved(s, d):
 add("TXT37_schema_resolution", _resolved, "WITH n AS (SELECT 'n' || n_nationkey % 10 AS ref, min(CASE WHEN n_nationkey < 12 THEN 3 WHEN n_nationkey < 18 THEN 2 ELSE 1 END) AS k FROM nation GROUP BY 1) SELECT s_suppkey, 'n' || s_suppkey % 12 AS ref, CASE k WHEN 1 THEN 'column' WHEN 2 THEN 'schema' WHEN 3 THEN 'table' END AS resolved_kind FROM supplier LEFT JOIN n ON n.ref = 'n' || s_suppkey % 12")
 add("TXT38_evidence_span", lambda s, d: B.notes(s, d).select("doc_id", (F.instr("text", "for caching") - 1).cast("long").alias("start"), F.length(F.lit("for caching")).cast("long").alias("len")), NOTES + "SELECT doc_id, strpos(text, 'for caching') - 1 AS start, 11::BIGINT AS len FROM notes")
 add("TXT1_sections", lambda s, d: T.sections(B.notes(s, d), "doc_id", "text").where(F.size("heading_path") > 0).select("doc_id", F.array_join("heading_path", " > ").alias("path")).where("not path like '%Deep%'"), NOTES + "SELECT doc_id, 'Head ' || doc_id % 1000000 || s AS path FROM notes, (SELECT unnest(['', ' > Status', ' > Decision', ' > Consequences']) AS s)")
-add("TXT1_section_offsets", lambda s, d: T.sections(B.notes(s, d), "doc_id", "text").select("doc_id", "section", "start_char", "start_line", F.length("content").alias("size")))
+add("TXT1_section_offsets", lambda s, d: T.sections(B.notes(s, d), "doc_id", "text").select("doc_id", "section", "start_char", "start_line", F.length("content").alias("size")), NOTES + "SELECT doc_id, k::BIGINT AS section, a AS start_char, length(substring(text, 1, a)) - length(replace(substring(text, 1, a), chr(10), '')) + 1 AS start_line, b - a AS size FROM (SELECT doc_id, text, k, p[k] AS a, p[k + 1] AS b FROM (SELECT doc_id, text, [0, strpos(text, '## Status') - 1, strpos(text, '## Decision') - 1, strpos(text, '## Consequences') - 1, strpos(text, '### Deep') - 1, length(text)] AS p, unnest(range(1, 6)) AS k FROM notes))")
 add("TXT2_token_windows", lambda s, d: B.documents(s, d).select("doc_id", F.inline(T.token_windows(F.col("text"), 128, 20))).select("doc_id", F.col("start").cast("long").alias("start"), F.size("words").cast("long").alias("tokens"), F.md5(F.array_join("words", " ")).alias("h")), "WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 108)) AS start FROM w WHERE len(w) > 0) SELECT doc_id, start, len(w[start + 1:start + 128]) AS tokens, md5(array_to_string(w[start + 1:start + 128], ' ')) AS h FROM s WHERE start = 0 OR start + 20 < len(w)")
 add("PRJ1_snippet", lambda s, d: B.documents(s, d).select("doc_id", X.snippet(F.col("text")).alias("snippet")), "WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 200 THEN regexp_replace(substring(s, 1, 200), '\\s+$', '') || '...' ELSE s END AS snippet FROM t")
 add("PRJ2_heading_join", lambda s, d: table(s, d, "nation").select(F.array_join(F.array(F.lit("World"), "n_name"), " > ").alias("path")), "SELECT 'World > ' || n_name AS path FROM nation")
@@ -99,14 +118,30 @@ add("PRJ9_boundary_wrap", lambda s, d: table(s, d, "conversations").select("conv
 add("RET10_citation_indices", lambda s, d: table(s, d, "part").select("p_partkey", F.array_join(T.citations(F.concat(F.lit("see ["), (F.col("p_size") % 14).cast("string"), F.lit("] and [3] and [3], not [99]")), 10), ",").alias("cited")), "SELECT p_partkey, CASE WHEN p_size % 14 BETWEEN 1 AND 10 AND p_size % 14 <> 3 THEN CASE WHEN p_size % 14 < 3 THEN (p_size % 14) || ',3' ELSE '3,' || (p_size % 14) END ELSE '3' END AS cited FROM part")
 
 
-def _context(s, d):
-    lines = table(s, d, "lineitem").select("l_orderkey", F.struct(F.col("l_quantity").cast("int").alias("size"), F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part")).alias("x"))
-    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x"), lambda a, b: F.coalesce(F.nullif(a.line - b.line, F.lit(0)), (a.part - b.part).cast("int"))).alias("i"))
+def _budget(s, d):
+    """Lines of an order taken in order while their quantities fit a budget of 60."""
+    lines = table(s, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("size")).alias("x"))
+    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("i"))
     return items.select("l_orderkey", T.greedy_fit(F.col("i"), 60).alias("t")).select("l_orderkey", F.size("t").cast("long").alias("n"), F.aggregate("t", F.lit(0), lambda a, x: a + x["size"]).cast("long").alias("used"))
 
 
-add("WIN8_greedy_budget", _context)
-add("CTX1_project_context", _context)
+#: A greedy fold over items (g, k, size) numbered from 1 in each group, with budgets (g, budget): what is left after each, and whether it was taken.
+FOLD = "f AS (SELECT g, 0::BIGINT AS k, budget::BIGINT AS rest, false AS taken, 0::BIGINT AS size FROM budgets UNION ALL SELECT i.g, i.k, CASE WHEN rest > 0 AND i.size <= rest THEN rest - i.size ELSE rest END, rest > 0 AND i.size <= rest, i.size FROM f JOIN items i ON i.g = f.g AND i.k = f.k + 1)"
+add("WIN8_greedy_budget", _budget, f"WITH RECURSIVE items AS (SELECT l_orderkey AS g, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, trunc(l_quantity)) AS k, trunc(l_quantity)::BIGINT AS size FROM lineitem), budgets AS (SELECT DISTINCT g, 60 AS budget FROM items), {FOLD} SELECT g AS l_orderkey, count(*) FILTER (WHERE taken) AS n, coalesce(sum(size) FILTER (WHERE taken), 0)::BIGINT AS used FROM f GROUP BY g")
+
+
+def _context(s, d):
+    """Context of every project: its newest documents with their summaries, then its decisions, both greedily within one budget of 400 words.
+
+    The newest are those with the largest ids; a summary counts its words, and the second section gets what the first one leaves.
+    """
+    docs = B.documents(s, d).where("status <> 'deleted'").select("project", F.col("doc_id").alias("id"), X.summary(F.col("text")).alias("text"))
+    decisions = B.documents(s, d).where("doc_id % 9 = 0").select("project", F.col("doc_id").alias("id"), F.concat(F.lit("Use "), "doc_type", F.lit(" for all of it")).alias("text"))
+    return C.build(docs, decisions, budget=400, limit=12)
+
+
+CONTEXT = "WITH RECURSIVE s AS (SELECT source AS g, doc_id, coalesce(substring(regexp_replace(string_split(text, chr(10) || chr(10))[1], '^\\s+|\\s+$', '', 'g'), 1, 500), '') AS t FROM documents WHERE doc_id % 10 <> 0 AND source IS NOT NULL), items AS (SELECT g, row_number() OVER (PARTITION BY g ORDER BY doc_id DESC) AS k, doc_id, len(regexp_extract_all(t, '\\S+'))::BIGINT AS size FROM s QUALIFY k <= 12), budgets AS (SELECT DISTINCT source AS g, 400 AS budget FROM documents WHERE source IS NOT NULL)"
+add("CTX1_project_context", _context, CONTEXT + f", {FOLD}, d AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, 6::BIGINT AS size FROM documents WHERE doc_id % 9 = 0 QUALIFY k <= 12), left_of AS (SELECT g, min(rest) AS rest FROM f GROUP BY g) SELECT f.g AS project, count(*) FILTER (WHERE taken) AS documents, CAST(coalesce(any_value(least(n, rest_ // 6)), 0) AS BIGINT) AS decisions, any_value(rest_ - 6 * least(coalesce(n, 0), rest_ // 6))::BIGINT AS left_over FROM f JOIN (SELECT g, rest AS rest_ FROM left_of) USING (g) LEFT JOIN (SELECT g, count(*) AS n FROM d GROUP BY g) USING (g) GROUP BY f.g")
 
 
 def expectations(results, expected):
