@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from folioflow.operators import history as H
+from folioflow.operators import jobs as J
 from folioflow.plans import bindings as B
 from folioflow.sources.tables import table
 
@@ -141,3 +142,16 @@ S["VER11_replace_by_key"] = "SELECT doc_id, quality FROM labels WHERE doc_id NOT
 
 Q["VER12_get_or_create"] = lambda s, d: table(s, d, "events").groupBy("event_type", "user_id").agg(F.min(B.micros("ts")).alias("first_seen"), F.max(B.micros("ts")).alias("last_seen"), F.min_by("props", F.struct("ts", "event_id")).alias("metadata"))
 S["VER12_get_or_create"] = "SELECT event_type, user_id, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, arg_min(props, (ts, event_id)) AS metadata FROM events GROUP BY event_type, user_id"
+
+
+def _follow_ups(s, d):
+    """Extractions and chunkings of every document and the jobs that follow them; those of every seventh version are queued already."""
+    docs = table(s, d, "documents")
+    kind = F.element_at(F.array(*[F.lit(k) for k in ("md", "sql", "pdf")]), (F.col("doc_id") % 3 + 1).cast("int"))
+    rows = docs.select(F.col("source").alias("project"), F.col("doc_id").alias("version"), F.concat(F.lit("docs/d."), kind).alias("path"), F.md5("text").alias("content_hash"), F.when(F.col("doc_id") % 4 == 0, "chunk").otherwise("extract").alias("job_type"), F.when(kind == "pdf", "unsupported").otherwise("raw").alias("text_kind"))
+    found = J.fan_out(rows, models=("ner",))
+    return J.to_queue(found, found.where("version % 7 = 0").select("key")).select("version", "job_type", "priority", "status")
+
+
+Q["VER14_job_fan_out"] = _follow_ups
+S["VER14_job_fan_out"] = "SELECT doc_id AS version, f.job_type, f.priority, 'queued' AS status FROM documents, (VALUES ('extract', 'chunk', 1), ('extract', 'extract_candidates', 3), ('extract', 'ner_gliner', 3), ('extract', 'link_detect', 3), ('extract', 'schema_parse', 3), ('chunk', 'technical_terms', 1), ('chunk', 'embed', 2)) f(after, job_type, priority) WHERE f.after = CASE WHEN doc_id % 4 = 0 THEN 'chunk' ELSE 'extract' END AND (f.after = 'chunk' OR doc_id % 3 <> 2) AND (f.job_type <> 'schema_parse' OR doc_id % 3 = 1) AND doc_id % 7 <> 0"
