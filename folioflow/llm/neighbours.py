@@ -215,7 +215,8 @@ def build(vectors: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
 
 def _searcher(block, k: int, keep: int):
     def run(batches):
-        queries, sizes = block.value
+        flat, places = block.value
+        sizes = np.diff(places)
         for batch in batches:
             for i in range(len(batch)):
                 row = {n: batch.column(j)[i].as_py() for j, n in enumerate(batch.schema.names)}
@@ -227,7 +228,7 @@ def _searcher(block, k: int, keep: int):
                 ids, counts = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["counts"], np.int32).astype(np.int64)
                 at = np.cumsum(counts) - counts
                 g = Graph(x, [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(row["layers"], row["links"], strict=True)])
-                q = np.stack([queries[p] for p in pick])
+                q = flat[ragged(places[pick], sizes[pick])].reshape(len(pick), row["dim"])
                 got = g.search(q.astype(np.float32), max(WIDTH, 4 * k))
                 a, c = np.nonzero(got >= 0)
                 node = got[a, c]
@@ -251,21 +252,25 @@ def search(index: DataFrame, queries: DataFrame, k: int = 20, query_block: int =
     What is broadcast is bounded by query_block: its vectors, and k + 1 rows for each.
     """
     spark = index.sparkSession
-    blocks = cut(queries.groupBy("v").agg(F.min("id").alias("first")))
-    total = blocks.count()
-    n_blocks = max(1, -(-total // (query_block // 2)))
-    named = blocks.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(n_blocks)))
+    distinct = cut(queries.select("v").distinct())
+    n_blocks = max(1, -(-distinct.count() // (query_block // 2)))
+    named = distinct.withColumn("b", F.pmod(F.xxhash64(F.lit(3), "v"), F.lit(n_blocks)))
+    kind = queries.schema["v"].dataType
     out = None
     for b in range(n_blocks):
-        rows = named.where(F.col("b") == b).select("v").toArrow().column("v").to_pylist() if total else []
-        vectors = [np.array(r, np.float64) for r in rows]
-        sizes = np.array([len(r) for r in rows], np.int64)
-        found = index.repartition("dim", "shard").mapInArrow(_searcher(spark.sparkContext.broadcast((vectors, sizes)), k, k + 1), "q int, vec_id long, score double")
+        rows = named.where(F.col("b") == b).select("v").toArrow().column("v").combine_chunks()
+        sizes = rows.value_lengths().to_numpy().astype(np.int64)
+        flat, at = rows.flatten().to_numpy().astype(np.float64), np.r_[0, np.cumsum(sizes)]
+        box = spark.sparkContext.broadcast((flat, at))
+        found = index.repartition("dim", "shard").mapInArrow(_searcher(box, k, k + 1), "q int, vec_id long, score double")
         best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "vec_id"))).where(F.col("r") <= k + 1).drop("r")
-        names = spark.createDataFrame(pa.table({"q": pa.array(range(len(rows)), pa.int32()), "v": pa.array(rows, pa.list_(pa.float64()))})).withColumn("v", F.col("v").cast(queries.schema["v"].dataType))
+        names = spark.createDataFrame(pa.table({"q": pa.array(range(len(rows)), pa.int32()), "v": rows})).withColumn("v", F.col("v").cast(kind))
         own = queries.join(F.broadcast(names), "v").select(F.col("id").alias("query_id"), "q")
         got = own.join(F.broadcast(best), "q").where(F.col("vec_id") != F.col("query_id"))
         top = got.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id"))).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        if n_blocks > 1:  # one block's vectors are out at a time
+            top = cut(top)
+            box.destroy()
         out = top if out is None else out.unionByName(top)
     return out
 
