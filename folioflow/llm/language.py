@@ -20,8 +20,8 @@ from folioflow.session import fields, importable, plain_names
 
 SEGMENT, LEAD, STEPS = 512, 64, 128
 HIDDEN = 8
-PER_LANGUAGE, SAMPLE_BYTES, LONG = 300, 1 << 17, 1 << 14
-EPOCHS, BATCH, RATE = 10, 128, 0.02
+PER_LANGUAGE, SAMPLE_BYTES, LONG = 300, 3 << 16, 1 << 14
+EPOCHS, BATCH, RATE = 16, 96, 0.02
 LANES = 2048
 UNKNOWN = "und"
 LETTER = r"\p{L}"
