@@ -56,14 +56,6 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, *paths: str) -> None:
-    """Deletes folders by Spark's own file systems."""
-    jvm = spark.sparkContext._jvm
-    for p in paths:
-        path = jvm.org.apache.hadoop.fs.Path(p)
-        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def fresh(name: str, *frames: DataFrame) -> str:
     """A column name like name that none of the frames has, in any case."""
     taken = {c.lower() for df in frames for c in df.columns}
