@@ -6,16 +6,14 @@ class first (fingerprints of 128 bits and the size). Classes that share a band a
 
 1. In each band each member is held against the bucket's pivot (its smallest member; in a second round another
    one), if they aren't in one component yet: a bucket of n members gives n - 1 pairs, never all.
-2. In buckets that still have several components, the members outside the largest are held against all others whose sets are large enough for
-   a link, in blocks of bounded size that give links only. So every pair of candidates is compared or already connected: no link is lost or capped.
+2. Members of buckets that still have several components are joined by their rare shingles, a prefix of each set, which finds every link
+   among them. So every pair of candidates is compared or already connected, no link is lost or capped, and no bucket is squared.
 
 32 bands of four values miss a pair of similarity 0.8 with a probability of 5e-8.
 """
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
@@ -27,7 +25,6 @@ from folioflow.session import cut, importable
 
 PERMUTATIONS, BANDS = 64, 32
 SIMILARITY = 80
-BLOCK, BLOCK_VALUES = 1024, 1 << 20
 LONE = ts.U64(0x5851F42D4C957F2D)
 
 
@@ -123,53 +120,30 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return pairs.join(a, "a").join(b, "b").where(100 * both >= similarity * (F.size("sa") + F.size("sb") - both)).select("a", "b")
 
 
-def _blocks(similarity: int):
-    def run(table: pa.Table) -> pa.Table:
-        node, comp, asks = (table.column(c).to_numpy(zero_copy_only=False) for c in ("node", "label", "asks"))
-        s = table.column("s").combine_chunks()
-        at = s.offsets.to_numpy().astype(np.int64)
-        values, place = np.unique(s.values.to_numpy()[at[0] : at[-1]], return_inverse=True)
-        at = at - at[0]
-        size = np.diff(at)
-        found = []
-        member, asking = np.flatnonzero(~asks.astype(bool)), np.flatnonzero(asks.astype(bool))
-        if len(member):
-            told = place[ts.ragged(at[member], size[member])]
-            heads = np.r_[0, np.cumsum(size[member])[:-1]]
-            held = np.zeros(len(values), np.uint8)
-            for q in asking:
-                own = place[at[q] : at[q + 1]]
-                held[own] = 1
-                both = np.add.reduceat(held[told], heads, dtype=np.int64)
-                held[own] = 0
-                good = (100 * both >= similarity * (size[member] + size[q] - both)) & (comp[member] != comp[q])
-                _, first = np.unique(comp[member][good], return_index=True)  # one link to a component connects it
-                found += [(int(node[q]), int(x)) for x in node[member][good][first]]
-        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([x for _, x in found], pa.int64())})
-
-    return run
-
-
 def _residual(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
-    """Links between components that share a bucket; members: band, node, n (its set's size), label.
+    """All links between members of buckets that still hold several components; members: band, node, n (its set's size), label.
 
-    Linked sets' sizes differ by a factor of 100 / similarity at most, so a bucket falls into steps of that factor, and only members of one step or
-    of two in a row are held against each other. A block holds BLOCK members or BLOCK_VALUES shingles of either side.
+    An exact join by prefixes: with shingles in order of how many of these documents have them, rarest first, two linked sets share one among the
+    first n - ceil(similarity of n) + 1 of each. So documents meet at their rare shingles only, whatever bucket they are in: one that has enough shingles of
+    its own meets none, and no bucket is squared. Sizes and places bound the overlap before a pair is made, and pairs are confirmed on full sets.
     """
-    step = math.log(100 / similarity) + 1e-6 if similarity < 100 else 1e-3
     mixed = members.groupBy("band").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("band")
-    own = F.floor(F.log("n") / step).cast("int")
-    rows = members.join(mixed, "band", "left_semi").withColumn("own", own).withColumn("step", F.explode(F.array("own", F.col("own") + 1)))
-    sizes = rows.groupBy("band", "step", "label").agg(F.count(F.lit(1)).alias("n"), F.max("own").alias("own"))
-    of = sizes.groupBy("band", "step").agg(F.sum("n").alias("all"), F.max(F.struct("n", "label")).alias("top"), F.count(F.lit(1)).alias("k"), F.max("own").alias("own")).where("k > 1 and own = step")
-    block = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.floor(BLOCK_VALUES / F.exp(F.col("step") * step))))
-    of = of.select("band", "step", F.col("top.label").alias("most"), F.ceil((F.col("all") - F.col("top.n")) / block).cast("int").alias("ask_blocks"), F.ceil(F.col("all") / block).cast("int").alias("blocks"))
-    dealt = rows.select("band", "step", "node", "label").join(of, ["band", "step"])
-    h = F.xxhash64(F.lit(17), "node")
-    asks = dealt.where("label <> most").select("band", "step", "node", "label", F.pmod(h, F.col("ask_blocks")).cast("int").alias("i"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("j"), F.lit(True).alias("asks"))
-    told = dealt.select("band", "step", "node", "label", F.explode(F.sequence(F.lit(0), F.col("ask_blocks") - 1)).alias("i"), F.pmod(h, F.col("blocks")).cast("int").alias("j"), F.lit(False).alias("asks"))
-    full = asks.unionByName(told).join(sets.withColumnRenamed("doc_id", "node"), "node")
-    return full.groupBy("band", "step", "i", "j").applyInArrow(_blocks(similarity), "a long, b long").distinct()
+    nodes = members.join(mixed, "band", "left_semi").select("node", "n", "label").distinct()
+    held = cut(nodes.join(sets.withColumnRenamed("doc_id", "node"), "node").select("node", "n", "label", F.explode("s").alias("x")))
+    often = held.groupBy("x").agg(F.count(F.lit(1)).alias("df")).where("df > 1")
+    ordered = held.join(often, "x").groupBy("node", "n", "label").agg(F.sort_array(F.collect_list(F.struct("df", "x"))).alias("xs"))
+    alone = F.col("n") - F.size("xs")  # shingles that no other document has come first
+    first = F.col("n") - F.ceil(F.col("n") * similarity / 100) + 1
+    listed = ordered.withColumn("alone", alone).withColumn("q", first - alone).where("q > 0")
+    prefix = listed.select("node", "n", "label", "alone", F.posexplode(F.slice("xs", F.lit(1), F.col("q").cast("int"))).alias("i", "e")).select("node", "n", "label", (F.col("n") - F.col("alone") - F.col("i")).alias("rest"), F.col("e.x").alias("x"))
+    several = prefix.groupBy("x").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).where("lo < hi").select("x")
+    rows = cut(prefix.join(several, "x", "left_semi"))
+    a, b = (rows.select("x", *[F.col(c).alias(f"{c}_{k}") for c in ("node", "n", "label", "rest")]) for k in "ab")
+    most = F.least("rest_a", "rest_b")  # of shared shingles, from this one on
+    fits = (100 * F.least("n_a", "n_b") >= similarity * F.greatest("n_a", "n_b")) & (100 * most >= similarity * (F.col("n_a") + F.col("n_b") - most))
+    # a pair meets at its first shared shingle with the bound intact; later ones may fall short of it
+    pairs = a.join(b, "x").where((F.col("node_a") < F.col("node_b")) & (F.col("label_a") != F.col("label_b")) & fits)
+    return _confirmed(pairs.select(F.col("node_a").alias("a"), F.col("node_b").alias("b")).distinct(), sets, similarity)
 
 
 def standing(text: str):

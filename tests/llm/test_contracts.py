@@ -256,11 +256,10 @@ def test_op10(spark, world):
     assert sum(not r.kept for r in got.values()) >= 7
 
 
-def test_op10_residual(spark, monkeypatch):
-    """Copies whose similarity lies on both sides of the threshold, in blocks of a few members: the same components as brute force."""
+def test_op10_residual(spark):
+    """Copies whose similarity lies on both sides of the threshold: the same components as brute force."""
     from folioflow.llm import minhash
 
-    monkeypatch.setattr(minhash, "BLOCK", 8)
     r = random.Random(17)
     base, many = r.choices(VOCABULARY, k=100), [f"u{i}" for i in range(400)]
     made = []
