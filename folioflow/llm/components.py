@@ -12,7 +12,7 @@ def components(edges: DataFrame) -> DataFrame:
     """node, label (smallest node reachable) for all nodes of edges (a, b); nothing is collected, each round is written.
 
     A round gives every node the smallest label among its neighbours', then the label of that label; long chains shrink by
-    more than half a round. An empty graph gives an empty table.
+    more than half a round. Repeated edges count once, loops and edges with a null end not at all; an empty graph gives an empty table.
     """
     both = cut(edges.select("a", "b").union(edges.select("b", "a")).toDF("a", "b").where("a <> b").distinct())
     labels = cut(both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("label")).select(F.col("a").alias("node"), "label"))

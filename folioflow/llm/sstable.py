@@ -236,7 +236,10 @@ def write(docs: DataFrame, folder: str, key: str = "doc_id", text: str = "text",
 
 
 def read(spark, manifest: list) -> DataFrame:
-    """doc_id, start (ids of all documents before it), ids of every document in the shard files."""
+    """doc_id, start (ids of all documents before it), ids of every document in the shard files, in the manifest's order.
+
+    A null key comes back as null, a key that was written several times as often, each with its own ids; an empty manifest gives no rows.
+    """
     return _scan(spark, manifest, False)
 
 
@@ -272,5 +275,10 @@ def op8(spark, sf_dir: str) -> DataFrame:
 
 
 def tokens(docs: DataFrame) -> DataFrame:
+    """doc_id, start, n_tokens and ids_crc32 of every row of docs (doc_id, text), written to shards and read back.
+
+    Null ids come first, rows of one id in order of a hash of their text, a null text is the end id alone. Other columns play no part, whatever
+    their names; an empty table gives none.
+    """
     spark = docs.sparkSession
     return _scan(spark, write(docs, shared_dir(spark)), True)
