@@ -1,6 +1,7 @@
 """From raw documents to token shards, in five stages that each work on all their predecessor kept.
 
-The first four return the columns of documents; the last returns what it reads back from the token shards.
+The first four return the columns of documents; the last returns what it reads back from the token shards. Every stage takes null ids, null, blank and
+very long texts, repeated rows and an empty table; columns with names that an operator uses itself stay as they are in the first three stages.
 """
 
 from __future__ import annotations
@@ -13,7 +14,10 @@ from folioflow.session import cut, fresh, importable
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier, fitted on all labels of these documents, takes for good."""
+    """Documents that the classifier, fitted on all labels of these documents, takes for good.
+
+    Each row is judged by its text alone, so repeated rows share their fate, and null and blank texts have a score too.
+    """
     known = quality.Classifier(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     score = fresh("score", docs)
     return known.score(docs, name=score).where(F.col(score) >= quality.THRESHOLD).drop(score)
@@ -31,20 +35,27 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Benchmark passages are cut out of the texts; documents that are nothing else go."""
+    """Benchmark passages are cut out of the texts; documents that are nothing else go.
+
+    Each row is judged by its text alone; null and blank texts are unchanged, and so is n_chars where the text is null.
+    """
     clean = decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Each document as often as the mix takes it; one taken in part counts if that is half of it at least. Columns that mix() adds are replaced."""
+    """Each document as often as the mix takes it; one taken in part counts if that is half of it at least.
+
+    Documents without words are taken 0 times, so they go; a null source is a source of its own. Rows alike in id and text share their fate. Columns
+    that mix() adds are replaced.
+    """
     got = mixing.mix(docs, F.array("source"))
     times = F.col("_times") + ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size"))).cast("long")
     return got.select("*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(fresh("k", got))).select(docs.columns)
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens and ids_crc32 of every document, from its token shard."""
+    """doc_id, start, n_tokens and ids_crc32 of every row, from its token shard; null ids come first, repeated rows one after the other."""
     return sstable.tokens(docs)
 
 
