@@ -155,3 +155,31 @@ def test_guards_and_padding(spark):
         row.select(V.checked_request(F.col("q"), F.col("d"), **limits).alias("p")).where("size(d) = 3").collect()
     ids = spark.createDataFrame([([1, 2, 3, 4, 5],), ([9],)], "i array<int>").select(V.fitted_ids(F.col("i"), [101], [102], 5).alias("i")).select(V.left_padded(F.col("i"), F.lit(5)).alias("p")).select("p.*").collect()
     assert [tuple(r) for r in ids] == [([101, 1, 2, 3, 102], [1] * 5), ([0, 0, 101, 9, 102], [0, 0, 1, 1, 1])]
+
+
+def test_detectors_and_overview(spark):
+    day = 86_400_000_000
+    values = spark.createDataFrame([("db", "1", "a"), ("db", "2", "b"), ("db", "1", "c"), ("os", "1", "a"), ("os", None, "b"), ("os", "", "c")], "entity string, value string, doc string")
+    links = spark.createDataFrame([("a.md", "b.md"), ("a.md", "gone.md"), ("a.md", "gone.md")], "source string, target string")
+    paths = spark.createDataFrame([("a.md",), ("b.md",)], "path string")
+    docs = spark.createDataFrame([("new", 99 * day), ("old", 30 * day), ("ancient", -40 * day)], "title string, changed_at long")
+    got = {(r.kind, r.severity, r.title) for r in api.detect(values, links, paths, docs, 100 * day).collect()}
+    assert got == {("contradiction", "warning", "Conflicting values for db: 1, 2"), ("broken_link", "warning", "a.md links to missing gone.md"), ("stale", "info", "Not changed for long: old"), ("stale", "warning", "Not changed for long: ancient")}
+    d = spark.createDataFrame([("p", "active", 5), ("p", "deleted", 9), ("q", "active", 1)], "project string, status string, changed_at long")
+    j = spark.createDataFrame([("p", "queued"), ("p", "failed"), ("r", "running")], "project string, status string")
+    assert {tuple(r) for r in api.overview(d, j).collect()} == {("p", 1, 5, 1, 1), ("q", 1, 1, 0, 0), ("r", 0, None, 1, 0)}
+    rows = spark.createDataFrame([(i, f"u{i % 2}", "save", i) for i in range(10)], "at long, actor string, operation string, id long")
+    assert [r.id for r in api.audit(rows, since=2, until=9, actor="u0", offset=1, limit=2).collect()] == [6, 4]
+    assert [r.id for r in api.newest(rows, "actor", "at", 1).orderBy("id").collect()] == [8, 9]
+
+
+def test_context_and_evaluation(spark):
+    docs = spark.createDataFrame([("p", 1, "one two three"), ("p", 2, "a " * 9), ("p", 3, "x y"), (None, 4, "z"), ("q", 5, None)], "project string, id long, text string")
+    rules = spark.createDataFrame([("p", 1, "use it"), ("r", 2, "w " * 20)], "project string, id long, text string")
+    got = {r.project: ([x.id for x in r.documents or []], [x.id for x in r.decisions or []], r.left_over) for r in api.project_context(docs, rules, budget=8).collect()}
+    assert got == {"p": ([3, 1], [1], 1), "q": ([5], [], 8), "r": ([], [], 8)}
+    results = spark.createDataFrame([(1, 10, 1), (1, 11, 2), (2, 20, 3)], "query_id long, id long, rank int")
+    expected = spark.createDataFrame([(1, 11), (2, 20), (2, 21), (3, 30)], "query_id long, id long")
+    m = api.evaluate(results, expected, 2)
+    assert {(r.query_id, r.recall, r.mrr) for r in m.collect()} == {(1, 1.0, 0.5), (2, 0.0, 0.333333), (3, 0.0, 0.0)}
+    assert api.compare_runs(m, m.where("query_id = 1"), ("old", "new")).first().winner == "new"
