@@ -5,9 +5,9 @@ op4, op8 and op9 have none: trained networks and a byte-pair vocabulary cannot b
 
 from __future__ import annotations
 
-from folioflow.llm import chat, decontaminate, language, minhash, mixing, neighbours, phrases, quality, simhash, sstable, suffixes
+from folioflow.llm import chat, decontaminate, language, minhash, mixing, neighbours, phrases, quality, simhash, spelling, sstable, suffixes
 
-QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_suffix_dedup": suffixes.op2, "op3_mix_sources": mixing.op3, "op4_language_id": language.op4, "op5_neighbours": neighbours.op5, "op6_chat_format": chat.op6, "op10_minhash": minhash.op10, "op7_phrase_dedup": phrases.op7, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9, "op12_simhash": simhash.op12}
+QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_suffix_dedup": suffixes.op2, "op3_mix_sources": mixing.op3, "op4_language_id": language.op4, "op5_neighbours": neighbours.op5, "op6_chat_format": chat.op6, "op10_minhash": minhash.op10, "op7_phrase_dedup": phrases.op7, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9, "op12_simhash": simhash.op12, "op13_spelling": spelling.op13}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SOLID = r"[^\x20\x09-\x0D]+"
