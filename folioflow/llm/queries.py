@@ -5,9 +5,9 @@ op4, op8 and op9 have none: trained networks and a byte-pair vocabulary cannot b
 
 from __future__ import annotations
 
-from folioflow.llm import chat, decontaminate, language, minhash, mixing, neighbours, phrases, quality, simhash, spelling, sstable, suffixes
+from folioflow.llm import chat, collocations, decontaminate, language, minhash, mixing, neighbours, phrases, quality, simhash, spelling, sstable, suffixes
 
-QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_suffix_dedup": suffixes.op2, "op3_mix_sources": mixing.op3, "op4_language_id": language.op4, "op5_neighbours": neighbours.op5, "op6_chat_format": chat.op6, "op10_minhash": minhash.op10, "op7_phrase_dedup": phrases.op7, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9, "op12_simhash": simhash.op12, "op13_spelling": spelling.op13}
+QUERIES = {"op1_decontaminate": decontaminate.op1, "op2_suffix_dedup": suffixes.op2, "op3_mix_sources": mixing.op3, "op4_language_id": language.op4, "op5_neighbours": neighbours.op5, "op6_chat_format": chat.op6, "op10_minhash": minhash.op10, "op7_phrase_dedup": phrases.op7, "op8_token_sstable": sstable.op8, "op9_quality": quality.op9, "op11_collocations": collocations.op11, "op12_simhash": simhash.op12, "op13_spelling": spelling.op13}
 
 _LOW = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SOLID = r"[^\x20\x09-\x0D]+"
@@ -117,4 +117,24 @@ SELECT doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(least, doc_id) AS
 FROM d LEFT JOIN n USING (doc_id) LEFT JOIN c ON c.x = doc_id
 """
 
-SQL: dict[str, str] = {"op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op3_mix_sources": OP3, "op5_neighbours": OP5, "op6_chat_format": OP6, "op7_phrase_dedup": OP7, "op10_minhash": OP10}
+_PIECES = r"[.,;:!?\x0A-\x0D]"
+_CAND = "(SELECT lang, g, f FROM grams WHERE n > 1 AND f >= 10)"
+OP11 = f"""
+WITH pieces AS (SELECT coalesce(lang, 'und') AS lang, {_words("piece", r"[^\x20\x09]+")} AS w
+  FROM (SELECT lang, unnest(regexp_split_to_array({_LOW.format("text")}, '{_PIECES}')) AS piece FROM documents WHERE text IS NOT NULL)),
+grams AS MATERIALIZED (SELECT lang, n, array_to_string(w[i:i + n - 1], ' ') AS g, count(*) AS f
+  FROM (SELECT lang, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM pieces, (VALUES (1), (2), (3)) AS s(n) WHERE len(w) >= n) GROUP BY ALL HAVING n = 1 OR f >= 10),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM grams WHERE n = 1 GROUP BY lang),
+cuts AS (SELECT lang, g, f, k, array_to_string(w[1:k], ' ') AS x, array_to_string(w[k + 1:], ' ') AS y
+  FROM (SELECT lang, g, f, w, unnest(range(1, len(w))) AS k FROM (SELECT *, string_split(g, ' ') AS w FROM {_CAND}))),
+scores AS (SELECT c.lang, c.g, c.f AS a, k, l.f AS l, r.f AS r, 1000000::HUGEINT * c.f * c.f // (l.f::HUGEINT * r.f) AS score
+  FROM cuts AS c JOIN grams AS l ON l.lang = c.lang AND l.g = c.x JOIN grams AS r ON r.lang = c.lang AND r.g = c.y),
+least_of AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+longer AS (SELECT lang, p, max(f) AS f FROM (
+    SELECT lang, f, unnest([w[1] || ' ' || w[2], w[2] || ' ' || w[3]]) AS p FROM (SELECT lang, f, string_split(g, ' ') AS w FROM grams WHERE n = 3)) GROUP BY ALL),
+ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DESC, a DESC, s.g) AS rank
+  FROM least_of AS s LEFT JOIN longer AS o ON o.lang = s.lang AND o.p = s.g WHERE o.f IS NULL OR 100 * o.f < 50 * a)
+SELECT lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+SQL: dict[str, str] = {"op11_collocations": OP11, "op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op3_mix_sources": OP3, "op5_neighbours": OP5, "op6_chat_format": OP6, "op7_phrase_dedup": OP7, "op10_minhash": OP10}
