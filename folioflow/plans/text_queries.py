@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import chunking as K
 from folioflow.operators import context as C
 from folioflow.operators import textetl as T
 from folioflow.plans import bindings as B
@@ -106,6 +107,31 @@ add("TXT38_evidence_span", lambda s, d: B.notes(s, d).select("doc_id", (F.instr(
 add("TXT1_sections", lambda s, d: T.sections(B.notes(s, d), "doc_id", "text").where(F.size("heading_path") > 0).select("doc_id", F.array_join("heading_path", " > ").alias("path")).where("not path like '%Deep%'"), NOTES + "SELECT doc_id, 'Head ' || doc_id % 1000000 || s AS path FROM notes, (SELECT unnest(['', ' > Status', ' > Decision', ' > Consequences']) AS s)")
 add("TXT1_section_offsets", lambda s, d: T.sections(B.notes(s, d), "doc_id", "text").select("doc_id", "section", "start_char", "start_line", F.length("content").alias("size")), NOTES + "SELECT doc_id, k::BIGINT AS section, a AS start_char, length(substring(text, 1, a)) - length(replace(substring(text, 1, a), chr(10), '')) + 1 AS start_line, b - a AS size FROM (SELECT doc_id, text, k, p[k] AS a, p[k + 1] AS b FROM (SELECT doc_id, text, [0, strpos(text, '## Status') - 1, strpos(text, '## Decision') - 1, strpos(text, '## Consequences') - 1, strpos(text, '### Deep') - 1, length(text)] AS p, unnest(range(1, 6)) AS k FROM notes))")
 add("TXT2_token_windows", lambda s, d: B.documents(s, d).select("doc_id", F.inline(T.token_windows(F.col("text"), 128, 20))).select("doc_id", F.col("start").cast("long").alias("start"), F.size("words").cast("long").alias("tokens"), F.md5(F.array_join("words", " ")).alias("h")), "WITH w AS (SELECT doc_id, regexp_extract_all(text, '\\S+') AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, greatest(len(w), 1), 108)) AS start FROM w WHERE len(w) > 0) SELECT doc_id, start, len(w[start + 1:start + 128]) AS tokens, md5(array_to_string(w[start + 1:start + 128], ' ')) AS h FROM s WHERE start = 0 OR start + 20 < len(w)")
+add("TXT2_bpe_chunks", lambda s, d: K.chunks(B.notes(s, d), "doc_id", tokenizer=K.byte_pairs(_vocabulary()), most=256, overlap=32).select("doc_id", "chunk_index", F.array_join("heading_path", " > ").alias("path"), "start_char", "end_char", "start_line", "end_line", "token_count", F.md5("content").alias("h")))
+
+_EOL = r"(\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}])"
+_HEAD = r"(?s)^(#{1,6})\s+(.+?)\s*$"
+_OWN = "last_value(CASE WHEN lv = {0} THEN n END IGNORE NULLS) OVER w > coalesce(max(CASE WHEN lv < {0} THEN n END) OVER w, 0)"
+_PATH = ", ".join(f"CASE WHEN {_OWN.format(k)} THEN last_value(CASE WHEN lv = {k} THEN title END IGNORE NULLS) OVER w END" for k in range(1, 7))
+def _chunked(most: int, overlap: int) -> str:
+    """Chunks of texts (doc_id, text): lines, fences, headings with the path to them, sections, words, windows of most words that share overlap."""
+    return f"""lines AS (SELECT doc_id, unnest(a) AS line, unnest(range(1, len(a) + 1)) AS n FROM (
+    SELECT doc_id, string_split(regexp_replace(text, '{_EOL}', '\\1' || chr(57344), 'g'), chr(57344)) AS a FROM texts)),
+fences AS (SELECT *, sum(starts_with(line, '```')::INTEGER) OVER (PARTITION BY doc_id ORDER BY n) % 2 = 1 AS fenced, regexp_replace(line, '\\n$', '') AS bare FROM lines WHERE line <> ''),
+heads AS (SELECT *, CASE WHEN NOT fenced THEN nullif(length(regexp_extract(bare, '{_HEAD}', 1)), 0) END AS lv, regexp_extract(bare, '{_HEAD}', 2) AS title FROM fences),
+placed AS (SELECT doc_id, n, line, count(lv) OVER w AS section, sum(length(line)) OVER w - length(line) AS at_, list_filter([{_PATH}], lambda x: x IS NOT NULL) AS path
+  FROM heads WINDOW w AS (PARTITION BY doc_id ORDER BY n)),
+secs AS (SELECT doc_id, section, arg_min(path, n) AS path, min(at_) AS a0, min(n) AS l0, max(n) AS l1, string_agg(line, '' ORDER BY n) AS c FROM placed GROUP BY doc_id, section HAVING regexp_matches(c, '\\S')),
+toks AS (SELECT doc_id, section, i, length(regexp_extract(c, '^\\s*')) + sum(length(t)) OVER (PARTITION BY doc_id, section ORDER BY i) - length(t) AS st FROM (
+    SELECT doc_id, section, c, unnest(l) AS t, unnest(range(len(l))) AS i FROM (SELECT *, regexp_extract_all(c, '\\S+\\s*') AS l FROM secs))),
+starts AS (SELECT doc_id, section, list(st ORDER BY i) AS st, count(*) AS m FROM toks GROUP BY doc_id, section),
+wins AS (SELECT *, unnest(range(0, greatest(ceil((m - {most}) / ({most} - {overlap})), 0)::BIGINT + 1)) * ({most} - {overlap}) AS s FROM secs JOIN starts USING (doc_id, section)),
+ends AS (SELECT *, CASE WHEN s = 0 THEN 0 ELSE st[s + 1] END AS a, CASE WHEN s + {most} >= m THEN length(c) ELSE st[s + {most} + 1] END AS b FROM wins),
+told AS (SELECT *, substr(c, a::BIGINT + 1, (b - a)::BIGINT) AS content, l0 + length(substr(c, 1, a::BIGINT)) - length(replace(substr(c, 1, a::BIGINT), chr(10), '')) AS sl FROM ends)
+SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY section, s) - 1 AS chunk_index, array_to_string(path, ' > ') AS path, (a0 + a)::BIGINT AS start_char, (a0 + b)::BIGINT AS end_char, sl::BIGINT AS start_line, (CASE WHEN m <= {most} THEN l1 ELSE sl + length(content) - length(replace(content, chr(10), '')) END)::BIGINT AS end_line, least({most}, m - s)::BIGINT AS token_count, md5(content) AS h FROM told"""
+
+
+add("TXT2_heading_chunks", lambda s, d: K.chunks(B.notes(s, d), "doc_id", most=64, overlap=8).select("doc_id", "chunk_index", F.array_join("heading_path", " > ").alias("path"), "start_char", "end_char", "start_line", "end_line", "token_count", F.md5("content").alias("h")), NOTES + ", texts AS (SELECT doc_id, text FROM notes), " + _chunked(64, 8))
 add("PRJ1_snippet", lambda s, d: B.documents(s, d).select("doc_id", X.snippet(F.col("text")).alias("snippet")), "WITH t AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS s FROM documents) SELECT doc_id, CASE WHEN length(s) > 200 THEN regexp_replace(substring(s, 1, 200), '\\s+$', '') || '...' ELSE s END AS snippet FROM t")
 add("PRJ2_heading_join", lambda s, d: table(s, d, "nation").select(F.array_join(F.array(F.lit("World"), "n_name"), " > ").alias("path")), "SELECT 'World > ' || n_name AS path FROM nation")
 add("PRJ3_match_signals", lambda s, d: table(s, d, "orders").select("o_orderkey", *[F.when(F.col("o_orderkey") % m == 0, 1).alias(c) for c, m in (("a", 2), ("b", 3), ("c", 5))]).select("o_orderkey", F.array_join(X.signals("a", "b", "c"), ",").alias("signals")), "SELECT o_orderkey, concat_ws(',', CASE WHEN o_orderkey % 2 = 0 THEN 'keyword' END, CASE WHEN o_orderkey % 3 = 0 THEN 'semantic' END, CASE WHEN o_orderkey % 5 = 0 THEN 'exact-term' END) AS signals FROM orders")
