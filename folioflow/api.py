@@ -68,8 +68,8 @@ class Corpus:
     members: DataFrame | None = None
 
     @cached_property
-    def index(self) -> DataFrame:
-        """Postings of all documents, written once."""
+    def index(self) -> retrieval.InvertedIndex:
+        """The stored index of all documents, built once; update() keeps it up with changes."""
         return retrieval.indexed(self.docs)
 
     @cached_property

@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from folioflow.functions import text as X
 from folioflow.functions import vectors as V
 from folioflow.operators import textetl as T
-from folioflow.session import cut
+from folioflow.operators.inverted import BUCKETS, InvertedIndex
+from folioflow.session import shared_dir
 
 K1, B = 1.2, 0.75
 CANDIDATES = 100
 RRF_K, WEIGHTS = 60, {"bm25": 1.0, "vector": 1.0, "terms": 0.5}
 BLOCK_QUERIES = 4096
+QUERY_ROWS = 1 << 16
 
 
 def top(scored: DataFrame, n: int, score: str = "score", key: str = "id", group: str = "query_id") -> DataFrame:
@@ -25,15 +27,10 @@ def top(scored: DataFrame, n: int, score: str = "score", key: str = "id", group:
     return scored.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
-def postings(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """id, token, tf, dl; null and empty texts have none."""
-    t = docs.select(F.col(key).alias("id"), X.tokens(F.col(text)).alias("t")).where(F.size("t") > 0)
-    return t.select("id", F.size("t").cast("long").alias("dl"), F.explode("t").alias("token")).groupBy("id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-
-
-def indexed(docs: DataFrame, key: str = "id", text: str = "text") -> DataFrame:
-    """postings() as a table in the shared folder, built once for all that reads it."""
-    return cut(postings(docs, key, text))
+def indexed(docs: DataFrame, key: str = "id", text: str = "text", buckets: int = BUCKETS) -> InvertedIndex:
+    """A stored index of docs in a folder of its own in the shared one."""
+    spark = docs.sparkSession
+    return InvertedIndex(spark, shared_dir(spark), buckets).build(docs.select(F.col(key).alias("id"), F.col(text).alias("text")))
 
 
 def parsed(requests: DataFrame) -> DataFrame:
@@ -54,14 +51,19 @@ def in_scope(rows: DataFrame, scope: DataFrame | None, key: str = "id") -> DataF
     return rows if scope is None else rows.join(scope.select(F.col("id").alias(key)), key, "left_semi")
 
 
-def bm25(index: DataFrame, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
-    """query_id, id, score. index as of postings, queries (query_id, token) distinct. Statistics cover the whole index, hits the scope."""
-    stats = index.agg(F.count_distinct("id").alias("n"), (F.sum("tf") / F.count_distinct("id")).alias("avgdl"))
-    wanted = index.join(queries.select("token").distinct(), "token", "left_semi")
-    df = wanted.groupBy("token").agg(F.count(F.lit(1)).alias("df"))
-    part = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5)) * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
-    hits = queries.join(in_scope(wanted, scope), "token").join(df, "token").crossJoin(F.broadcast(stats))  # stats is one row
-    return hits.groupBy("query_id", "id").agg(F.sum(part).alias("score"))
+def bm25(index: InvertedIndex, queries: DataFrame, scope: DataFrame | None = None) -> DataFrame:
+    """query_id, id, score for queries (query_id, token) distinct. Statistics cover the whole index, hits the scope.
+
+    Only the buckets of the asked tokens are read. The tokens, with their weights, go to the postings where they are no more than QUERY_ROWS, so no
+    posting is shuffled; beyond that both sides meet by token.
+    """
+    postings, terms = index.of(queries.select("token"))
+    weight = F.log(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    asked = queries.join(terms.drop("bucket"), "token").crossJoin(F.broadcast(index.statistics())).select("query_id", "token", weight.alias("idf"), "avgdl")  # statistics are one row
+    few = queries.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+    hits = postings.drop("bucket").join(F.broadcast(asked) if few else asked, "token")
+    part = F.col("idf") * F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.col("avgdl")))
+    return in_scope(hits.groupBy("query_id", "id").agg(F.sum(part).alias("score")), scope)
 
 
 def in_blocks(queries: DataFrame, join, block: int = BLOCK_QUERIES) -> DataFrame:
@@ -141,7 +143,7 @@ def facets(results: DataFrame, column: str, n: int = 20) -> DataFrame:
     return counted.withColumn("r", F.row_number().over(w)).where(F.col("r") <= n).drop("r")
 
 
-def search(index: DataFrame, vectors: DataFrame, terms: DataFrame, docs: DataFrame, queries: DataFrame, query_vectors: DataFrame, query_terms: DataFrame, scope: DataFrame | None = None, per: str = "project", cap: int | None = 3, limit: int = 20) -> DataFrame:
+def search(index: InvertedIndex, vectors: DataFrame, terms: DataFrame, docs: DataFrame, queries: DataFrame, query_vectors: DataFrame, query_terms: DataFrame, scope: DataFrame | None = None, per: str = "project", cap: int | None = 3, limit: int = 20) -> DataFrame:
     """The whole hybrid search as one plan: three ranked signals, each within scope, fusion, the documents' columns, cap and limit."""
     lexical = bm25(index, queries, scope).withColumn("score", F.round("score", 6))
     fused = fuse(top(lexical, CANDIDATES), vector_search(vectors, query_vectors, scope=scope), term_search(terms, query_terms, scope=scope))
