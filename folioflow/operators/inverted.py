@@ -59,12 +59,12 @@ class InvertedIndex:
         rows.repartition(by, *spread).write.partitionBy(by).mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(f"{self.folder}/{name}")
 
     def _put(self, postings: DataFrame, lengths: DataFrame, touched: DataFrame, parts: DataFrame) -> None:
-        """Replaces the touched buckets and parts. Each gets a row without a token or id, so that one that is empty now is replaced, too."""
-        held = cut(postings)
-        self._write("postings", held.select("token", "id", "tf", "dl", "bucket").unionByName(touched.select("bucket"), allowMissingColumns=True), "bucket", F.pmod(F.xxhash64("id"), F.lit(self.spread)))
-        counts = held.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df")).select("token", "df", "bucket")
+        """Replaces the touched buckets and parts by tables that are written already. Each gets a row without a token or id, so that one that is empty
+        now is replaced, too."""
+        self._write("postings", postings.select("token", "id", "tf", "dl", "bucket").unionByName(touched.select("bucket"), allowMissingColumns=True), "bucket", F.pmod(F.xxhash64("id"), F.lit(self.spread)))
+        counts = postings.groupBy("bucket", "token").agg(F.count(F.lit(1)).alias("df")).select("token", "df", "bucket")
         self._write("terms", counts.unionByName(touched.select("bucket"), allowMissingColumns=True), "bucket")
-        self._write("lengths", cut(lengths).unionByName(parts.select("part"), allowMissingColumns=True), "part")
+        self._write("lengths", lengths.unionByName(parts.select("part"), allowMissingColumns=True), "part")
 
     def _made(self, docs: DataFrame) -> tuple[DataFrame, DataFrame]:
         rows = cut(counted(docs).withColumn("bucket", self.bucket()))
@@ -94,7 +94,7 @@ class InvertedIndex:
         touched = [r.bucket for r in before.union(rows.select("bucket")).distinct().collect()]
         kept = self.postings.where(F.col("bucket").isin(touched)).join(ids.select("id"), "id", "left_anti")
         stays = old.join(ids.select("id"), "id", "left_anti")
-        self._put(kept.unionByName(rows), stays.unionByName(lengths), self._numbers(touched, "bucket"), self._numbers(own, "part"))
+        self._put(cut(kept.unionByName(rows)), cut(stays.unionByName(lengths)), self._numbers(touched, "bucket"), self._numbers(own, "part"))
         return self
 
     def _numbers(self, values: list[int], name: str) -> DataFrame:

@@ -8,6 +8,7 @@ from folioflow.functions import text as X
 from folioflow.functions import vectors as V
 from folioflow.operators import retrieval as R
 from folioflow.plans import bindings as B
+from folioflow.session import cut
 from folioflow.sources.tables import table
 
 Q: dict = {}
@@ -26,14 +27,19 @@ def _queries(s, d):
 _STORED: dict = {}
 
 
-def _index(s, d):
-    """The stored index of the documents. The first query of a session that asks for it builds it, the others read it; other files are another corpus."""
-    corpus = (s.sparkContext.applicationId, *sorted(table(s, d, "documents").inputFiles()))
+def _stored(s, d, what, make):
+    """What is derived from the documents and kept. The first query of a session that asks for it makes it, the others read it; other files are another
+    corpus."""
+    corpus = (what, s.sparkContext.applicationId, *sorted(table(s, d, "documents").inputFiles()))
     if corpus not in _STORED:
-        _STORED[corpus] = R.indexed(_docs(s, d))
+        _STORED[corpus] = make()
     return _STORED[corpus]
 
 
+def _index(s, d):
+    return _stored(s, d, "index", lambda: R.indexed(_docs(s, d)))
+
+
 def _updated(s, d):
     """An index of the documents as they were, brought up to date: every seventh had another text, every ninth wasn't there, and some have gone since."""
     docs = _docs(s, d).select("id", "text")
@@ -84,8 +90,8 @@ TERM = r"(?:^|[^\p{L}\p{N}_])([A-Z][A-Z0-9_]{2,})(?=$|[^\p{L}\p{N}_])"
 
 
 def _terms(s, d):
-    """Upper-case terms of every text, each occurrence a posting."""
-    return _docs(s, d).select("id", F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(1))).alias("term"))
+    """Upper-case terms of every text, each occurrence a posting; stored like the index."""
+    return _stored(s, d, "terms", lambda: cut(_docs(s, d).select("id", F.explode(F.regexp_extract_all("text", F.lit(TERM), F.lit(1))).alias("term"))))
 
 
 def _query_terms(s, d):
