@@ -45,11 +45,23 @@ def folder_tree(paths: DataFrame, path: str = "path") -> DataFrame:
     return paths.select(F.explode(above).alias("folder")).distinct()
 
 
-def best_overlap(spans: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
-    """For each span (span_id, key, a, b) the chunk (chunk, key, start, stop) that shares most of it, ties to the earlier chunk.
+def overlaps(spans: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """Pairs of spans (span_id, key, a, b) and chunks (chunk, key, start, stop) of a key that share places, with shared, how many.
 
-    An equi join on key with the overlap as residual, and an aggregate instead of a window.
+    A chunk stands in one bin: at the level of the smallest power of two that it isn't longer than, by its start. A span looks in the bins of each
+    level in which chunks that reach it can start; so each pair meets once, whatever the lengths, and a long document is many keys. Empty intervals and null
+    keys share nothing.
     """
+    level = F.length(F.bin(F.col("stop") - F.col("start") - 1))
+    binned = chunks.where("stop > start").withColumn("_level", level).withColumn("_bin", F.expr("shiftright(start, _level)"))
+    levels = sorted(r[0] for r in binned.select("_level").distinct().collect())  # 63 at most
+    looked = spans.where("b > a").withColumn("_level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>")))
+    asked = looked.withColumn("_bin", F.explode(F.expr("sequence(shiftright(a, _level) - 1, shiftright(b - 1, _level))")))
     shared = F.least("b", "stop") - F.greatest("a", "start")
-    hit = spans.join(chunks, key).withColumn("shared", shared).where("shared > 0")
+    return asked.join(binned, [key, "_level", "_bin"]).withColumn("shared", shared).where("shared > 0").drop("_level", "_bin")
+
+
+def best_overlap(spans: DataFrame, chunks: DataFrame, key: str) -> DataFrame:
+    """For each span (span_id, key, a, b) the chunk (chunk, key, start, stop) that shares most of it, ties to the earlier chunk."""
+    hit = overlaps(spans, chunks, key)
     return hit.groupBy("span_id").agg(F.max_by("chunk", F.struct("shared", -F.col("chunk"))).alias("chunk"), F.max("shared").alias("shared"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioflow.session import cut
+
 
 def head_events(saves: DataFrame) -> DataFrame:
     """saves (document_id, branch, version_id, valid_from, event_type) with valid_to, when the next event of the branch begins."""
@@ -57,6 +59,42 @@ def snapshot(versions: DataFrame, members: DataFrame, keys: list[str]) -> DataFr
     return versions.join(members, keys, "left_semi")
 
 
+HOT, SLICES, FEW = 100_000, 64, 10_000
+
+
+def as_of(probes: DataFrame, versions: DataFrame, keys: list[str], at: str, start: str, stop: str, order: list[str], hot: int = HOT, slices: int = SLICES) -> DataFrame:
+    """Each probe (keys, at) with the other columns of the version of its keys that is valid then: start <= at, and stop null or later.
+
+    The versions of a key do not overlap; of those that start together the last by order counts. Versions and probes are put in one order of time, and a
+    running last carries the version on, so no pair is made and each row is shuffled once. The rows of a key that has more than hot are cut
+    into slices of time, each of which gets what held at its beginning from the slices before. Probes with a null key or time, and those that nothing holds for, go.
+    """
+    carried = [c for c in versions.columns if c not in keys]
+    v = versions.select(*keys, F.col(start).alias("_t"), F.lit(0).alias("_kind"), F.struct(*order).alias("_o"), F.struct(*carried).alias("_v"))
+    p = probes.where(F.col(at).isNotNull()).select(*keys, F.col(at).alias("_t"), F.lit(1).alias("_kind"), F.struct(*[F.col(c) for c in probes.columns if c not in keys]).alias("_p"))
+    rows = v.unionByName(p, allowMissingColumns=True)
+    for k in keys:
+        rows = rows.where(F.col(k).isNotNull())
+    busy = rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot).select(*keys)
+    cuts = cut(rows.join(busy, keys, "left_semi").groupBy(*keys).agg(F.percentile_approx("_t", [k / slices for k in range(1, slices)]).alias("_cuts")))
+    n = cuts.count()
+    dealt = rows.withColumn("_slice", F.lit(0))
+    if n:
+        dealt = rows.join(F.broadcast(cuts) if n <= FEW else cuts, keys, "left").withColumn("_slice", F.coalesce(F.size(F.filter("_cuts", lambda c: c <= F.col("_t"))), F.lit(0))).drop("_cuts")
+        dealt = dealt.withColumn("_slice", F.greatest("_slice", F.lit(0)))
+    w = Window.partitionBy(*keys, "_slice").orderBy("_t", "_kind", "_o").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.withColumn("_held", F.last("_v", ignorenulls=True).over(w)).where("_kind = 1")
+    if n:
+        # one row a slice: what it ends with, and from that what the next ones begin with
+        ends = dealt.where("_kind = 0").groupBy(*keys, "_slice").agg(F.max_by("_v", F.struct("_t", "_o")).alias("_end"))
+        every = dealt.select(*keys, "_slice").distinct().join(ends, [*keys, "_slice"], "left")
+        before = Window.partitionBy(*keys).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
+        begins = every.withColumn("_begin", F.last("_end", ignorenulls=True).over(before)).where("_begin is not null").select(*keys, "_slice", "_begin")
+        found = found.join(begins, [*keys, "_slice"], "left").withColumn("_held", F.coalesce("_held", "_begin"))
+    own = [F.col("_held")[c].alias(c) for c in carried]
+    return found.where(F.col("_held").isNotNull() & (F.col("_held")[stop].isNull() | (F.col("_held")[stop] > F.col("_t")))).select(*keys, "_p.*", *own)
+
+
 def path_override(rows: DataFrame, overrides: DataFrame, key: str, path: str) -> DataFrame:
     """path as the resolved version had it, else as it is."""
     return rows.join(overrides.select(key, F.col(path).alias("_then")), key, "left").withColumn(path, F.coalesce("_then", path)).drop("_then")

@@ -53,16 +53,27 @@ S["J5_multi_key_membership"] = "SELECT l_orderkey, l_partkey, l_linenumber, l_qu
 
 
 def _as_of_join(s, d):
-    """For each probe (a purchase), the version of its document that was valid then: an equi join with a range residual."""
+    """For each probe (a purchase), the version of its document that was valid then."""
     probes = table(s, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("probe_id"), F.col("user_id").alias("document_id"), B.micros("ts").alias("at"))
     main = B.heads(s, d).where("branch = 'dev'").select("document_id", "version_id", "valid_from", "valid_to")
-    hit = (F.col("valid_from") <= F.col("at")) & (F.col("valid_to").isNull() | (F.col("valid_to") > F.col("at")))
-    return probes.join(main, "document_id").where(hit).select("probe_id", "document_id", "version_id")
+    return H.as_of(probes, main, ["document_id"], "at", "valid_from", "valid_to", ["version_id"]).select("probe_id", "document_id", "version_id")
 
 
 Q["J10_as_of_join"] = _as_of_join
 S["J10_as_of_join"] = f"WITH {B.HEADS} SELECT e.event_id AS probe_id, h.document_id, h.version_id FROM events e JOIN heads h ON h.document_id = e.user_id AND h.branch = 'dev' AND h.valid_from <= epoch_us(e.ts) AND (h.valid_to IS NULL OR h.valid_to > epoch_us(e.ts)) WHERE e.event_type = 'purchase'"
 
+def _as_of_one_key(s, d):
+    """All lines of all orders as the versions and probes of a few keys: for each probe (an odd line) what an even one last set for its return flag."""
+    lines = table(s, d, "lineitem").select("l_returnflag", F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).cast("long").alias("day"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("line"), "l_quantity")
+    one = lines.groupBy("l_returnflag", "day", "line").agg(F.max("l_quantity").alias("l_quantity"))
+    kept = one.where("line % 2 = 0").select("l_returnflag", F.col("day").alias("valid_from"), F.col("line").alias("version"), F.col("l_quantity").alias("quantity"), F.lit(None).cast("long").alias("valid_to"))
+    probes = one.where("line % 2 = 1").select("l_returnflag", "day", F.col("line").alias("probe"))
+    return H.as_of(probes, kept, ["l_returnflag"], "day", "valid_from", "valid_to", ["version"], hot=1000).select("l_returnflag", "probe", "version", "quantity")
+
+
+Q["J10_as_of_hot_keys"] = _as_of_one_key
+S["J10_as_of_hot_keys"] = "WITH o AS (SELECT l_returnflag, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS day, l_orderkey * 10 + l_linenumber AS line, max(l_quantity) AS quantity FROM lineitem GROUP BY ALL), r AS (SELECT l_returnflag, line, last_value(CASE WHEN line % 2 = 0 THEN {'line': line, 'quantity': quantity} END IGNORE NULLS) OVER (PARTITION BY l_returnflag ORDER BY day, line % 2, line ROWS UNBOUNDED PRECEDING) AS v FROM o) SELECT l_returnflag, line AS probe, v.line AS version, v.quantity AS quantity FROM r WHERE line % 2 = 1 AND v IS NOT NULL"
+
 Q["WIN4_latest_text"] = lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max_by("props", F.struct("ts", "event_id")).alias("props"))
 S["WIN4_latest_text"] = "SELECT user_id, arg_max(props, (ts, event_id)) AS props FROM events GROUP BY user_id"
 

@@ -96,6 +96,15 @@ def _overlap(s, d):
 
 
 add("J16_best_overlap", _overlap, "WITH s AS (SELECT doc_id, length(text) // 3 AS a, length(text) // 3 + 120 AS b, greatest(length(text) - 1, 0) // 100 AS k FROM documents), c AS (SELECT doc_id, a, b, unnest(range(0, k + 1)) AS chunk FROM s), o AS (SELECT doc_id AS span_id, chunk, least(b, chunk * 100 + 130) - greatest(a, chunk * 100) AS shared FROM c WHERE shared > 0) SELECT span_id, chunk, shared FROM o QUALIFY row_number() OVER (PARTITION BY span_id ORDER BY shared DESC, chunk) = 1")
+def _shipped_together(s, d):
+    """Each return flag is one long axis of days: its lines are spans from their shipping on, as long as their quantity, months of several lengths its chunks."""
+    lines = table(s, d, "lineitem").select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("span_id"), "l_returnflag", F.datediff("l_shipdate", F.lit("1990-01-01").cast("date")).cast("long").alias("a"), (F.col("l_quantity") * 3).cast("long").alias("n"))
+    spans = lines.groupBy("span_id", "l_returnflag", "a").agg(F.max("n").alias("n")).select("span_id", "l_returnflag", "a", (F.col("a") + F.col("n")).alias("b"))
+    months = spans.groupBy("l_returnflag").agg(F.max("b").alias("z")).select("l_returnflag", F.explode(F.sequence(F.lit(0).cast("long"), F.expr("z div 30"))).alias("chunk")).select("l_returnflag", "chunk", (F.col("chunk") * 30).alias("start"), (F.col("chunk") * 30 + 30 + F.col("chunk") % 7 * 10).alias("stop"))
+    return G.best_overlap(spans, months, "l_returnflag")
+
+
+add("J16_overlap_long_axis", _shipped_together, "WITH s AS (SELECT l_orderkey * 10 + l_linenumber AS span_id, l_returnflag, date_diff('day', DATE '1990-01-01', l_shipdate::DATE) AS a, max(trunc(l_quantity * 3))::BIGINT AS n FROM lineitem GROUP BY ALL), c AS (SELECT l_returnflag, k AS chunk, k * 30 AS start, k * 30 + 30 + k % 7 * 10 AS stop FROM (SELECT l_returnflag, unnest(range(0, max(a + n) // 30 + 1)) AS k FROM s GROUP BY l_returnflag)), o AS (SELECT span_id, chunk, least(a + n, stop) - greatest(a, start) AS shared FROM s JOIN c USING (l_returnflag) WHERE least(a + n, stop) > greatest(a, start)) SELECT span_id, chunk, shared FROM o QUALIFY row_number() OVER (PARTITION BY span_id ORDER BY shared DESC, chunk) = 1")
 add("J17_broken_links", lambda s, d: G.broken_links(_links(s, d), _known(s, d)), f"WITH {LINKS}, {KNOWN} SELECT page_id, target FROM links WHERE target NOT IN (SELECT path FROM known)")
 add("INS2_broken_links", lambda s, d: G.broken_links(_links(s, d), _known(s, d)).groupBy("target").agg(F.countDistinct("page_id").alias("pages")), f"WITH {LINKS}, {KNOWN} SELECT target, count(DISTINCT page_id) AS pages FROM links WHERE target NOT IN (SELECT path FROM known) GROUP BY target")
 add("J19_links_to_documents", lambda s, d: _links(s, d).join(_known(s, d), F.col("target") == F.col("path")).select("page_id", "target", "page"), f"WITH {LINKS}, {KNOWN} SELECT page_id, target, page FROM links JOIN known ON target = path")
