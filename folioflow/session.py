@@ -72,3 +72,8 @@ def plain_names(df: DataFrame) -> DataFrame:
 def fields(df: DataFrame) -> str:
     """df's columns as a schema string."""
     return ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+
+
+def quoted(name: str) -> str:
+    """A column's name for col() and select(): dots and backticks in it are part of the name."""
+    return "`" + name.replace("`", "``") + "`"
