@@ -10,7 +10,12 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioflow.llm import decontaminate, minhash, mixing, quality, sstable
-from folioflow.session import cut, fresh, importable
+from folioflow.session import cut, fresh, importable, quoted
+
+
+def _own(docs: DataFrame) -> list:
+    """The columns of docs, whatever their names."""
+    return [F.col(quoted(c)) for c in docs.columns]
 
 
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -29,9 +34,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Of rows that share an id the one that was linked stays; rows with a null id stay.
     """
     kept = minhash.link(docs).where("kept and doc_id is not null").select("doc_id").distinct()
-    first, n = Window.partitionBy("doc_id").orderBy(minhash.standing("text"), F.xxhash64(*docs.columns)), fresh("n", docs)
+    first, n = Window.partitionBy("doc_id").orderBy(minhash.standing("text"), F.xxhash64(*_own(docs))), fresh("n", docs)
     one = docs.join(kept, "doc_id", "left_semi").withColumn(n, F.row_number().over(first)).where(F.col(n) == 1)
-    return one.select(docs.columns).unionByName(docs.where("doc_id is null"))
+    return one.select(_own(docs)).unionByName(docs.where("doc_id is null"))
 
 
 def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +45,7 @@ def drop_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
     Each row is judged by its text alone; null and blank texts are unchanged, and so is n_chars where the text is null.
     """
     clean = decontaminate.clean(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(docs.columns)
+    return clean.withColumn("n_chars", F.when(F.col("text").isNotNull(), F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(_own(docs))
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +56,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """
     got = mixing.mix(docs, F.array("source"))
     times = F.col("_times") + ((F.col("_part") > 0) & (2 * F.col("_part") >= F.col("_size"))).cast("long")
-    return got.select("*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(fresh("k", got))).select(docs.columns)
+    return got.select("*", F.explode(F.array_repeat(F.lit(0), times.cast("int"))).alias(fresh("k", got))).select(_own(docs))
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -21,7 +21,7 @@ import json
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioflow.session import cut, importable
+from folioflow.session import cut, importable, quoted
 
 MAX_PATTERNS = 100_000  # also bounds what is broadcast
 WORDS = r"[^\x20\x09-\x0D]+"
@@ -138,7 +138,7 @@ def mix(docs: DataFrame, members: Column, text: str = "text", key: str = "doc_id
     held = F.array_sort(F.array_distinct(F.coalesce(members, F.array(F.lit(None).cast("string")))))
     said = F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(key).cast("string"), F.lit("")), F.lit("|"), F.coalesce(F.col(text), F.lit("")))
     cell = F.conv(F.substring(F.md5(said), 1, BITS * LEVELS // 4), 16, 10).cast("long")
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), held.alias("m"), size.alias("n"), cell.alias("c"))
+    rows = docs.select(F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row"), held.alias("m"), size.alias("n"), cell.alias("c"))
     rows = rows.withColumn("p", F.to_json("m"))
     sums = rows.groupBy("p", "m").agg(F.sum("n").alias("n"))
     if sums.limit(max_patterns + 1).count() > max_patterns:
