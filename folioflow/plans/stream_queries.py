@@ -12,6 +12,7 @@ from folioflow.session import shared_dir
 from folioflow.sources import files as X
 from folioflow.sources.tables import table
 from folioflow.streaming import sessions as T
+from folioflow.streaming import stateful as ST
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -115,6 +116,47 @@ def _polls(s, d):
 add("STR9_snapshot_push", lambda s, d: T.pushed(_polls(s, d), "conv_id", ["turn"], ["role", "long"]).select("conv_id", "turn", "payload"), "WITH p AS (SELECT conv_id, turn, '{\"role\":\"' || role || '\",\"long\":' || CASE WHEN length(text) > 200 THEN 'true' ELSE 'false' END || '}' AS payload FROM conversations) SELECT conv_id, turn, payload FROM p QUALIFY lag(payload) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM payload")
 
 
+SLICES = 3
+LATE = 3600_000_000
+
+
+def _sliced(s, d, rows, bucket, stream):
+    """Runs stream(rows of a folder) to its end after each slice of rows has come, as one query that is stopped and started again."""
+    out = shared_dir(s)
+    own = rows.drop("_slice").schema
+    with _rocks(s):
+        for k in range(SLICES):
+            rows.withColumn("_slice", bucket).where(F.col("_slice") == k).drop("_slice").write.mode("append").parquet(f"{out}/in")
+            q = stream(s.readStream.schema(own).parquet(f"{out}/in")).writeStream.outputMode("append").format("parquet").option("checkpointLocation", f"{out}/state")
+            q.trigger(availableNow=True).start(f"{out}/rows").awaitTermination()
+    return s.read.parquet(f"{out}/rows")
+
+
+def _event_slices(s, d, stream):
+    """Events in slices of ten days, which come one after the other, with a watermark an hour behind."""
+    rows = table(s, d, "events").select("user_id", "event_id", "event_type", F.col("ts").cast("timestamp").alias("ts"), B.micros("ts").alias("at_us"))
+    day = F.least(F.floor(F.datediff(F.col("ts").cast("date"), F.lit("2024-01-01").cast("date")) / 10), F.lit(SLICES - 1))
+    return _sliced(s, d, rows, day, lambda df: stream(df.withWatermark("ts", "1 hour")))
+
+
+add("STR4_rate_limit_stream", lambda s, d: _event_slices(s, d, lambda df: ST.rate_limited_stream(df, "user_id", "at_us", "event_id", 2, 86400)).groupBy("user_id").agg(F.count_if("allowed").alias("allowed"), count_all().alias("n")), S["STR4_rate_limit"])
+add("STR5_idempotency_stream", lambda s, d: _event_slices(s, d, lambda df: ST.first_in_ttl_stream(df, ["user_id", "event_type"], "at_us", "event_id", DAY)).select("user_id", "event_type", "event_id"), S["STR5_idempotency_ttl"])
+
+
+def _session_stream(s, d):
+    """Where each session stands at the end of the stream."""
+    kind = F.when(F.col("event_type") == "purchase", "flush").otherwise(F.col("event_type"))
+    got = _event_slices(s, d, lambda df: ST.sessions_stream(df.withColumn("kind", kind), "user_id", "at_us", "event_id", "kind", 2 * DAY))
+    last = F.max_by(F.struct("flushed", "touched", "deltas", "state"), F.struct("at", F.col("state") == "abandoned", "deltas"))
+    return got.groupBy("user_id").agg(last.alias("x")).select("user_id", "x.*")
+
+
+# a session that was abandoned begins anew: what counts is what came after its last idle time
+add("STR6_session_stream", _session_stream, f"WITH e AS (SELECT user_id, event_type = 'purchase' AS flush, epoch_us(ts) AS t, event_id, (SELECT epoch_us(max(ts)) FROM events) - {LATE} AS mark FROM events), g AS (SELECT *, CASE WHEN t - lag(t) OVER (PARTITION BY user_id ORDER BY t, event_id) > {2 * DAY} THEN 1 ELSE 0 END AS gap FROM e), h AS (SELECT *, sum(gap) OVER (PARTITION BY user_id ORDER BY t, event_id) AS part FROM g), l AS (SELECT * FROM h QUALIFY part = max(part) OVER (PARTITION BY user_id)), x AS (SELECT user_id, max(t) FILTER (WHERE flush) AS flushed, max(t) FILTER (WHERE NOT flush) AS touched, count(*) FILTER (WHERE NOT flush) AS deltas, max(t) AS last, any_value(mark) AS mark FROM l GROUP BY user_id) SELECT user_id, flushed, touched, deltas, CASE WHEN last + {2 * DAY} < mark THEN 'abandoned' WHEN touched > coalesce(flushed, -1) THEN 'dirty' ELSE 'clean' END AS state FROM x")
+add("STR1_debounce_stream", lambda s, d: _event_slices(s, d, lambda df: T.debounced(df, "user_id", "ts", "30 minutes")).select("user_id", "n", B.micros("first").alias("first"), B.micros("last").alias("last")), S["STR1_debounce"] + f" HAVING max(t) + {GAP} <= (SELECT epoch_us(max(ts)) FROM events) - {LATE}")
+add("STR9_push_stream", lambda s, d: _sliced(s, d, _polls(s, d), F.least(F.floor(F.col("turn") / 2), F.lit(SLICES - 1)), lambda df: ST.pushed_stream(df, "conv_id", ["turn"], ["role", "long"])).select("conv_id", "turn", "payload"), S["STR9_snapshot_push"])
+
+
 def _paths(s, d):
     return table(s, d, "pages").select("page_id", F.concat(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", ""), F.when(F.col("page_id") % 5 == 0, ".tmp").when(F.col("page_id") % 7 == 0, "/.git/x.md").when(F.col("page_id") % 3 == 0, ".sql").otherwise(".md")).alias("path"))
 
