@@ -94,6 +94,8 @@ def near(prints: DataFrame, hot: int = HOT) -> DataFrame:
     """
     table = prints.select("fp", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), _segment(i).alias("v")) for i in (0, 1)])).alias("s")).select("s.*", "fp")
     probes = table.select("i", "v", "fp", _masks([0, *_ball(1)]).alias("m")).where("m = 0 or v & m = 0").select("i", F.expr("v | m").alias("v"), "fp", (F.col("m") != 0).alias("far"))
+    # sizes after an explode are guessed far too small, so no side of it may be broadcast unmeasured
+    probes = probes.hint("merge")
     often = cut(table.groupBy("i", "v").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("i", "v"))
     distance = F.bit_count(F.col("a").bitwiseXOR(F.col("b")))
     fetched = table.join(often, ["i", "v"], "left_anti").withColumnRenamed("fp", "b").join(probes.withColumnRenamed("fp", "a"), ["i", "v"])
