@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
+from folioflow.operators import candidates as CD
 from folioflow.operators import chunking as K
 from folioflow.operators import context as C
 from folioflow.operators import textetl as T
@@ -55,10 +56,10 @@ def _linked(s, d):
 
 add("TXT16_all_links", _linked, NOTES + r", l AS (SELECT doc_id, text || chr(10) || 'read docs/g' || doc_id % 7 || '.md, twice' AS t, 'docs/g' || doc_id % 7 || '.md' AS target FROM notes) SELECT doc_id, target, 'the guide' AS anchor, 1.0::DOUBLE AS confidence, CAST(strpos(t, '[the guide]') - 1 AS INTEGER) AS start, CAST(strpos(t, '[the guide]') - 1 + length('[the guide](' || target || '#part)') AS INTEGER) AS stop FROM l UNION ALL SELECT doc_id, target, target, 0.8, CAST(length(t) - length(target || ', twice') AS INTEGER), CAST(length(t) - length(', twice') AS INTEGER) FROM l WHERE doc_id % 7 < 4")
 add("TXT17_decisions", lambda s, d: B.notes(s, d).select("doc_id", T.decision(F.col("text")).alias("x")).select("doc_id", "x.title", "x.status", "x.decision", "x.context"), NOTES + "SELECT doc_id, 'Head ' || doc_id % 1000000 AS title, 'accepted' AS status, 'Use redis v' || doc_id % 3 || '.' || doc_id % 5 || '.' || doc_id % 2 || ' and PostgreSQL for caching.' AS decision, CAST(NULL AS VARCHAR) AS context FROM notes")
-add("TXT18_requirements", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).where("method = 'regex_req_id'").select("doc_id", "requirement_id", "title", "priority", "confidence"), NOTES + "SELECT doc_id, 'REQ-' || doc_id % 11 AS requirement_id, 'The service must answer in ' || doc_id % 50 || ' ms' AS title, 'must' AS priority, 1.0::DOUBLE AS confidence FROM notes")
-add("TXT18_modal_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.requirements(F.col("text")))).groupBy("method", "priority").agg(count_all().alias("n")), NOTES + r"SELECT method, priority, count(*) AS n FROM (SELECT DISTINCT doc_id, 'regex_shall_must' AS method, t, CASE WHEN regexp_matches(lower(t), 'must|shall') THEN 'must' WHEN contains(lower(t), 'should') THEN 'should' WHEN regexp_matches(lower(t), 'could|may') THEN 'could' END AS priority FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '(?im)^(.{0,20}(?:shall|must|should|will)\s+.{10,200})$', 1)), '^\s+|\s+$', '', 'g') AS t FROM notes) WHERE NOT ends_with(t, '?') AND NOT regexp_matches(t, '(?i)^(open question:|question:|todo:|tbd:)') AND NOT starts_with(t, 'REQ-') AND t <> 'The code in a fence must not be counted here' UNION ALL SELECT doc_id, 'regex_req_id', '', 'must' FROM notes) GROUP BY method, priority")
-add("TXT19_open_questions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).where("method = 'regex_todo_marker'").select("doc_id", "question", "confidence"), NOTES + "SELECT doc_id, 'decide about the quota ' || doc_id % 6 AS question, 0.9::DOUBLE AS confidence FROM notes")
-add("TXT19_question_lines", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.questions(F.col("text")))).groupBy("method", "context").agg(count_all().alias("n")))
+add("TXT18_requirements", lambda s, d: CD.requirements(B.notes(s, d), "doc_id", "text").where("method = 'regex_req_id'").select("doc_id", "requirement_id", "title", "priority", "confidence"), NOTES + "SELECT doc_id, 'REQ-' || doc_id % 11 AS requirement_id, 'The service must answer in ' || doc_id % 50 || ' ms' AS title, 'must' AS priority, 1.0::DOUBLE AS confidence FROM notes")
+add("TXT18_modal_lines", lambda s, d: CD.requirements(B.notes(s, d), "doc_id", "text").groupBy("method", "priority").agg(count_all().alias("n")), NOTES + r"SELECT method, priority, count(*) AS n FROM (SELECT DISTINCT doc_id, 'regex_shall_must' AS method, t, CASE WHEN regexp_matches(lower(t), 'must|shall') THEN 'must' WHEN contains(lower(t), 'should') THEN 'should' WHEN regexp_matches(lower(t), 'could|may') THEN 'could' END AS priority FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '(?im)^(.{0,20}(?:shall|must|should|will)\s+.{10,200})$', 1)), '^\s+|\s+$', '', 'g') AS t FROM notes) WHERE NOT ends_with(t, '?') AND NOT regexp_matches(t, '(?i)^(open question:|question:|todo:|tbd:)') AND NOT starts_with(t, 'REQ-') AND t <> 'The code in a fence must not be counted here' UNION ALL SELECT doc_id, 'regex_req_id', '', 'must' FROM notes) GROUP BY method, priority")
+add("TXT19_open_questions", lambda s, d: CD.questions(B.notes(s, d), "doc_id", "text").where("method = 'regex_todo_marker'").select("doc_id", "question", "confidence"), NOTES + "SELECT doc_id, 'decide about the quota ' || doc_id % 6 AS question, 0.9::DOUBLE AS confidence FROM notes")
+add("TXT19_question_lines", lambda s, d: CD.questions(B.notes(s, d), "doc_id", "text").groupBy("method", "context").agg(count_all().alias("n")))
 add("TXT20_code_fence", lambda s, d: B.notes(s, d).select("doc_id", X.in_fence(F.col("text"), F.instr("text", "The code in a fence")).alias("inside"), X.in_fence(F.col("text"), F.instr("text", "Should we move")).alias("outside")), NOTES + "SELECT doc_id, true AS inside, false AS outside FROM notes")
 add("TXT21_signatures", lambda s, d: table(s, d, "orders").select("o_orderkey", X.signature("o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))).alias("signature")), "SELECT o_orderkey, sha256(o_orderstatus || chr(10) || o_orderpriority || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END) AS signature FROM orders")
 add("TXT22_content_hash", lambda s, d: B.documents(s, d).select("doc_id", X.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")

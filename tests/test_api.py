@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 
 from folioflow import api
 from folioflow.functions import vectors as V
-from folioflow.operators import jobs, retrieval
+from folioflow.operators import candidates, jobs, retrieval
 from folioflow.operators import textetl as T
 
 NOTE = """Use GET /api/v2/items/{id} or POST /x, see ./docs/a-b.md and MAX_ROWS or THE port 8081.
@@ -36,10 +36,23 @@ def test_entities_of_fixed_text(spark):
     assert [x.start for x in both] == sorted(x.start for x in got)
 
 
-def test_questions_of_fixed_text():
-    text = "Plan\nShould we move the index to zone 4?\n```\nIs this in a fence or is it not?\n```\nTODO: decide about quota\nQuestion: what is the limit of this thing?\n"
-    got = T.questions_of(text)
-    assert [(x["question"], x["context"], x["method"]) for x in got] == [("Should we move the index to zone 4?", "Plan", "regex_question_mark"), ("what is the limit of this thing?", "TODO: decide about quota", "regex_question_mark"), ("decide about quota", None, "regex_todo_marker")]
+def test_questions_of_fixed_text(spark):
+    text = "Plan\nShould we move the index to zone 4?\n```\nIs this in a fence or is it not?\n```\nTODO: decide about quota\nQuestion: what is the limit of this thing?\nTBD: what is the limit of this thing?\n"
+    got = candidates.questions(spark.createDataFrame([(1, text), (1, text), (2, None), (3, "")], "id long, t string"), "id", "t").orderBy("method", "start").collect()
+    assert [(x.id, x.question, x.context, x.method) for x in got] == [(1, "Should we move the index to zone 4?", "Plan", "regex_question_mark"), (1, "what is the limit of this thing?", "TODO: decide about quota", "regex_question_mark"), (1, "TBD: what is the limit of this thing?", "Question: what is the limit of this thing?", "regex_question_mark"), (1, "decide about quota", None, "regex_todo_marker")]
+    assert all(text[x.start : x.stop].strip().endswith(x.question) for x in got)
+
+
+def test_requirements_of_fixed_text(spark):
+    text = "REQ-1: The cache must hold it all\nUS-22  one may sign in\nREQ-3: The cache must hold it all\nEach node shall answer in a second\nWill it be ready for the winter?\nTODO: it must be ready some day soon\n```\nThis must not be counted at all\n```\nEach node shall answer in a second\n"
+    got = candidates.requirements(spark.createDataFrame([(1, text), (2, None)], "id long, t string"), "id", "t").orderBy("start").collect()
+    assert [(x.requirement_id, x.title, x.priority, x.confidence) for x in got] == [("REQ-1", "The cache must hold it all", "must", 1.0), ("US-22", "one may sign in", "could", 1.0), (None, "REQ-3: The cache must hold it all", "must", 0.8), (None, "Each node shall answer in a second", "must", 0.8)]
+
+
+def test_paths_of_links(spark):
+    raw = ["docs/a.md#x", "./a//b/./c.md", "/x/../y", "//net/a", "///a/", "http://a/b", "mailto:x@y", "#part", " a.md ", ".", "", None]
+    got = spark.createDataFrame([(i, r) for i, r in enumerate(raw)], "i int, r string").select("i", T.plain_path(F.col("r")).alias("p")).orderBy("i").collect()
+    assert [x.p for x in got] == ["docs/a.md", "a/b/c.md", "/x/../y", "//net/a", "/a", None, None, None, "a.md", None, None, None]
 
 
 def test_byte_pair_tokens(spark):
