@@ -135,6 +135,32 @@ def soft_delete(events: DataFrame, deletes: DataFrame) -> DataFrame:
     return shut.select("document_id", "branch", "version_id", "valid_from", "event_type", "valid_to").unionByName(gone)
 
 
+def restored(saves: DataFrame, targets: DataFrame) -> DataFrame:
+    """For targets (document_id, version_id) the next version of each document, with the old one's content: restored_from, version_number."""
+    count = saves.groupBy("document_id").agg(F.count(F.lit(1)).alias("_n"))
+    known = saves.select("document_id", "version_id").distinct()
+    return targets.join(known, ["document_id", "version_id"], "left_semi").join(count, "document_id").select("document_id", F.col("version_id").alias("restored_from"), (F.col("_n") + 1).alias("version_number"))
+
+
+def folder_renamed(paths: DataFrame, path: str, old: str, new: str) -> DataFrame:
+    """The rows of paths below the folder old, with new_path below new; old's own name inside a path stays."""
+    below = old.rstrip("/") + "/"
+    return paths.where(F.col(path).startswith(below)).withColumn("new_path", F.concat(F.lit(new.rstrip("/") + "/"), F.expr(f"substring(`{path}`, {len(below) + 1})")))
+
+
+def decided(candidates: DataFrame, edits: DataFrame, key: str, value: str) -> DataFrame:
+    """candidates with status: edited where edits (key, value) says another value, and that value; else accepted."""
+    own = edits.select(key, F.col(value).alias("_new"), F.lit(True).alias("_hit"))
+    both = candidates.join(own, key, "left")
+    edit = F.col("_hit").isNotNull() & ~F.col("_new").eqNullSafe(F.col(value))
+    return both.withColumn("status", F.when(edit, "edited").otherwise("accepted")).withColumn(value, F.when(edit, F.col("_new")).otherwise(F.col(value))).drop("_new", "_hit")
+
+
+def get_or_create(mentions: DataFrame, keys: list[str], at: str, order: list[str], value: str) -> DataFrame:
+    """One entity for each keys: first_seen, last_seen, and value as it was first."""
+    return mentions.groupBy(*keys).agg(F.min(at).alias("first_seen"), F.max(at).alias("last_seen"), F.min_by(value, F.struct(at, *order)).alias(value))
+
+
 def reconcile(files: DataFrame, heads: DataFrame, key: str, state: str) -> DataFrame:
     """Files that are new or whose state differs from the head's."""
     known = heads.select(key, F.col(state).alias("_head"))

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from folioflow.operators import history as H
 from folioflow.operators import jobs as J
+from folioflow.operators.stored import StoredHistory, StoredTable
 from folioflow.plans import bindings as B
+from folioflow.session import shared_dir
 from folioflow.sources.tables import table
 
 AS_OF = 1705320000000000  # 2024-01-15 12:00 UTC
@@ -112,8 +114,8 @@ S["VER3_soft_delete"] = f"WITH {B.HEADS} SELECT document_id, branch, version_id,
 def _restore(s, d):
     """Every document goes back to its first version: a new version with that content."""
     e = B.saves(s, d).where("event_type = 'save'")
-    first = e.groupBy("document_id").agg(F.min_by("version_id", F.struct("valid_from", "version_id")).alias("restored_from"), F.count(F.lit(1)).alias("n"))
-    return first.select("document_id", "restored_from", (F.col("n") + 1).alias("version_number"))
+    first = e.groupBy("document_id").agg(F.min_by("version_id", F.struct("valid_from", "version_id")).alias("version_id"))
+    return H.restored(e, first)
 
 
 Q["VER4_restore"] = _restore
@@ -122,7 +124,24 @@ S["VER4_restore"] = f"WITH {B.SAVES} SELECT document_id, arg_min(version_id, (va
 Q["VER5_rebuild_heads"] = lambda s, d: B.heads(s, d).where("event_type = 'save'").groupBy("document_id").agg(F.max_by(F.struct("version_id", "branch"), F.struct("valid_from", "version_id")).alias("h"), F.sum(F.col("valid_to").isNull().cast("long")).alias("open")).select("document_id", "h.version_id", "h.branch", "open")
 S["VER5_rebuild_heads"] = f"WITH {B.HEADS} SELECT document_id, arg_max(version_id, (valid_from, version_id)) AS version_id, arg_max(branch, (valid_from, version_id)) AS branch, CAST(count(*) FILTER (WHERE valid_to IS NULL) AS BIGINT) AS open FROM heads WHERE event_type = 'save' GROUP BY document_id"
 
-Q["VER6_folder_rename"] = lambda s, d: _paths(s, d).where(F.col("path").startswith("docs/src1/")).select("doc_id", "path", F.concat(F.lit("docs/moved/"), F.expr("substring(path, 11)")).alias("new_path"))
+def _history(s, d):
+    """Head events as a stream of saves folds them into a stored table: the last third comes first, and one third comes twice."""
+    out = shared_dir(s)
+    stored = StoredHistory(s, f"{out}/heads").create()
+    saves = B.saves(s, d)
+    for k in (2, 0, 0, 1):
+        saves.where(f"pmod(version_id div 7, 3) = {k}").write.mode("append").parquet(f"{out}/in")
+        q = s.readStream.schema(saves.schema).parquet(f"{out}/in").writeStream.foreachBatch(stored.sink).option("checkpointLocation", f"{out}/state")
+        q.trigger(availableNow=True).start().awaitTermination()
+    return stored
+
+
+Q["VER1_stored_history"] = lambda s, d: _history(s, d).read()
+S["VER1_stored_history"] = S["WIN3_head_events"]
+Q["VER5_stored_heads"] = lambda s, d: _history(s, d).read().where("event_type = 'save'").groupBy("document_id").agg(F.max_by(F.struct("version_id", "branch"), F.struct("valid_from", "version_id")).alias("h"), F.sum(F.col("valid_to").isNull().cast("long")).alias("open")).select("document_id", "h.version_id", "h.branch", "open")
+S["VER5_stored_heads"] = S["VER5_rebuild_heads"]
+
+Q["VER6_folder_rename"] = lambda s, d: H.folder_renamed(_paths(s, d), "path", "docs/src1", "docs/moved")
 S["VER6_folder_rename"] = "WITH p AS (SELECT doc_id, 'docs/' || source || '/d' || doc_id || '.md' AS path FROM documents) SELECT doc_id, path, 'docs/moved/' || substring(path, 11) AS new_path FROM p WHERE starts_with(path, 'docs/src1/')"
 
 
@@ -145,13 +164,30 @@ def _upsert(s, d):
 Q["VER9_candidate_upsert"] = _upsert
 S["VER9_candidate_upsert"] = "WITH n AS (SELECT o_orderkey AS sig FROM orders WHERE o_orderkey % 3 <> 0), o AS (SELECT o_orderkey AS sig, CASE WHEN o_orderstatus = 'F' THEN 'accepted' ELSE 'candidate' END AS status FROM orders WHERE o_orderkey % 4 <> 0) SELECT coalesce(n.sig, o.sig) AS sig, status, CASE WHEN o.sig IS NULL THEN 'insert' WHEN n.sig IS NOT NULL THEN 'update' WHEN status = 'candidate' THEN 'delete' ELSE 'keep' END AS action FROM n FULL JOIN o ON n.sig = o.sig"
 
-Q["VER10_accept_or_edit"] = lambda s, d: table(s, d, "orders").select("o_orderkey", F.when(F.col("o_orderpriority").eqNullSafe(F.when(F.col("o_orderkey") % 6 == 0, "1-URGENT").otherwise(F.col("o_orderpriority"))), "accepted").otherwise("edited").alias("status"))
+
+
+def _decided(s, d):
+    """Every sixth order is decided with another priority."""
+    own = table(s, d, "orders").select("o_orderkey", "o_orderpriority")
+    return H.decided(own, own.where("o_orderkey % 6 = 0").withColumn("o_orderpriority", F.lit("1-URGENT")), "o_orderkey", "o_orderpriority").select("o_orderkey", "status")
+
+
+Q["VER10_accept_or_edit"] = _decided
 S["VER10_accept_or_edit"] = "SELECT o_orderkey, CASE WHEN o_orderkey % 6 = 0 AND o_orderpriority IS DISTINCT FROM '1-URGENT' THEN 'edited' ELSE 'accepted' END AS status FROM orders"
 
-Q["VER11_replace_by_key"] = lambda s, d: table(s, d, "labels").select("doc_id", "quality").join(table(s, d, "documents").where("lang = 'fr'").select("doc_id"), "doc_id", "left_anti").unionByName(table(s, d, "documents").where("lang = 'fr'").select("doc_id", F.lit(9).alias("quality")))
+
+
+def _replaced(s, d):
+    """A stored table of labels in which those of all French documents are replaced."""
+    own = StoredTable(s, shared_dir(s), ["doc_id"], "doc_id long, quality int").create()
+    own.replace(table(s, d, "labels").select("doc_id", F.col("quality").cast("int").alias("quality")))
+    return own.replace(table(s, d, "documents").where("lang = 'fr'").select("doc_id", F.lit(9).alias("quality"))).read()
+
+
+Q["VER11_replace_by_key"] = _replaced
 S["VER11_replace_by_key"] = "SELECT doc_id, quality FROM labels WHERE doc_id NOT IN (SELECT doc_id FROM documents WHERE lang = 'fr') UNION ALL SELECT doc_id, 9 FROM documents WHERE lang = 'fr'"
 
-Q["VER12_get_or_create"] = lambda s, d: table(s, d, "events").groupBy("event_type", "user_id").agg(F.min(B.micros("ts")).alias("first_seen"), F.max(B.micros("ts")).alias("last_seen"), F.min_by("props", F.struct("ts", "event_id")).alias("metadata"))
+Q["VER12_get_or_create"] = lambda s, d: H.get_or_create(table(s, d, "events").select("event_type", "user_id", B.micros("ts").alias("at"), "event_id", F.col("props").alias("metadata")), ["event_type", "user_id"], "at", ["event_id"], "metadata")
 S["VER12_get_or_create"] = "SELECT event_type, user_id, epoch_us(min(ts)) AS first_seen, epoch_us(max(ts)) AS last_seen, arg_min(props, (ts, event_id)) AS metadata FROM events GROUP BY event_type, user_id"
 
 
