@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from folioflow.functions import text as X
 from folioflow.functions import vectors as V
+from folioflow.operators import models as MC
 from folioflow.operators import retrieval as R
 from folioflow.plans import bindings as B
 from folioflow.session import cut
@@ -148,14 +149,40 @@ Q["RET7_lexical_phase"] = lambda s, d: R.capped(R.top(R.bm25(_index(s, d), _quer
 S["RET7_lexical_phase"] = f"WITH {BM}, {TOPB_LIVE}, l AS (SELECT b.*, source AS project FROM b JOIN documents ON doc_id = id), lc AS (SELECT * FROM l QUALIFY row_number() OVER (PARTITION BY query_id, project ORDER BY rank) <= 3) SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY rank) AS INTEGER) AS final_rank, id FROM lc QUALIFY final_rank <= 20"
 
 
+def overlap():
+    """A reranker for tests and benches: the share of a query's distinct words that a text has."""
+    import re
+
+    words = lambda t: set(re.findall(r"\w+", t.lower()))
+    return lambda pairs: [len(words(q) & words(t)) / len(words(q)) for q, t in pairs]
+
+
+def measures():
+    """An embedder for tests and benches: a text's characters, words, lines and letters e."""
+    return lambda texts: [[len(t), len(t.split()), t.count("\n") + 1, t.count("e")] for t in texts]
+
+
+def _scored(s, d):
+    """The hybrid results with a reranker's score for each pair of query and text."""
+    asked = table(s, d, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
+    pairs = _hybrid(s, d).select("query_id", "id", "final_rank", "text").join(asked, "query_id")
+    return MC.scored(pairs, "query", "text", overlap, MC.Limits(chars=1 << 20))
+
+
 def _reranked(s, d):
-    scores = _docs(s, d).select("id", V.yes_probability(F.lit(0.5), (F.col("id") % 17) / 10).alias("rerank_score"))
-    ranked = _hybrid(s, d).select("query_id", "id", "final_rank")
-    return R.reranked(ranked, ranked.select("query_id", "id").join(scores, "id"), 10).select("query_id", "id", "reranked")
+    got = cut(_scored(s, d).select("query_id", "id", "final_rank", "rerank_score"))
+    return R.reranked(got.drop("rerank_score"), got, 10).select("query_id", "id", "reranked")
 
 
+W = "list_distinct(regexp_extract_all(lower({}), '[\\p{{L}}\\p{{N}}_]+'))"
+RE = f"re AS (SELECT hy.*, len(list_intersect({W.format('b.text')}, {W.format('hy.text')})) / len({W.format('b.text')}) AS score FROM hy JOIN benchmark b ON b.item_id = query_id)"
 Q["TOP4_rerank_prefix"] = _reranked
-S["TOP4_rerank_prefix"] = f"WITH {ALL}, {HY} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_rank > 10, CASE WHEN final_rank <= 10 THEN id % 17 END DESC, final_rank) AS INTEGER) AS reranked FROM hy"
+S["TOP4_rerank_prefix"] = f"WITH {ALL}, {HY}, {RE} SELECT query_id, id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY final_rank > 10, CASE WHEN final_rank <= 10 THEN score END DESC, final_rank) AS INTEGER) AS reranked FROM re"
+Q["RET9_rerank_calls"] = lambda s, d: _scored(s, d).select("query_id", "id", F.round("rerank_score", 9).alias("score"), "error")
+S["RET9_rerank_calls"] = f"WITH {ALL}, {HY}, {RE} SELECT query_id, id, round(score, 9) AS score, NULL::VARCHAR AS error FROM re"
+Q["VEC6_embedding_calls"] = lambda s, d: MC.embedded(table(s, d, "documents").select("doc_id", "text"), "text", measures, 3, MC.Limits(chars=20_000)).select("doc_id", *[F.get("vector", F.lit(k)).cast("long").alias(c) for k, c in enumerate(("chars", "words", "lines"))], "error")
+_SENT = "regexp_matches(text, '\\S') AND length(text) <= 20000"
+S["VEC6_embedding_calls"] = f"SELECT doc_id, CASE WHEN {_SENT} THEN length(text) END AS chars, CASE WHEN {_SENT} THEN len(regexp_extract_all(text, '\\S+')) END AS words, CASE WHEN {_SENT} THEN length(text) - length(replace(text, chr(10), '')) + 1 END AS lines, CASE WHEN NOT coalesce(regexp_matches(text, '\\S'), false) THEN 'empty input' WHEN length(text) > 20000 THEN 'input of more than 20000 characters' END AS error FROM documents"
 Q["RET9_rerank_score"] = lambda s, d: table(s, d, "labels").select("doc_id", F.round(V.yes_probability((F.col("doc_id") % 13) / 4, (F.col("doc_id") % 7) / 2), 9).alias("score"))
 S["RET9_rerank_score"] = "SELECT doc_id, round(exp(doc_id % 7 / 2) / (exp(doc_id % 7 / 2) + exp(doc_id % 13 / 4)), 9) AS score FROM labels"
 Q["TOP5_rank_by_score"] = lambda s, d: R.top(table(s, d, "orders").select(F.col("o_custkey").alias("query_id"), F.col("o_orderkey").alias("id"), F.col("o_totalprice").alias("score")), 3)

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from folioflow.plans import bindings as B
 from folioflow.plans import retrieval_queries as R
 from folioflow.session import shared_dir
+from folioflow.sources import bundles as BU
 from folioflow.sources import files as X
 from folioflow.sources.tables import table
 from folioflow.streaming import sessions as T
@@ -283,5 +284,50 @@ def _log(s, d):
     return s.read.parquet(out).groupBy("run_id").agg(count_all().alias("rows"), F.max("final_rank").alias("deepest"))
 
 
+def _project(s, d, where):
+    """Documents and versions of the projects: each document a file, with a version for every third of them, and its text."""
+    t = table(s, d, "documents").where(where).select("doc_id", F.col("source").alias("project"), F.concat(F.lit("docs/d"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.col("lang").alias("doc_type"), "text")
+    docs = t.select("doc_id", "project", "path", F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), "doc_type", F.lit("active").alias("status"), F.sha2("text", 256).alias("hash"), F.col("text").cast("binary").alias("content"))
+    versions = docs.where("doc_id % 3 = 0").select("project", "path", F.lit("main").alias("branch"), F.lit(1).alias("version_number"), "hash", F.col("doc_id").alias("created_at"))
+    return docs, versions
+
+
+def _round_trip(strategy):
+    """Documents with even ids are exported; others, and every sixth in another wording, are what they are taken into."""
+
+    def run(s, d):
+        out = shared_dir(s)
+        docs, versions = _project(s, d, "doc_id % 2 = 0")
+        there, known = _project(s, d, "doc_id % 2 = 1 or doc_id % 6 = 0")
+        there = there.withColumn("content", F.when(F.col("doc_id") % 6 == 0, F.encode(F.concat(F.lit("old "), F.col("content").cast("string")), "UTF-8")).otherwise(F.col("content"))).withColumn("hash", F.sha2("content", 256))
+        here, store = BU.BlobStore(s, f"{out}/here"), BU.BlobStore(s, f"{out}/there")
+        here.put(docs)
+        store.put(there)
+        BU.export(docs, versions, here, f"{out}/bundle")
+        got = BU.take_in(f"{out}/bundle", store, there, known, strategy)
+        held = got.documents.join(store.blobs(), "hash").select("project", "path", F.md5("content").alias("content"), F.col("title"))
+        counts = got.versions.groupBy("project", "path").agg(count_all().alias("versions"), F.max("created_at").alias("created_at"))
+        return held.join(counts, ["project", "path"])
+
+    return run
+
+
+_SOURCED = "SELECT doc_id, source AS project, 'docs/d' || doc_id || '.md' AS path, text, 'Doc ' || doc_id AS title, CASE WHEN doc_id % 3 = 0 THEN doc_id END AS created_at FROM documents"
+for _strategy, _old in (("merge", "false"), ("skip", "doc_id % 6 = 0")):
+    add(f"SNK3_round_trip_{_strategy}", _round_trip(_strategy), f"SELECT project, path, md5(CASE WHEN {_old} THEN 'old ' || text ELSE text END) AS content, title, 1::BIGINT AS versions, created_at FROM ({_SOURCED}) WHERE text IS NOT NULL AND project IS NOT NULL")
+add("SNK3_round_trip_replace", _round_trip("replace"), f"SELECT project, path, md5(text) AS content, title, 1::BIGINT AS versions, created_at FROM ({_SOURCED}) WHERE text IS NOT NULL AND (doc_id % 2 = 0 OR project NOT IN (SELECT source FROM documents WHERE doc_id % 2 = 0)) AND project IS NOT NULL")
+add("SNK1_blob_store", lambda s, d: _stored_blobs(s, d), "SELECT sha256(text) AS hash, any_value(strlen(text))::BIGINT AS size, md5(any_value(text)) AS content FROM documents WHERE text IS NOT NULL GROUP BY 1")
+
+
+def _stored_blobs(s, d):
+    """All texts put into a blob store, half of them twice."""
+    store = BU.BlobStore(s, shared_dir(s))
+    files = table(s, d, "documents").select("doc_id", F.col("text").cast("binary").alias("content"))
+    store.put(files.where("doc_id % 2 = 0"))
+    store.put(files)
+    return store.blobs().select("hash", "size", F.md5("content").alias("content"))
+
+
+
 add("SNK4_search_log", _log, f"WITH {R.ALL}, {R.HY} SELECT 'r1' AS run_id, count(*) AS rows, CAST(max(final_rank) AS INTEGER) AS deepest FROM hy")
 add("SNK5_json_rows", lambda s, d: table(s, d, "nation").select(F.to_json(F.struct("n_nationkey", "n_name")).alias("line")), "SELECT '{\"n_nationkey\":' || n_nationkey || ',\"n_name\":\"' || n_name || '\"}' AS line FROM nation")
