@@ -171,6 +171,45 @@ CONTEXT = "WITH RECURSIVE s AS (SELECT source AS g, doc_id, coalesce(substring(r
 add("CTX1_project_context", _context, CONTEXT + f", {FOLD}, d AS (SELECT source AS g, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS k, 6::BIGINT AS size FROM documents WHERE doc_id % 9 = 0 QUALIFY k <= 12), left_of AS (SELECT g, min(rest) AS rest FROM f GROUP BY g) SELECT f.g AS project, count(*) FILTER (WHERE taken) AS documents, CAST(coalesce(any_value(least(n, rest_ // 6)), 0) AS BIGINT) AS decisions, any_value(rest_ - 6 * least(coalesce(n, 0), rest_ // 6))::BIGINT AS left_over FROM f JOIN (SELECT g, rest AS rest_ FROM left_of) USING (g) LEFT JOIN (SELECT g, count(*) AS n FROM d GROUP BY g) USING (g) GROUP BY f.g")
 
 
+def _detailed(detail, budget, limit, since):
+    """Documents of every project, newest first, and three kinds of records, in one budget."""
+
+    def run(s, d):
+        t = table(s, d, "documents").where("source is not null")
+        docs = t.select(F.col("source").alias("project"), F.col("doc_id").alias("id"), F.concat(F.lit("Doc "), F.col("doc_id").cast("string")).alias("title"), F.col("lang").alias("doc_type"), "text", (F.col("doc_id") * 37 % 1000).alias("modified"))
+        kind = F.element_at(F.array(F.lit("decisions"), F.lit("requirements"), F.lit("open_questions")), (F.col("doc_id") % 3 + 1).cast("int"))
+        records = t.where("doc_id % 4 = 0").select(F.col("source").alias("project"), kind.alias("section"), F.col("doc_id").alias("id"), F.concat(F.lit("Use it for all "), F.col("lang"), F.repeat(F.lit(" more"), (F.col("doc_id") % 5).cast("int"))).alias("text"))
+        projects = t.select(F.col("source").alias("project")).distinct().withColumn("info", F.concat(F.lit("The project "), "project"))
+        got = C.context(projects, docs, records, detail, budget, since, limit)
+        return got.select("project", "section", "id", "tokens", "left_over", F.md5(F.coalesce("summary", F.lit(""))).alias("summary"), F.size(F.split(F.trim(F.regexp_replace(F.coalesce("content", F.lit("")), r"\s+", " ")), " ")).cast("long").alias("words"))
+
+    return run
+
+
+def _detailed_sql(detail, budget, limit, since):
+    n = "len(regexp_extract_all({}, '\\S+'))"
+    strip = "regexp_replace({}, '^\\s+|\\s+$', '', 'g')"
+    summary = "coalesce(substring(list_filter(list_transform(string_split(" + strip.format("text") + ", chr(10) || chr(10)), lambda p: " + strip.format("p") + "), lambda p: p <> '' AND NOT starts_with(p, '#'))[1], 1, 500), '')"
+    base = "4::BIGINT" if detail == "brief" else f"4 + {n.format('summary')}"
+    body = n.format("text") if detail == "full" else "0::BIGINT"
+    cut = "CASE WHEN base + body > left_ AND sec = 0 AND left_ > 100 THEN least(body, greatest(left_ - 50, 0)) ELSE body END" if detail == "full" else "body"
+    return f"""WITH RECURSIVE docs AS (SELECT source AS g, doc_id, coalesce(text, '') AS text, doc_id * 37 % 1000 AS modified, {summary if detail != "brief" else "''"} AS summary FROM documents WHERE source IS NOT NULL),
+raw AS (SELECT g, 0 AS sec, -modified AS at_, doc_id, {base} AS base, {body} AS body, summary FROM docs WHERE modified >= {since}
+  UNION ALL SELECT source, 1 + doc_id % 3, 0, doc_id, 5 + doc_id % 5, 0, '' FROM documents WHERE doc_id % 4 = 0 AND source IS NOT NULL),
+items AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY sec, at_, doc_id) AS k FROM raw),
+f AS (SELECT g, 0::BIGINT AS k, -1 AS sec, ({budget} - 3)::BIGINT AS rest, 0 AS n, false AS stop, false AS taken, 0::BIGINT AS kept FROM (SELECT DISTINCT g FROM items)
+  UNION ALL SELECT g, k, sec, CASE WHEN take THEN left_ - base - kept ELSE left_ END, n0 + CASE WHEN live AND (sec > 0 OR take) THEN 1 ELSE 0 END, stop0 OR take AND left_ - base - kept <= 0, take, kept FROM (
+    SELECT *, live AND base + kept <= left_ AS take FROM (
+      SELECT *, NOT stop0 AND n0 < {limit} AS live, {cut} AS kept FROM (
+        SELECT i.g, i.k, i.sec, i.base, i.body, f.rest AS left_, CASE WHEN i.sec = f.sec THEN f.n ELSE 0 END AS n0, i.sec = f.sec AND f.stop AS stop0 FROM f JOIN items i ON i.g = f.g AND i.k = f.k + 1))))
+SELECT g AS project, ['documents', 'decisions', 'requirements', 'open_questions'][i.sec + 1] AS section, doc_id::VARCHAR AS id, (base + kept)::BIGINT AS tokens, rest AS left_over, md5(summary) AS summary,
+  greatest(CASE WHEN i.sec = 0 THEN kept ELSE base END, 1)::BIGINT AS words FROM f JOIN items i USING (g, k) WHERE taken"""
+
+
+for _detail, _budget_of, _limit_of, _since_of in (("brief", 60, 9, 0), ("standard", 500, 7, 300), ("full", 900, 8, 0)):
+    add(f"CTX1_{_detail}_context", _detailed(_detail, _budget_of, _limit_of, _since_of), _detailed_sql(_detail, _budget_of, _limit_of, _since_of))
+
+
 def expectations(results, expected):
     """Greedy one-to-one matching by query: results (query_id, rank, path, heading), expected (query_id, n, path, heading, threshold)."""
     import pandas as pd
