@@ -276,7 +276,7 @@ LIMITS = {"most_documents": 4, "most_query": 220, "most_document": 700}
 
 def _guarded(s, d):
     """Conversations as rerank requests: the first turn asks, the others are the documents."""
-    r = table(s, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.slice(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), 2, 10_000).alias("documents"))
+    r = table(s, d, "conversations").groupBy("conv_id").agg(F.min_by("text", "turn").alias("query"), F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]).alias("turns")).withColumn("documents", F.slice("turns", F.lit(2), F.size("turns")))
     query = F.when(F.col("conv_id") % 11 == 0, " \n").otherwise(F.col("query"))
     return r.select("conv_id", V.request_problem(query, F.col("documents"), **LIMITS).alias("problem"))
 

@@ -187,12 +187,16 @@ KINDS = ("md", "sql", "json", "pdf", "tmp", "txt")
 
 
 def _tree(s, d):
-    """Small documents as files of several kinds below projects, some in folders that scans leave out; Markdown has front matter."""
+    """All documents as files of several kinds below projects, written once in a session; some are in folders that scans leave out, Markdown has front matter."""
+    return R._stored(s, d, "tree", lambda: _written_tree(s, d))
+
+
+def _written_tree(s, d):
     out = shared_dir(s)
     kind = F.element_at(F.array(*[F.lit(k) for k in KINDS]), (F.col("doc_id") % len(KINDS) + 1).cast("int"))
     folder = F.when(F.col("doc_id") % 7 == 0, "docs/.git").when(F.col("doc_id") % 11 == 0, "node_modules").otherwise("docs")
     head = F.when(kind == "md", F.concat(F.lit("---\ntitle: Doc "), F.col("doc_id").cast("string"), F.lit("\nstatus: final\n---\n"))).otherwise("")
-    rows = table(s, d, "documents").where("doc_id < 120").select(F.concat_ws("/", "source", folder, F.concat(F.lit("my-doc_"), F.col("doc_id").cast("string"), F.lit("."), kind)).alias("path"), F.concat(head, "text").alias("text"))
+    rows = table(s, d, "documents").select(F.concat_ws("/", "source", folder, F.concat(F.lit("my-doc_"), F.col("doc_id").cast("string"), F.lit("."), kind)).alias("path"), F.concat(head, "text").alias("text"))
 
     def put(batches):
         from pyarrow import fs
@@ -209,7 +213,7 @@ def _tree(s, d):
     return out
 
 
-TREE = "tree AS (SELECT doc_id, source, kind, source || '/docs/my-doc_' || doc_id || '.' || kind AS path, CASE WHEN kind = 'md' THEN '---' || chr(10) || 'title: Doc ' || doc_id || chr(10) || 'status: final' || chr(10) || '---' || chr(10) ELSE '' END || text AS content, text FROM (SELECT *, list_extract(['md', 'sql', 'json', 'pdf', 'tmp', 'txt'], CAST(doc_id % 6 + 1 AS BIGINT)) AS kind FROM documents WHERE doc_id < 120 AND doc_id % 7 <> 0 AND doc_id % 11 <> 0) WHERE kind <> 'tmp')"
+TREE = "tree AS (SELECT doc_id, source, kind, source || '/docs/my-doc_' || doc_id || '.' || kind AS path, CASE WHEN kind = 'md' THEN '---' || chr(10) || 'title: Doc ' || doc_id || chr(10) || 'status: final' || chr(10) || '---' || chr(10) ELSE '' END || text AS content, text FROM (SELECT *, list_extract(['md', 'sql', 'json', 'pdf', 'tmp', 'txt'], CAST(doc_id % 6 + 1 AS BIGINT)) AS kind FROM documents WHERE doc_id % 7 <> 0 AND doc_id % 11 <> 0) WHERE kind <> 'tmp')"
 add("SRC1_directory_scan", lambda s, d: X.scan(s, _tree(s, d)).select("path", "size"), f"WITH {TREE} SELECT path, CAST(strlen(content) AS BIGINT) AS size FROM tree")
 add("SRC3_scanned_state", lambda s, d: X.file_state(X.scan(s, _tree(s, d))).select("path", "size", "hash"), f"WITH {TREE} SELECT path, CAST(strlen(content) AS BIGINT) AS size, 'sha256:' || sha256(content) AS hash FROM tree")
 add("SRC4_document_listing", lambda s, d: X.listing(X.texts(X.scan(s, _tree(s, d)))), f"WITH {TREE} SELECT path, CASE WHEN kind = 'md' THEN 'Doc ' || doc_id ELSE 'My Doc ' || doc_id END AS title, CASE kind WHEN 'sql' THEN 'schema' WHEN 'json' THEN 'config' WHEN 'pdf' THEN 'reference' ELSE 'note' END AS type, CASE WHEN kind = 'md' THEN 'final' ELSE 'draft' END AS status FROM tree")
@@ -247,12 +251,12 @@ add("SRC7_manifests", _manifests, "SELECT n_name AS name, n_regionkey::INTEGER A
 
 def _attachments(s, d):
     out = shared_dir(s)
-    rows = table(s, d, "supplier").where("s_suppkey < 60").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 3).cast("string"), F.when(F.col("s_suppkey") % 5 == 0, "/docs/a").otherwise("/attachments/a"), F.col("s_suppkey").cast("string")).alias("p"), F.concat(F.lit('{"size": 1'), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit(',\n "blob_path": "blobs/'), F.md5("s_name"), F.lit('"'))).otherwise(""), F.lit("}")).alias("t"))
+    rows = table(s, d, "supplier").select(F.concat(F.lit("p"), (F.col("s_suppkey") % 3).cast("string"), F.when(F.col("s_suppkey") % 5 == 0, "/docs/a").otherwise("/attachments/a"), F.col("s_suppkey").cast("string")).alias("p"), F.concat(F.lit('{"size": 1'), F.when(F.col("s_suppkey") % 4 > 0, F.concat(F.lit(',\n "blob_path": "blobs/'), F.md5("s_name"), F.lit('"'))).otherwise(""), F.lit("}")).alias("t"))
     _put(rows, out, "/metadata.yaml")
     return X.attachments(s, out)
 
 
-add("SRC10_attachment_metadata", _attachments, "SELECT 'p' || s_suppkey % 3 || '/attachments/a' || s_suppkey || '/metadata.yaml' AS document, 'blobs/' || md5(s_name) AS blob_path FROM supplier WHERE s_suppkey < 60 AND s_suppkey % 5 <> 0 AND s_suppkey % 4 > 0")
+add("SRC10_attachment_metadata", _attachments, "SELECT 'p' || s_suppkey % 3 || '/attachments/a' || s_suppkey || '/metadata.yaml' AS document, 'blobs/' || md5(s_name) AS blob_path FROM supplier WHERE s_suppkey % 5 <> 0 AND s_suppkey % 4 > 0")
 
 
 def _blobs(s, d):

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -34,12 +36,44 @@ def _counted(column, *keys):
     return lambda s, d: B.notes(s, d).select("doc_id", F.inline(column(F.col("text")))).groupBy(*keys).agg(count_all().alias("n"))
 
 
-add("TXT3_technical_terms", _counted(T.terms, "kind", "raw"))
-add("TXT3_versions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'api_route'").groupBy("doc_id", "raw").agg(count_all().alias("n")), NOTES + "SELECT doc_id, raw, count(*) AS n FROM (SELECT doc_id, " + ALL.format(r"(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/[\p{L}\p{N}_./{}\-:]+)", 1) + ") GROUP BY ALL")
-add("TXT4_normalised_packages", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'package'").select("doc_id", T.normalised_term(F.col("kind"), F.col("raw")).alias("term")).groupBy("term").agg(count_all().alias("n"), F.countDistinct("doc_id").alias("docs")))
-add("TXT5_secrets", lambda s, d: B.notes(s, d).select(F.inline(T.secrets(F.col("text")))).where("kind = 'api_key'").groupBy("raw").agg(count_all().alias("n")), NOTES + "SELECT raw, count(*) AS n FROM (SELECT " + ALL.format("(?i)((?:sk|pk|gh[pousr]|api)[_-][A-Za-z0-9_-]{16,})", 1) + ") GROUP BY raw")
-add("TXT6_personal_data", lambda s, d: B.notes(s, d).select(F.inline(T.personal(F.col("text")))).where("kind = 'email'").groupBy("raw").agg(count_all().alias("n")), NOTES + "SELECT raw, count(*) AS n FROM (SELECT " + ALL.format(r"([A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,})", 1) + ") GROUP BY raw")
-add("TXT7_scan_all", _counted(T.scan_all, "kind", "doc_id"))
+_WORD = r"[\p{L}\p{N}_]"
+_ROUTE = rf"(?:GET|POST|PUT|DELETE|PATCH|HEAD|OPTIONS)\s+(/[\p{{L}}\p{{N}}_./{{}}\-:]+)"
+_STOP = ", ".join(f"'{w}'" for w in sorted(T.ENV_STOPWORDS))
+#: Each kind of term by its own rule; a span that an earlier kind took isn't one of a later kind.
+TERMS = rf"""k AS (SELECT doc_id, 'api_route' AS kind, unnest(regexp_extract_all(text, '{_ROUTE}', 1)) AS raw FROM notes
+UNION ALL SELECT doc_id, 'file_path', unnest(regexp_extract_all(regexp_replace(text, '{_ROUTE}', ' ', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])(\.\.?/[\p{{L}}\p{{N}}_./-]+|/[\p{{L}}\p{{N}}_./-]+(?:\.[\p{{L}}\p{{N}}_.-]+)?)', 1)) FROM notes
+UNION ALL SELECT * FROM (SELECT doc_id, 'env_var', unnest(regexp_extract_all(regexp_replace(text, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?:^|[^\p{{L}}\p{{N}}_])([A-Z][A-Z0-9_]{{2,}})(?:$|[^\p{{L}}\p{{N}}_])', 1)) AS raw FROM notes) WHERE raw NOT IN ({_STOP})
+UNION ALL SELECT doc_id, 'version', unnest(regexp_extract_all(text, '\bv?\d+\.\d+(?:\.\d+)?(?:-[\p{{L}}\p{{N}}_.]+)?\b')) FROM notes
+UNION ALL SELECT * FROM (SELECT doc_id, 'sql_identifier', unnest(regexp_extract_all(text, '(?i)(?:FROM|TABLE|JOIN|INTO|UPDATE|INDEX\s+ON)\s+([A-Za-z_][\p{{L}}\p{{N}}_$]*)', 1)) AS raw FROM notes) WHERE NOT regexp_full_match(raw, '[A-Z][A-Z0-9_]{{2,}}') OR raw IN ({_STOP})
+UNION ALL SELECT doc_id, 'package', unnest(regexp_split_to_array(g, '\s+')) FROM (SELECT doc_id, unnest(regexp_extract_all(text, '(?i)(?:pip\s+install|npm\s+install|yarn\s+add)\s+([\p{{L}}\p{{N}}_\[\].-]+(?:\s+[\p{{L}}\p{{N}}_\[\].-]+)*)', 1)) AS g FROM notes)
+UNION ALL SELECT * FROM (SELECT doc_id, 'port', unnest(list_concat(regexp_extract_all(text, ':(\d{{2,}})', 1), list_transform(regexp_extract_all(text, '(?i)port\s+(\d{{2,}})', 1), lambda x: substr(x, 1, 5)))) AS raw FROM notes) WHERE length(raw) <= 5)"""
+add("TXT3_all_kinds", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).groupBy("doc_id", "kind", "raw").agg(count_all().alias("n")), f"WITH {B.NOTES}, {TERMS} SELECT doc_id, kind, raw, count(*) AS n FROM k GROUP BY ALL")
+add("TXT3_technical_terms", _counted(T.terms, "kind", "raw"), f"WITH {B.NOTES}, {TERMS} SELECT kind, raw, count(*) AS n FROM k GROUP BY ALL")
+add("TXT3_api_routes", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'api_route'").groupBy("doc_id", "raw").agg(count_all().alias("n")), f"WITH {B.NOTES}, {TERMS} SELECT doc_id, raw, count(*) AS n FROM k WHERE kind = 'api_route' GROUP BY ALL")
+add("TXT3_versions", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'version'").groupBy("doc_id", "raw").agg(count_all().alias("n")), f"WITH {B.NOTES}, {TERMS} SELECT doc_id, raw, count(*) AS n FROM k WHERE kind = 'version' GROUP BY ALL")
+add("TXT4_normalised_packages", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.terms(F.col("text")))).where("kind = 'package'").select("doc_id", T.normalised_term(F.col("kind"), F.col("raw")).alias("term")).groupBy("term").agg(count_all().alias("n"), F.countDistinct("doc_id").alias("docs")), f"WITH {B.NOTES}, {TERMS} SELECT lower(split_part(raw, '[', 1)) AS term, count(*) AS n, count(DISTINCT doc_id) AS docs FROM k WHERE kind = 'package' GROUP BY 1")
+#: Secrets and personal data by kind; numbers must not touch further digits.
+FOUND = r"""k AS (SELECT doc_id, 'api_key' AS kind, unnest(regexp_extract_all(text, '(?i)(?:sk|pk|gh[pousr]|api)[_-][A-Za-z0-9_-]{16,}')) AS raw FROM held
+UNION ALL SELECT doc_id, 'bearer_token', unnest(regexp_extract_all(text, 'Bearer\s+[A-Za-z0-9\-._~+/]+=*(?:\.[A-Za-z0-9\-._~+/]+=*){1,2}')) FROM held
+UNION ALL SELECT doc_id, 'password', unnest(regexp_extract_all(text, '(?i)(?:password|passwd|secret|private[_-]?key)\s*[:=]\s*["'']?([^\s"'']{8,})')) FROM held
+UNION ALL SELECT doc_id, 'email', unnest(regexp_extract_all(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}')) FROM held
+UNION ALL SELECT doc_id, 'phone', unnest(regexp_extract_all(text, '(?:^|[^\d])((?:\+1[-.\s]?)?\(?\d{3}\)?[-.\s]?\d{3}[-.\s]?\d{4})(?:$|[^\d])', 1)) FROM held
+UNION ALL SELECT doc_id, 'ssn', unnest(regexp_extract_all(text, '(?:^|[^\d])(\d{3}-\d{2}-\d{4})(?:$|[^\d])', 1)) FROM held)"""
+#: What notes lack of it, with a number of the document's own.
+HELD = "\ncall {n:9}55-01{n:7}-44{n:100}21 or 0{n:9}1-22-33{n:5}5, Bearer ab{n:13}.cd.ef=, Password: hunter2{n:11}x\n"
+_HELD_PARTS = [(p if i % 2 == 0 else int(p)) for i, p in enumerate(re.split(r"\{n:(\d+)\}", HELD))]
+HELD_SQL = "held AS (SELECT doc_id, concat(text, " + ", ".join("'" + p.replace("\n", "' || chr(10) || '") + "'" if isinstance(p, str) else f"doc_id % {p}" for p in _HELD_PARTS) + ") AS text FROM notes)"
+
+
+def _held(s, d):
+    return B.notes(s, d).select("doc_id", F.concat("text", *[F.lit(p) if isinstance(p, str) else (F.col("doc_id") % p).cast("string") for p in _HELD_PARTS]).alias("text"))
+
+
+_by_kind = lambda spans: lambda s, d: _held(s, d).select("doc_id", F.inline(spans(F.col("text")))).groupBy("doc_id", "kind", "raw").agg(count_all().alias("n"))
+_KINDS_SQL = f"WITH {B.NOTES}, {HELD_SQL}, {FOUND} SELECT doc_id, kind, raw, count(*) AS n FROM k WHERE kind IN (KINDS) GROUP BY ALL"
+add("TXT5_secrets", _by_kind(T.secrets), _KINDS_SQL.replace("KINDS", "'api_key', 'bearer_token', 'password'"))
+add("TXT6_personal_data", _by_kind(T.personal), _KINDS_SQL.replace("KINDS", "'email', 'phone', 'ssn'"))
+add("TXT7_scan_all", _by_kind(T.scan_all), _KINDS_SQL.replace("KINDS", "'api_key', 'bearer_token', 'password', 'email', 'phone', 'ssn'"))
 add("TXT8_redact_emails", lambda s, d: B.notes(s, d).select("doc_id", F.md5(F.regexp_replace("text", T.PERSONAL[0][1], "[REDACTED:email]")).alias("h")), NOTES + r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:email]', 'g')) AS h FROM notes")
 add("TXT9_sanitise_policy", lambda s, d: B.notes(s, d).select("doc_id", F.sha2(F.when(F.col("project") == "src1", T.redact(F.col("text"), True)).otherwise(T.redact(F.col("text"), False)), 256).alias("h")))
 add("TXT10_entities", _counted(T.entities, "name", "kind"))
@@ -86,7 +120,7 @@ def _fronted(s, d):
 
 add("TXT29_front_matter", lambda s, d: _fronted(s, d).select("doc_id", T.front_matter(F.col("text")).alias("m"), F.md5(T.without_front_matter(F.col("text"))).alias("body")).select("doc_id", F.col("m")["title"].alias("title"), F.col("m")["status"].alias("status"), "body"), "SELECT doc_id, 'Doc ' || doc_id AS title, 'draft' AS status, md5(text) AS body FROM documents")
 add("TXT30_diff", lambda s, d: B.documents(s, d).select("doc_id", T.unified_diff(F.concat(F.lit("a\nb\n"), "text"), F.concat(F.lit("a\nc\nd\n"), "text")).alias("x")).select("doc_id", F.col("x.added").cast("long").alias("added"), F.col("x.removed").cast("long").alias("removed")), "SELECT doc_id, 2::BIGINT AS added, 1::BIGINT AS removed FROM documents")
-add("AGG20_diff_stats", Q["TXT30_diff"], S["TXT30_diff"])
+add("AGG20_diff_stats", lambda s, d: Q["TXT30_diff"](s, d).join(B.documents(s, d).select("doc_id", "project"), "doc_id").groupBy("project").agg(F.sum("added").alias("added"), F.sum("removed").alias("removed"), count_all().alias("n")), "SELECT source AS project, 2 * count(*) AS added, count(*) AS removed, count(*) AS n FROM documents GROUP BY source")
 add("TXT31_template", lambda s, d: table(s, d, "nation").select(F.format_string("# %s\nregion %d", "n_name", "n_regionkey").alias("body")), "SELECT '# ' || n_name || chr(10) || 'region ' || n_regionkey AS body FROM nation")
 add("TXT32_parsed_answers", lambda s, d: table(s, d, "nation").select("n_nationkey", F.inline(T.parsed_answer(F.concat(F.lit('Here:\n```json\n[{"type":"decision","title":"t'), F.col("n_nationkey").cast("string"), F.lit('","confidence":0.9},{"type":"other","title":"x","confidence":0.9},{"type":"decision","title":"low","confidence":0.2}]\n```')), ("decision", "requirement")))), "SELECT n_nationkey, 'decision' AS type, 't' || n_nationkey AS title, 0.9::DOUBLE AS confidence FROM nation")
 DDL = "CREATE TABLE t{} (id int PRIMARY KEY, price numeric(10, 2), owner int REFERENCES users(id), FOREIGN KEY (price) REFERENCES prices(id));"
