@@ -34,6 +34,20 @@ def entity_list(entities: DataFrame, mentions: DataFrame, edges: DataFrame) -> D
     return entities.join(live, "entity", "left_semi").join(counts, "entity", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
 
 
+def entity_detail(entities: DataFrame, mentions: DataFrame, edges: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Of the wanted entities (entity): themselves with how often they are mentioned, their mentions, and their edges both ways with the other end's name.
+
+    Rows, not lists, so that an entity may have any number of them. entities (entity, kind, name), mentions (entity, ...), edges (source, target, kind).
+    """
+    own = wanted.select("entity").distinct()
+    said = mentions.join(own, "entity", "left_semi")
+    counts = said.groupBy("entity").agg(F.count(F.lit(1)).alias("mentions"))
+    heads = entities.join(own, "entity", "left_semi").join(counts, "entity", "left").withColumn("mentions", F.coalesce("mentions", F.lit(0)))
+    ways = edges.select(F.col("source").alias("entity"), F.col("target").alias("other"), "kind", F.lit("outgoing").alias("direction")).unionByName(edges.select(F.col("target").alias("entity"), F.col("source").alias("other"), "kind", F.lit("incoming").alias("direction")))
+    named = entities.select(F.col("entity").alias("other"), F.col("name").alias("other_name"))
+    return heads, said, ways.join(own, "entity", "left_semi").join(named, "other", "left").select("entity", "direction", "kind", "other", "other_name")
+
+
 def broken_links(links: DataFrame, paths: DataFrame, target: str = "target") -> DataFrame:
     return links.join(paths.select(F.col("path").alias(target)), target, "left_anti")
 

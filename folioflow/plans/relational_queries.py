@@ -10,7 +10,10 @@ from folioflow.operators import dashboard as D
 from folioflow.operators import graph as G
 from folioflow.operators import history as H
 from folioflow.operators import insights as I
+from folioflow.operators import lifecycle as LC
+from folioflow.operators import overlays as O
 from folioflow.plans import bindings as B
+from folioflow.session import shared_dir
 from folioflow.sources.tables import table
 
 Q: dict = {}
@@ -221,3 +224,56 @@ add("UI5_dashboard_counters", lambda s, d: _sessions(s, d).agg(count_all().alias
 add("UI6_folder_tree", lambda s, d: G.folder_tree(table(s, d, "pages").select(F.regexp_replace(F.regexp_replace("url", "^https?://", ""), r"\?.*$", "").alias("path"))), "WITH p AS (SELECT string_split(regexp_replace(regexp_replace(url, '^https?://', ''), '\\?.*$', ''), '/') AS l FROM pages), e AS (SELECT l, unnest(range(1, len(l))) AS i FROM p) SELECT DISTINCT array_to_string(l[1:i], '/') AS folder FROM e")
 add("UI7_distinct_types", lambda s, d: table(s, d, "events").select("event_type").distinct().orderBy("event_type"), "SELECT DISTINCT event_type FROM events")
 add("STR8_heartbeat", lambda s, d: table(s, d, "events").groupBy("user_id").agg(F.max(B.micros("ts")).alias("seen")).withColumn("stale", F.lit(1706659200000000) - F.col("seen") > 60_000_000_000), "SELECT user_id, epoch_us(max(ts)) AS seen, 1706659200000000 - epoch_us(max(ts)) > 60000000000 AS stale FROM events GROUP BY user_id")
+
+
+def _lifecycle(s, d):
+    """Users are sessions: sign-ups and their first events open them, views are preflights, clicks deltas, purchases flushes and errors attempts to end."""
+    e = table(s, d, "events").select(F.col("user_id").alias("session"), B.micros("ts").alias("at"), F.col("event_id").alias("seq"), "event_type")
+    kinds = {"view": "preflight", "click": "delta", "purchase": "flush", "error": "finalize"}
+    kind = F.coalesce(*[F.when(F.col("event_type") == a, b) for a, b in kinds.items()], F.lit("start"))
+    return LC.status(e.select("session", "at", "seq", kind.alias("kind"), F.concat(F.lit("d"), (F.col("seq") % 3).cast("string")).alias("detail")))
+
+
+LIFE = "e AS (SELECT user_id AS session, epoch_us(ts) AS t, event_id AS seq, CASE event_type WHEN 'view' THEN 'preflight' WHEN 'click' THEN 'delta' WHEN 'purchase' THEN 'flush' WHEN 'error' THEN 'finalize' ELSE 'start' END AS kind, 'd' || event_id % 3 AS detail FROM events), f AS (SELECT *, count(*) FILTER (WHERE kind = 'flush') OVER (PARTITION BY session ORDER BY t, seq) AS fl FROM e), g AS (SELECT *, count(*) FILTER (WHERE kind = 'delta') OVER (PARTITION BY session, fl ORDER BY t, seq) AS u FROM f), h AS (SELECT *, coalesce(bool_or(kind = 'finalize' AND u = 0) OVER (PARTITION BY session ORDER BY t, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS over_ FROM g), live AS (SELECT *, max(fl) OVER (PARTITION BY session) AS lastf FROM h WHERE NOT over_)"
+add("STR6_session_lifecycle", lambda s, d: _lifecycle(s, d).select("session", "status", "is_dirty", "unflushed", F.coalesce(F.to_json("dirty_reasons"), F.lit("{}")).alias("reasons"), "last_preflight_at", "last_preflight_action", "last_flush_at", "started_at", "ended_at", "blocked"), f"WITH {LIFE}, r AS (SELECT session, sum(n)::BIGINT AS unflushed, '{{' || string_agg('\"' || detail || '\":' || n, ',' ORDER BY detail) || '}}' AS reasons FROM (SELECT session, detail, count(*) AS n FROM live WHERE kind = 'delta' AND fl = lastf GROUP BY ALL) GROUP BY session) SELECT l.session, CASE WHEN bool_or(kind = 'finalize' AND u = 0) THEN 'finalized' ELSE 'active' END AS status, coalesce(any_value(r.unflushed), 0) > 0 AS is_dirty, coalesce(any_value(r.unflushed), 0)::BIGINT AS unflushed, coalesce(any_value(reasons), '{{}}') AS reasons, max(t) FILTER (WHERE kind = 'preflight') AS last_preflight_at, arg_max(detail, (t, seq)) FILTER (WHERE kind = 'preflight') AS last_preflight_action, max(t) FILTER (WHERE kind = 'flush') AS last_flush_at, min(t) FILTER (WHERE kind = 'start') AS started_at, min(t) FILTER (WHERE kind = 'finalize' AND u = 0) AS ended_at, count(*) FILTER (WHERE kind = 'finalize' AND u > 0) AS blocked FROM live l LEFT JOIN r ON r.session = l.session GROUP BY l.session HAVING started_at IS NOT NULL")
+
+
+def _collected(s, d):
+    """A collection for each source and language, of its documents, some of them added twice and some removed again; one collection is deleted."""
+    docs = table(s, d, "documents").where("source is not null and lang is not null").select(F.col("doc_id").alias("document"), F.col("source").alias("project"), "lang")
+    named = docs.withColumn("collection", F.concat("project", F.lit("/"), "lang")).withColumn("added_at", F.col("document"))
+    own = O.Collections(s, shared_dir(s)).create()
+    own.put(named.groupBy("collection", "project").agg(F.first("lang").alias("name"), F.min("document").alias("created_at")))
+    own.add(named, docs)
+    own.add(named.where("document % 2 = 0").withColumn("added_at", F.col("document") + 1), docs)
+    own.add(named.where("document % 3 = 0").withColumn("collection", F.lit("src0/en")), docs)
+    own.remove(named.where("document % 5 = 1"))
+    own.delete(named.where("collection like '%/fr'").select("collection"))
+    return own.listed().select("collection", "name", "members")
+
+
+add("J12_kept_collections", _collected, "WITH d AS (SELECT doc_id, source, lang, source || '/' || lang AS c FROM documents WHERE source IS NOT NULL AND lang IS NOT NULL), h AS (SELECT c, any_value(lang) AS name, any_value(source) AS source FROM d GROUP BY c), m AS (SELECT c, doc_id FROM d UNION SELECT 'src0/en', doc_id FROM d WHERE doc_id % 3 = 0 AND source = 'src0' AND 'src0/en' IN (SELECT c FROM h)), k AS (SELECT m.* FROM m LEFT JOIN d USING (c, doc_id) WHERE d.doc_id IS NULL OR m.doc_id % 5 <> 1) SELECT h.c AS collection, name, count(k.doc_id) AS members FROM h LEFT JOIN k ON k.c = h.c WHERE h.c NOT LIKE '%/fr' GROUP BY h.c, name")
+
+
+def _cited(s, d):
+    """Each document cited by the lines that its number gives; some of projects or versions that aren't there."""
+    t = table(s, d, "documents").where("source is not null")
+    texts = t.select(F.col("source").alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.lit(1).alias("version"), "text")
+    refs = t.select(F.col("doc_id").alias("ref_id"), F.when(F.col("doc_id") % 10 == 7, "gone").otherwise(F.col("source")).alias("project"), F.concat(F.lit("d"), F.col("doc_id").cast("string")).alias("path"), F.when(F.col("doc_id") % 10 == 8, 2).otherwise(1).alias("version"), F.when(F.col("doc_id") % 3 > 0, F.col("doc_id") % 3).cast("int").alias("first"), (F.col("doc_id") % 4).cast("int").alias("last"))
+    return O.resolved(refs, texts).select("ref_id", F.md5("content").alias("content"), "error")
+
+
+add("PRJ6_citations_resolved", _cited, "WITH r AS (SELECT doc_id AS ref_id, source, text, string_split(text, chr(10)) AS l, CASE WHEN doc_id % 3 > 0 THEN doc_id % 3 ELSE 1 END AS a, doc_id % 4 AS z FROM documents WHERE source IS NOT NULL), e AS (SELECT *, least(z, len(l)) AS b, CASE WHEN ref_id % 10 = 7 THEN 'project gone not found' WHEN ref_id % 10 = 8 OR text IS NULL THEN 'source not found' WHEN least(z, len(l)) < a THEN 'no such lines' END AS error FROM r) SELECT ref_id, CASE WHEN error IS NULL THEN md5('[' || source || ']' || chr(10) || array_to_string(l[a:b], chr(10)) || chr(10) || '[end]') END AS content, error FROM e")
+
+
+def _entity_details(s, d):
+    """Suppliers as entities, mentioned by line items and joined by shared nations; the wanted are those of three nations."""
+    ents = table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.lit("supplier").alias("kind"), F.col("s_name").alias("name"))
+    said = table(s, d, "lineitem").select(F.col("l_suppkey").alias("entity"), "l_orderkey")
+    edges = table(s, d, "supplier").where("s_suppkey > 1").select(F.col("s_suppkey").alias("source"), F.floor(F.col("s_suppkey") / 2).cast("long").alias("target"), F.lit("above").alias("kind"))
+    heads, _, ways = G.entity_detail(ents, said, edges, table(s, d, "supplier").where("s_nationkey < 3").select(F.col("s_suppkey").alias("entity")))
+    n = ways.groupBy("entity").agg(F.count_if(F.col("direction") == "outgoing").alias("out"), F.count_if(F.col("direction") == "incoming").alias("in"), F.max("other_name").alias("last"))
+    return heads.join(n, "entity", "left").select("entity", "name", "mentions", F.coalesce("out", F.lit(0).cast("long")).alias("n_out"), F.coalesce("in", F.lit(0).cast("long")).alias("n_in"), "last")
+
+
+add("GRF1_entity_details", _entity_details, "WITH w AS (SELECT s_suppkey AS e, s_name AS name FROM supplier WHERE s_nationkey < 3), m AS (SELECT l_suppkey AS e, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier WHERE s_suppkey > 1), x AS (SELECT a AS e, b AS o, 1 AS k FROM g UNION ALL SELECT b, a, 0 FROM g), y AS (SELECT e, count(*) FILTER (WHERE k = 1) AS n_out, count(*) FILTER (WHERE k = 0) AS n_in, max(s_name) AS last FROM x LEFT JOIN supplier ON s_suppkey = o GROUP BY e) SELECT w.e AS entity, name, coalesce(n, 0) AS mentions, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, last FROM w LEFT JOIN m USING (e) LEFT JOIN y USING (e)")
