@@ -137,4 +137,70 @@ ranked AS (SELECT s.*, row_number() OVER (PARTITION BY s.lang ORDER BY score DES
 SELECT lang, rank::BIGINT AS rank, g AS phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
 """
 
-SQL: dict[str, str] = {"op11_collocations": OP11, "op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op3_mix_sources": OP3, "op5_neighbours": OP5, "op6_chat_format": OP6, "op7_phrase_dedup": OP7, "op10_minhash": OP10}
+def _mod(x: str) -> str:
+    return f"(({x}) % 18446744073709551616::UHUGEINT)"
+
+
+def _rotl(x: str, r: int) -> str:
+    """x is a column; both ends of it as numbers of 128 bits."""
+    return f"({_mod(f'{x} * {1 << r}')} + {x} // {1 << (64 - r)})"
+
+
+def _lane(h: str, at: str, size: int) -> str:
+    """The little-endian number of so many bytes of a hexadecimal text."""
+    return "('0x' || " + " || ".join(f"substr({h}, (2 * ({at}) + {2 * k + 1})::BIGINT, 2)" for k in reversed(range(size))) + ")::UBIGINT::UHUGEINT"
+
+
+_SEED = 42
+_PRIMES = (11400714785074694791, 14029467366897019727, 1609587929392839161, 9650029242287828579, 2870177450012600261)  # fixed values of XXH64
+_P1, _P2, _P3, _P4, _P5 = (f"{p}::UHUGEINT" for p in _PRIMES)
+_V = [(_SEED + sum(x)) % (1 << 64) for x in ((_PRIMES[0], _PRIMES[1]), (_PRIMES[1],), (), (-_PRIMES[0],))]
+OP12 = f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_words(_LOW.format("text"), _SOLID)} AS w FROM documents),
+s AS (SELECT doc_id, x, count(*) AS c FROM (SELECT doc_id, array_to_string(w[i:i + 2], ' ') AS x FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM d WHERE len(w) > 0)) GROUP BY doc_id, x),
+own AS (SELECT x, hex(encode(x)) AS h, strlen(x)::BIGINT AS n FROM (SELECT DISTINCT x FROM s)),
+st AS (SELECT x, h, n, 0::BIGINT AS p, {", ".join(f"{v}::UHUGEINT AS v{k}" for k, v in enumerate(_V))} FROM own WHERE n >= 32
+  UNION ALL SELECT x, h, n, p + 32, {", ".join(_mod(f"{_rotl(f'a{k}', 31)} * {_P1}") for k in range(4))}
+  FROM (SELECT *, {", ".join(_mod(f"v{k} + {_lane('h', f'p + {8 * k}', 8)} * {_P2}") + f" AS a{k}" for k in range(4))} FROM st WHERE p + 32 <= n)),
+m0 AS (SELECT x, h, n, p, {_mod(" + ".join(_rotl(f"v{k}", r) for k, r in enumerate((1, 7, 12, 18))))} AS acc, {", ".join(_mod(f"v{k} * {_P2}") + f" AS b{k}" for k in range(4))} FROM st WHERE p + 32 > n),
+m1 AS (SELECT *, {", ".join(_mod(f"{_rotl(f'b{k}', 31)} * {_P1}") + f" AS c{k}" for k in range(4))} FROM m0),
+{"".join(f"n{k} AS (SELECT * EXCLUDE (acc), {_mod(f'xor(acc, c{k}) * {_P1} + {_P4}')} AS acc FROM {'m1' if k == 0 else f'n{k - 1}'})," + chr(10) for k in range(4))}
+tl AS (SELECT x, h, n, p, {_mod("acc + n::UHUGEINT")} AS acc FROM (SELECT x, h, n, p, acc FROM n3 UNION ALL SELECT x, h, n, 0, {_mod(f"{_SEED}::UHUGEINT + {_P5}")} FROM own WHERE n < 32)
+  UNION ALL SELECT x, h, n, p + w, CASE w WHEN 8 THEN {_mod(f"{_rotl('y', 27)} * {_P1} + {_P4}")} WHEN 4 THEN {_mod(f"{_rotl('y', 23)} * {_P2} + {_P3}")} ELSE {_mod(f"{_rotl('y', 11)} * {_P1}")} END
+  FROM (SELECT *, xor(acc, CASE w WHEN 8 THEN {_mod(f"{_rotl('k', 31)} * {_P1}")} ELSE k END) AS y FROM (
+    SELECT *, CASE w WHEN 8 THEN {_mod(f"{_lane('h', 'p', 8)} * {_P2}")} WHEN 4 THEN {_mod(f"{_lane('h', 'p', 4)} * {_P1}")} ELSE {_mod(f"{_lane('h', 'p', 1)} * {_P5}")} END AS k FROM (
+      SELECT *, CASE WHEN p + 8 <= n THEN 8 WHEN p + 4 <= n THEN 4 ELSE 1 END AS w FROM tl WHERE p < n)))),
+e1 AS (SELECT x, {_mod(f"xor(acc, acc // {1 << 33}) * {_P2}")} AS acc FROM tl WHERE p = n),
+e2 AS (SELECT x, {_mod(f"xor(acc, acc // {1 << 29}) * {_P3}")} AS acc FROM e1),
+hashed AS (SELECT x, xor(acc, acc // {1 << 32})::UBIGINT AS v FROM e2),
+bits AS (SELECT doc_id, {" + ".join(f"CASE WHEN 2 * sum(CASE WHEN (v >> {b}) & 1 = 1 THEN c ELSE 0 END) > sum(c) THEN {1 << b}::UHUGEINT ELSE 0 END" for b in range(64))} AS fp FROM s JOIN hashed USING (x) GROUP BY doc_id),
+prints AS (SELECT doc_id, coalesce(fp, 0)::UBIGINT AS fp FROM d LEFT JOIN bits USING (doc_id)),
+f AS (SELECT fp, min(doc_id) AS least FROM prints GROUP BY fp),
+arcs AS (SELECT a.fp AS a, b.fp AS b FROM f AS a JOIN f AS b ON a.fp <> b.fp AND bit_count(xor(a.fp, b.fp)) <= 3),
+reach AS (SELECT fp AS x, fp AS y FROM f UNION SELECT reach.x, arcs.b FROM reach JOIN arcs ON reach.y = arcs.a),
+c AS (SELECT reach.x AS fp, min(f.least) AS component_id FROM reach JOIN f ON f.fp = reach.y GROUP BY reach.x)
+SELECT doc_id, lower(lpad(hex(fp), 16, '0')) AS fingerprint, component_id FROM prints JOIN c USING (fp)
+"""
+
+OP13 = f"""
+WITH RECURSIVE tab0 AS (SELECT i, 0 AS k, i AS v FROM range(256) AS r(i) UNION ALL SELECT i, k + 1, CASE WHEN v & 1 = 1 THEN xor(v >> 1, 3988292384) ELSE v >> 1 END FROM tab0 WHERE k < 8),
+tab AS (SELECT list(v ORDER BY i) AS t FROM tab0 WHERE k = 8),
+runs AS (SELECT doc_id, run, count(*) AS n FROM (SELECT doc_id, unnest({_words(_LOW.format("text"), r"[a-z\x{C0}-\x{FF}]+")}) AS run FROM documents) GROUP BY doc_id, run),
+hx AS (SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS h FROM runs),
+crc AS (SELECT run, n, xor(list_reduce(list_prepend(4294967295, list_transform(range(0, length(h) // 2), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT)), lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1])), 4294967295) AS c FROM hx, tab),
+words AS (SELECT w, sum(n)::BIGINT AS n FROM (SELECT CASE WHEN c % 97 = 0 THEN substr(run, 1, c % length(run)) || substr(run, c % length(run) + 2) ELSE run END AS w, n FROM crc) WHERE length(w) >= 5 GROUP BY w HAVING sum(n) >= 3),
+keys AS (SELECT w, n, i, substr(w, 1, i - 1) AS a, substr(w, i + 1) AS b FROM (SELECT w, n, unnest(range(1, length(w) + 1)) AS i FROM words)),
+less AS (SELECT DISTINCT w AS long_, n, a || b AS short_ FROM keys),
+near AS (
+  SELECT x.w, y.w AS o, y.n FROM keys AS x JOIN keys AS y ON x.i = y.i AND x.a = y.a AND x.b = y.b AND x.w <> y.w
+  UNION ALL SELECT long_, words.w, words.n FROM less JOIN words ON words.w = short_
+  UNION ALL SELECT words.w, long_, less.n FROM less JOIN words ON words.w = short_),
+best AS (SELECT w, count(*) AS k, arg_min(o, (-n, o)) AS o, max(n) AS m FROM near GROUP BY w),
+forms AS (SELECT words.w, words.n, coalesce(k, 0)::BIGINT AS k, CASE WHEN m >= 2 * n THEN o END AS form, CASE WHEN m >= 2 * n THEN m END AS m FROM words LEFT JOIN best USING (w)),
+way AS (SELECT w, w AS z FROM forms UNION ALL SELECT way.w, form FROM way JOIN forms ON forms.w = way.z WHERE form IS NOT NULL),
+ends AS (SELECT way.w, way.z FROM way JOIN forms ON forms.w = way.z WHERE form IS NULL)
+SELECT w AS word, form, z AS root, n, k AS n_near, m AS form_n FROM forms JOIN ends USING (w)
+"""
+
+
+SQL: dict[str, str] = {"op12_simhash": OP12, "op13_spelling": OP13, "op11_collocations": OP11, "op1_decontaminate": OP1, "op2_suffix_dedup": OP2, "op3_mix_sources": OP3, "op5_neighbours": OP5, "op6_chat_format": OP6, "op7_phrase_dedup": OP7, "op10_minhash": OP10}
