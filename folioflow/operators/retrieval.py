@@ -100,7 +100,9 @@ def containing(docs: DataFrame, items: DataFrame, words: int = 5) -> DataFrame:
     keyed = named.where("long").select("query_id", "t", gram(F.col("w"), F.lit(2)).alias("g"))
     own = docs.select("id", split(F.col("text")).alias("w")).where(F.size("w") >= words)
     grams = own.select("id", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.size("w") - words + 1), lambda i: gram(F.col("w"), i)))).alias("g"))
-    near = grams.join(keyed, "g").select("id", "query_id", "t")
+    # an item has one gram, so items are dealt by it; few enough of them go to the texts, and no gram that none asks for is shuffled
+    few = keyed.limit(QUERY_ROWS + 1).count() <= QUERY_ROWS
+    near = grams.join(F.broadcast(keyed) if few else keyed, "g").select("id", "query_id", "t")
     found = near.join(docs.select("id", "text"), "id").where(F.expr("instr(text, t) > 0")).select("query_id", "id")
     short = named.where("not long").select("query_id", "t")
     return found.unionByName(in_blocks(short, lambda q: docs.join(F.broadcast(q), F.expr("instr(text, t) > 0")).select("query_id", "id"))).distinct()

@@ -132,6 +132,63 @@ API = "openapi: 3.0.0\npaths:\n  /u/{n}:\n    get:\n      responses:\n        '2
 add("TXT36_openapi_yaml", lambda s, d: table(s, d, "nation").select("n_nationkey", T.schema_nodes(F.replace(F.lit(API), F.lit("{n}"), F.col("n_nationkey").cast("string")), "openapi").alias("x")).select("n_nationkey", F.inline("x.nodes")), "SELECT n_nationkey, e.name || CASE WHEN e.kind = 'endpoint' THEN n_nationkey::VARCHAR ELSE '' END AS name, e.kind FROM nation, (SELECT 'GET /u/' AS name, 'endpoint' AS kind UNION ALL SELECT 'POST /u/', 'endpoint' UNION ALL SELECT 'User', 'schema') e")
 
 
+#: Schemas told from suppliers: {k} is the supplier, {n} its nation, {a} to {c} remainders of its number. After each what it holds: nodes with their
+#: kinds, and edges with their targets and kinds.
+SCHEMAS = {
+    "TXT33_sql_tables": ("sql", 'CREATE TABLE IF NOT EXISTS "s{k}" (id int PRIMARY KEY, amount numeric(10, {a}), nation int REFERENCES n{n}(id), CONSTRAINT c FOREIGN KEY (amount) REFERENCES p{b}(id), UNIQUE (id, nation));\nCREATE TABLE n{n} (id int, label text DEFAULT \'a, b\');\nALTER TABLE ONLY s{k} ADD CONSTRAINT z FOREIGN KEY (id) REFERENCES z{c}(id);',
+        [("s{k}", "table"), ("s{k}.id", "column"), ("s{k}.amount", "column"), ("s{k}.nation", "column"), ("n{n}", "table"), ("n{n}.id", "column"), ("n{n}.label", "column")],
+        [("s{k}.nation", "n{n}", "foreign_key"), ("s{k}.amount", "p{b}", "foreign_key"), ("s{k}.id", "z{c}", "foreign_key")]),
+    "TXT34_prisma_models": ("prisma", "model S{k} {\n  id Int @id\n  nation N{n}?\n  items P{a}[]\n}\nmodel N{n} {\n  id Int @id\n  all S{k}[]\n}\n",
+        [("S{k}", "model"), ("S{k}.id", "field"), ("S{k}.nation", "field"), ("S{k}.items", "field"), ("N{n}", "model"), ("N{n}.id", "field"), ("N{n}.all", "field")],
+        [("S{k}.nation", "N{n}", "relation"), ("N{n}.all", "S{k}", "relation")]),
+    "TXT35_drizzle_tables": ("drizzle", "export const s{k} = pgTable('sup_{k}', {\n  id: serial('id'),\n  nation: integer('n{a}').references(() => n{n}.id),\n  other: integer('o').references(() => x{b}.id),\n});\nexport const n{n} = pgTable('nat_{n}', {\n  id: serial('id'),\n});",
+        [("sup_{k}", "table"), ("sup_{k}.id", "column"), ("sup_{k}.nation", "column"), ("sup_{k}.other", "column"), ("nat_{n}", "table"), ("nat_{n}.id", "column")],
+        [("sup_{k}.nation", "nat_{n}", "foreign_key"), ("sup_{k}.other", "x{b}", "foreign_key")]),
+    "TXT36_openapi_paths": ("openapi", '{"paths": {"/s/{k}": {"get": {"responses": {"200": {"schema": {"$ref": "#/components/schemas/S{n}"}}}}, "parameters": []}, "/n/{n}": {"delete": {"body": [{"$ref": "#/components/schemas/A{a}"}, {"$ref": "#/components/schemas/B{b}"}]}}}, "components": {"schemas": {"S{n}": {}, "A{a}": {"type": "object"}}}}',
+        [("GET /s/{k}", "endpoint"), ("DELETE /n/{n}", "endpoint"), ("S{n}", "schema"), ("A{a}", "schema")],
+        [("GET /s/{k}", "S{n}", "uses"), ("DELETE /n/{n}", "A{a}", "uses"), ("DELETE /n/{n}", "B{b}", "uses")]),
+}
+_SLOTS = {"{k}": "s_suppkey", "{n}": "s_nationkey", "{a}": "s_suppkey % 5", "{b}": "s_suppkey % 4", "{c}": "s_suppkey % 3"}
+
+
+def _told_schema(kind, text):
+    def run(s, d):
+        filled = F.lit(text)
+        for slot, value in _SLOTS.items():
+            filled = F.replace(filled, F.lit(slot), F.expr(value).cast("string"))
+        x = table(s, d, "supplier").select("s_suppkey", T.schema_nodes(filled, kind).alias("x"))
+        nodes = x.select("s_suppkey", F.inline("x.nodes")).select("s_suppkey", "name", F.lit(None).cast("string").alias("target"), "kind")
+        return nodes.unionByName(x.select("s_suppkey", F.inline("x.edges")).select("s_suppkey", F.col("source").alias("name"), "target", "kind"))
+
+    return run
+
+
+def _schema_sql(nodes, edges):
+    def said(text):
+        for slot, value in _SLOTS.items():
+            text = text.replace(slot, f"' || {value} || '")
+        return f"'{text}'"
+
+    rows = [(said(a), "NULL::VARCHAR", k) for a, k in nodes] + [(said(a), said(b), k) for a, b, k in edges]
+    return " UNION ALL ".join(f"SELECT s_suppkey, {a} AS name, {b} AS target, '{k}' AS kind FROM supplier" for a, b, k in rows)
+
+
+for _name, (_kind, _text, _nodes, _edges) in SCHEMAS.items():
+    add(_name, _told_schema(_kind, _text), _schema_sql(_nodes, _edges))
+
+
+def _answered(s, d):
+    """Answers told from orders: fenced JSON, bare JSON, unknown types, low confidences, and no JSON at all."""
+    k = F.col("o_orderkey")
+    row = F.format_string('{"type":"%s","title":"t%d","confidence":0.%d}', F.element_at(F.array(F.lit("decision"), F.lit("requirement"), F.lit("other")), (k % 3 + 1).cast("int")), k, k % 9 + 1)
+    listed = F.concat(F.lit("["), row, F.lit(',{"type":"decision","title":"second","confidence":0.75}]'))
+    text = F.when(k % 4 == 0, F.concat(F.lit("Here:\n```json\n"), listed, F.lit("\n```\nDone."))).when(k % 4 == 1, listed).when(k % 4 == 2, F.concat(F.lit("```\n"), listed, F.lit("```"))).otherwise(F.lit("I found nothing"))
+    return table(s, d, "orders").select("o_orderkey", F.inline(T.parsed_answer(text, ("decision", "requirement"))))
+
+
+add("TXT32_answers_of_orders", _answered, "SELECT o_orderkey, CASE o_orderkey % 3 WHEN 0 THEN 'decision' ELSE 'requirement' END AS type, 't' || o_orderkey AS title, ((o_orderkey % 9 + 1) / 10)::DOUBLE AS confidence FROM orders WHERE o_orderkey % 4 < 3 AND o_orderkey % 3 < 2 AND o_orderkey % 9 + 1 >= 5 UNION ALL SELECT o_orderkey, 'decision', 'second', 0.75 FROM orders WHERE o_orderkey % 4 < 3")
+
+
 def _resolved(s, d):
     nodes = table(s, d, "nation").select(F.concat(F.lit("n"), (F.col("n_nationkey") % 10).cast("string")).alias("name"), F.when(F.col("n_nationkey") < 12, "table").when(F.col("n_nationkey") < 18, "schema").otherwise("column").alias("kind"))
     return T.resolve(table(s, d, "supplier").select("s_suppkey", F.concat(F.lit("n"), (F.col("s_suppkey") % 12).cast("string")).alias("ref")), nodes, "ref")
