@@ -3,7 +3,8 @@
 A phrase belongs to its rarest word, its pivot. Around each word of a text the fragment is cut out in which it is the rarest: it ends at a piece's
 end, at a rarer word, at a word too rare to be in any phrase, and as many words away as a phrase can reach; to its left it ends at the
 same word, too, so each occurrence of a phrase is in one fragment, that of its first pivot. Fragments are routed to their pivot and mined
-there; a fragment yields only phrases that hold its pivot. A pivot of many occurrences is dealt in several parts, whose counts are added up afterwards.
+there; a fragment yields only phrases that hold its pivot. A pivot of more than HOT occurrences is dealt in parts of about so many, whose counts are
+added up afterwards. A task holds a block of whole parts.
 
 How rare words are is read from a table of a fixed number of cells, which sums what hashes to a cell: a word may count for more common than it
 is, never for less. So words are never wrongly dropped, and as all tasks hold the same table, a phrase has one pivot wherever it occurs.
@@ -23,20 +24,25 @@ from folioflow.session import cut, importable
 LONGEST, LEAST, COVERED, TOP = 3, 10, 50, 2000
 CELLS_LOG2 = 20
 HOT = 100_000
-SALTS = 64
+SHARES = 64
+BLOCK_BYTES = 4 << 20
 CUTS = b".,;:!?\n\x0b\x0c\r"
 
 CUT = np.zeros(256, bool)
 CUT[list(CUTS)] = True
 WORDY = ~CUT
 WORDY[[0x20, 0x09]] = False
+SPACED = np.ones(256, bool)
+SPACED[0x20] = False
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 SPLIT = r"[.,;:!?\x0A-\x0D\x20\x09]+"
 
 
-def _named(docs: DataFrame, text: str, lang: str) -> DataFrame:
-    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("t")).where("t is not null")
+def _named(docs: DataFrame, text: str, lang: str, key: str) -> DataFrame:
+    """lang, t, and a number that tells copies of a text apart, to deal hot words by."""
+    own = F.xxhash64(*([key] if key in docs.columns else []), text)
+    return docs.select(F.coalesce(F.col(lang).cast("string"), F.lit("und")).alias("lang"), F.col(text).alias("t"), own.alias("seed")).where("t is not null")
 
 
 def counted(own: DataFrame) -> DataFrame:
@@ -69,7 +75,7 @@ def rarity(words: DataFrame) -> np.ndarray:
 
 
 def fragments(data, at, langs, common: np.ndarray, longest: int, least: int):
-    """The normal text, and row, pivot's key, its occurrences, hash, words before the pivot, first and last byte of every fragment of several words."""
+    """The normal text, and row, pivot's key, its occurrences and place, words before it in the fragment, first and last byte of every fragment of several words."""
     starts, _, first = ts.words(data, at, WORDY)
     text, begin, end, _ = normal(np.where(CUT[data], np.uint8(0x20), data), at)
     n = len(starts)
@@ -96,38 +102,113 @@ def fragments(data, at, langs, common: np.ndarray, longest: int, least: int):
     at_pivot = np.flatnonzero(left + right)
     left, right = left[at_pivot], right[at_pivot]
     a, b = at_pivot - left, at_pivot + right
-    return flat, row[at_pivot], key[at_pivot], f[at_pivot], ts.Rolling(key).spans(a, b + 1), left, begin[a], end[b]
+    return flat, row[at_pivot], key[at_pivot], f[at_pivot], at_pivot - first[row[at_pivot]], left, begin[a], end[b]
 
 
-FRAGMENTS = "lang string, part long, split boolean, pos int, fragment string"
+def _strings(data: np.ndarray, a: np.ndarray, b: np.ndarray) -> pa.Array:
+    at = np.r_[0, np.cumsum(b - a)].astype(np.int32)
+    return pa.Array.from_buffers(pa.string(), len(a), [None, pa.py_buffer(at), pa.py_buffer(data[ts.ragged(a, b - a)])])
+
+
+FRAGMENTS = "lang string, part int, split boolean, pos int, fragment string"
 
 
 def _route(common, longest: int, least: int, hot: int):
     def run(batches):
         for batch in batches:
+            seeds = batch.column(2).to_numpy().view(ts.U64)
             for i, j, data, at in ts.groups(batch.column(1)):
                 langs = batch.column(0).slice(i, j - i)
-                flat, row, key, f, h, left, a, b = fragments(data, at, langs, common.value, longest, least)
-                salts = np.minimum(f // hot + 1, SALTS).astype(ts.U64)
-                part = ts.mix(key + (h % salts) * ts.U64(0x9E3779B97F4A7C15)).view(np.int64)
+                flat, row, key, f, place, left, a, b = fragments(data, at, langs, common.value, longest, least)
+                salts = (f // hot + 1).astype(ts.U64)
+                part = ts.mix(key + (ts.mix(seeds[i + row] + place.astype(ts.U64)) % salts) * ts.U64(0x9E3779B97F4A7C15)) >> ts.U64(32)
                 for lo in range(0, len(row), 50_000):
                     s = slice(lo, lo + 50_000)
-                    size = (b - a)[s]
-                    strings = pa.Array.from_buffers(pa.string(), len(size), [None, pa.py_buffer(np.r_[0, np.cumsum(size)].astype(np.int32)), pa.py_buffer(flat[ts.ragged(a[s], size)])])
-                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[s])), pa.array(part[s]), pa.array(salts[s] > 1), pa.array(left[s], pa.int32()), strings], names=["lang", "part", "split", "pos", "fragment"])
+                    yield pa.RecordBatch.from_arrays([langs.take(pa.array(row[s])), pa.array(part[s].astype(np.uint32).view(np.int32)), pa.array(salts[s] > 1), pa.array(left[s], pa.int32()), _strings(flat, a[s], b[s])], names=["lang", "part", "split", "pos", "fragment"])
+
+    return run
+
+
+def counted_grams(langs: np.ndarray, part: np.ndarray, split: np.ndarray, pos: np.ndarray, data: np.ndarray, at: np.ndarray, longest: int, least: int):
+    """row, first and last byte and occurrences of each phrase that holds its fragment's pivot; of parts that aren't split only those that occur least times.
+
+    Phrases are brought together by a hash, and each is compared with its first, byte for byte; those unlike it are counted by themselves.
+    """
+    starts, ends, first = ts.words(data, at, SPACED)
+    rolling, n_words = ts.Rolling(ts.hashes(data, starts, ends)), np.diff(first)
+    found = []
+    for n in range(2, longest + 1):
+        for d in range(n):
+            row = np.flatnonzero((pos >= d) & (pos - d + n <= n_words))
+            s = first[row] + pos[row] - d
+            found.append((row, starts[s], ends[s + n - 1], rolling.spans(s, s + n)))
+    row, a, b, h = (np.concatenate(x) for x in zip(*found, strict=True))
+    h = ts.mix(h + part[row].astype(np.int64).view(ts.U64))
+    order = np.argsort(h, kind="stable")
+    edge = np.flatnonzero(np.r_[True, h[order][1:] != h[order][:-1]]) if len(h) else np.zeros(0, np.int64)
+    many = np.diff(np.r_[edge, len(h)])
+    keep = (many >= least) | np.logical_or.reduceat(split[row[order]], edge) if len(h) else np.zeros(0, bool)
+    order, many = order[np.repeat(keep, many)], many[keep]
+    row, a, b = row[order], a[order], b[order]
+    head = np.r_[0, np.cumsum(many)[:-1]].astype(np.int64) if len(many) else np.zeros(0, np.int64)
+    of = np.repeat(head, many)
+    same = (part[row] == part[row[of]]) & (langs[row] == langs[row[of]]) & (b - a == (b - a)[of])
+    check = np.flatnonzero(same)
+    same[check] = ts.alike(data, a[check], data, a[of[check]], (b - a)[check])
+    count = np.add.reduceat(same.astype(np.int64), head) if len(head) else many
+    others: dict[tuple, list] = {}
+    for k in np.flatnonzero(~same).tolist():
+        others.setdefault((langs[row[k]], part[row[k]], data[a[k] : b[k]].tobytes()), [k, 0])[1] += 1
+    head = np.r_[head, np.array([k for k, _ in others.values()], np.int64)]
+    count = np.r_[count, np.array([c for _, c in others.values()], np.int64)]
+    fine = (count >= least) | split[row[head]]
+    head = head[fine]
+    return row[head], a[head], b[head], count[fine]
+
+
+def _mine(longest: int, least: int):
+    """Fragments come in order of their parts; a block of whole parts is mined at a time."""
+
+    def mine(held):
+        if not held:
+            return
+        t = pa.Table.from_batches(held).combine_chunks()
+        lang = t.column("lang").combine_chunks().dictionary_encode()
+        data, at = ts.flat(t.column("fragment"))
+        data, at = data[at[0] : at[-1]], at - at[0]
+        row, a, b, count = counted_grams(lang.indices.to_numpy(), *(t.column(c).to_numpy() for c in ("part", "split", "pos")), data, at, longest, least)
+        for lo in range(0, len(row), 50_000):
+            x = slice(lo, lo + 50_000)
+            yield pa.RecordBatch.from_arrays([lang.dictionary.take(lang.indices.take(pa.array(row[x]))), _strings(data, a[x], b[x]), pa.array(count[x], pa.int64())], names=["lang", "phrase", "a"])
+
+    def run(batches):
+        held, size = [], 0
+        for batch in batches:
+            if not len(batch):
+                continue
+            part = batch.column(1).to_numpy()
+            # up to the last part that surely ends in this batch
+            edge = np.flatnonzero(part[1:] != part[:-1]) + 1
+            if held and held[-1].column(1)[len(held[-1]) - 1].as_py() != part[0]:
+                edge = np.r_[0, edge]
+            own = batch.column(4).nbytes
+            if size + own >= BLOCK_BYTES and len(edge):
+                held.append(batch.slice(0, edge[-1]))
+                yield from mine([x for x in held if len(x)])
+                held, size, batch = [], 0, batch.slice(edge[-1])
+            held.append(batch)
+            size += own
+        yield from mine(held)
 
     return run
 
 
 def mined(own: DataFrame, words: DataFrame, longest: int = LONGEST, least: int = LEAST, hot: int = HOT) -> DataFrame:
-    """lang, phrase, a (its occurrences) of all phrases of 2 to longest words of own (lang, t) that occur least times; words as counted() gives them."""
+    """lang, phrase, a (its occurrences) of all phrases of 2 to longest words of own (lang, t, seed) that occur least times; words as counted() gives them."""
     common = own.sparkSession.sparkContext.broadcast(rarity(words))
-    routed = own.mapInArrow(_route(common, longest, least, hot), FRAGMENTS).repartition("part")
-    w, pos = F.split("fragment", " "), F.col("pos")
-    owned = [F.when((pos >= d) & (pos - d + n <= F.size(w)), F.array_join(F.slice(w, pos - d + 1, F.lit(n)), " ")) for n in range(2, longest + 1) for d in range(n)]
-    # the rows of a part are together already, so counting them by phrase shuffles nothing
-    local = routed.select("part", "lang", "split", F.explode(F.array_compact(F.array(*owned))).alias("phrase")).groupBy("part", "lang", "split", "phrase").agg(F.count(F.lit(1)).alias("a"))
-    return local.where(F.col("split") | (F.col("a") >= least)).groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
+    routed = own.mapInArrow(_route(common, longest, least, hot), FRAGMENTS).repartition("part").sortWithinPartitions("part")
+    local = routed.mapInArrow(_mine(longest, least), "lang string, phrase string, a long")
+    return local.groupBy("lang", "phrase").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
 def scored(phrases: DataFrame, words: DataFrame, longest: int = LONGEST, least: int = LEAST) -> DataFrame:
@@ -152,22 +233,22 @@ def uncovered(phrases: DataFrame, longest: int = LONGEST, covered: int = COVERED
     return phrases.join(most, ["lang", "phrase"], "left").where(F.coalesce(100 * F.col("longer") < covered * F.col("a"), F.lit(True))).drop("longer")
 
 
-def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP, hot: int = HOT) -> DataFrame:
+def collocations(docs: DataFrame, text: str = "text", lang: str = "lang", key: str = "doc_id", longest: int = LONGEST, least: int = LEAST, covered: int = COVERED, top: int = TOP, hot: int = HOT) -> DataFrame:
     """lang, rank, phrase, a, l, r, n, score: each language's top phrases of 2 to longest words that occur least times.
 
     A text's pieces end at . , ; : ! ? and line ends, words at blanks and tabs; A-Z count as a-z. l and r are the occurrences of the two
     sides of the lowest-scoring cut, n of all words of the language. A null language is 'und'; null, empty and blank texts have no words; repeated
     rows count as often as they occur. Ties go by more occurrences, then by phrase. Columns beside text and lang play no part, whatever their
-    names. An empty table gives none.
+    names; key only spreads copies of a text. An empty table gives none.
     """
     importable(docs.sparkSession)
-    own = _named(docs, text, lang)
+    own = _named(docs, text, lang, key)
     words = cut(counted(own))
     phrases = cut(mined(own, words, longest, least, hot))
     told = uncovered(scored(phrases, words, longest, least), longest, covered)
     order = [F.col("score").desc(), F.col("a").desc(), F.col("phrase")]
     # the best of a share of a language's phrases first, so that no task orders a language's whole list
-    first = told.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SALTS))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
+    first = told.withColumn("share", F.pmod(F.xxhash64("phrase"), F.lit(SHARES))).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "share").orderBy(*order))).where(F.col("rank") <= top)
     best = first.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order)).cast("long")).where(F.col("rank") <= top)
     totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
     return best.join(totals, "lang").select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
