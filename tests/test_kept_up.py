@@ -7,7 +7,7 @@ from datetime import UTC, datetime, timedelta
 import pytest
 from pyspark.sql import functions as F
 
-from folioflow.operators import chunking, graph, history, models, retrieval, stored
+from folioflow.operators import chunking, context, graph, history, lifecycle, models, overlays, retrieval, stored
 from folioflow.operators.inverted import InvertedIndex
 from folioflow.plans.stream_queries import _rocks
 from folioflow.session import shared_dir
@@ -190,3 +190,57 @@ def test_bundles(spark):
     spark.read.parquet(f"{out}/bundle/documents").limit(1).write.mode("append").parquet(f"{out}/bad/documents")
     with pytest.raises(ValueError, match="documents differ from the manifest"):
         bundles.verified(spark, f"{out}/bad")
+
+
+def test_collections_and_annotations(spark):
+    own = overlays.Collections(spark, shared_dir(spark)).create()
+    assert own.listed().collect() == []
+    own.put(spark.createDataFrame([("c1", "p", "one", 1), ("c2", "q", "two", 2)], "collection string, project string, name string, created_at long"))
+    docs = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "document long, project string")
+    add = lambda rows: own.add(spark.createDataFrame(rows, "collection string, document long, added_at long"), docs)
+    add([("c1", 1, 10), ("c1", 1, 9), ("c1", 3, 10), ("c1", 99, 10), ("none", 1, 10), ("c2", 3, 10)])
+    add([("c1", 1, 20), ("c1", 2, 20)])
+    assert {x.collection: x.members for x in own.listed().collect()} == {"c1": 2, "c2": 1}
+    assert {(x.document, x.added_at) for x in own.members.read().collect()} == {(1, 9), (2, 20), (3, 10)}
+    assert [(x.document, x.name) for x in own.of(docs.where("document < 2")).collect()] == [(1, "one")]
+    own.remove(spark.createDataFrame([("c1", 1), ("c2", 77)], "collection string, document long"))
+    own.delete(spark.createDataFrame([("c2",)], "collection string"))
+    assert [(x.collection, x.members) for x in own.listed().collect()] == [("c1", 1)] and own.members.read().count() == 1
+    notes = spark.createDataFrame([(1, 5, "comment", "x", 0, 3, 1), (2, 6, "note", "x", None, None, 1), (3, 5, "other", "x", 0, 3, 1), (4, 5, "note", "x", 3, 3, 1), (5, 5, None, "x", -1, 3, 1)], "annotation long, version long, kind string, content string, start int, stop int, created_at long")
+    got = {x.annotation: x.error for x in overlays.annotated(notes, spark.createDataFrame([(5,)], "version long")).collect()}
+    assert got == {1: None, 2: "unknown version", 3: "unknown kind", 4: "span is empty", 5: "unknown kind"}
+    refs = spark.createDataFrame([(1, "p", "a", 1, None, None), (2, "p", "a", 1, 2, 9), (3, "p", "a", 2, 1, 1), (4, "z", "a", 1, 1, 1), (5, "p", "a", 1, 0, 1)], "ref_id long, project string, path string, version int, first int, last int")
+    texts = spark.createDataFrame([("p", "a", 1, "one\ntwo\nthree")], "project string, path string, version int, text string")
+    assert {x.ref_id: x.content or x.error for x in overlays.resolved(refs, texts).collect()} == {1: "[p]\none\ntwo\nthree\n[end]", 2: "[p]\ntwo\nthree\n[end]", 3: "source not found", 4: "project z not found", 5: "no such lines"}
+
+
+def test_sessions_end_only_when_flushed(spark):
+    events = [("a", 1, 1, "start", None), ("a", 2, 2, "preflight", "read"), ("a", 3, 3, "delta", "file"), ("a", 4, 4, "finalize", None), ("a", 5, 5, "flush", None), ("a", 6, 6, "finalize", None), ("a", 7, 7, "delta", "file"), ("b", 1, 8, "start", None), ("b", 2, 9, "delta", "file"), ("b", 2, 10, "delta", None), ("c", 1, 11, "delta", "file"), ("b", 3, 12, "other", None)]
+    df = spark.createDataFrame(events, "session string, at long, seq long, kind string, detail string")
+    got = {x.session: (x.status, x.is_dirty, x.unflushed, x.dirty_reasons, x.last_preflight_action, x.last_flush_at, x.ended_at, x.blocked) for x in lifecycle.status(df).collect()}
+    assert got == {"a": ("finalized", False, 0, None, "read", 5, 6, 1), "b": ("active", True, 2, {"file": 1, "other": 1}, None, None, None, 0)}
+    free = {x.session: (x.status, x.ended_at, x.unflushed) for x in lifecycle.status(df, blocking=False).collect()}
+    assert free == {"a": ("finalized", 4, 1), "b": ("active", None, 2)}
+
+
+def test_entity_details(spark):
+    ents = spark.createDataFrame([(1, "t", "one"), (2, "t", "two"), (3, "t", "three")], "entity long, kind string, name string")
+    said = spark.createDataFrame([(1, "d1"), (1, "d2"), (2, "d1")], "entity long, document string")
+    edges = spark.createDataFrame([(1, 2, "uses"), (3, 1, "owns"), (2, 9, "uses")], "source long, target long, kind string")
+    heads, mentions, ways = graph.entity_detail(ents, said, edges, spark.createDataFrame([(1,), (3,), (1,), (77,)], "entity long"))
+    assert {(x.entity, x.mentions) for x in heads.collect()} == {(1, 2), (3, 0)} and mentions.count() == 2
+    assert {(x.entity, x.direction, x.kind, x.other_name) for x in ways.collect()} == {(1, "outgoing", "uses", "two"), (1, "incoming", "owns", "three"), (3, "outgoing", "owns", "one")}
+
+
+def test_context_of_projects(spark):
+    docs = [("p", k, f"T{k}", "note", f"---\ntitle: x\n---\n# Head\n\nBody {k}\n\n" + "word " * (150 if k == 3 else 5), k) for k in range(5)] + [(None, 9, "T", "note", "x", 9), ("q", 10, "T", None, None, 1)]
+    d = spark.createDataFrame(docs, "project string, id long, title string, doc_type string, text string, modified long")
+    r = spark.createDataFrame([("p", "decisions", 1, "use it"), ("p", "requirements", 2, None), ("p", "other", 3, "x")], "project string, section string, id long, text string")
+    p = spark.createDataFrame([("p", "the project"), ("q", None)], "project string, info string")
+    brief = context.context(p, d, r, "brief", budget=100).where("project = 'p'").orderBy("section", "place").collect()
+    assert [(x.section, x.id) for x in brief] == [("decisions", "1")] + [("documents", str(k)) for k in (4, 3, 2, 1, 0)] + [("requirements", "2")]
+    assert all(x.summary is None and x.content is None for x in brief if x.section == "documents")
+    full = context.context(p, d, r, "full", budget=190, since=2, limit=2).where("project = 'p' and section = 'documents'").orderBy("place").collect()
+    assert [x.id for x in full] == ["4", "3"] and full[0].content.startswith("# Head") and 0 < len(full[1].content.split()) < 153 and full[1].left_over >= 0
+    with pytest.raises(ValueError, match="detail"):
+        context.context(p, d, r, "none")
