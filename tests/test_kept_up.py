@@ -240,7 +240,7 @@ def test_context_of_projects(spark):
     brief = context.context(p, d, r, "brief", budget=100).where("project = 'p'").orderBy("section", "place").collect()
     assert [(x.section, x.id) for x in brief] == [("decisions", "1")] + [("documents", str(k)) for k in (4, 3, 2, 1, 0)] + [("requirements", "2")]
     assert all(x.summary is None and x.content is None for x in brief if x.section == "documents")
-    full = context.context(p, d, r, "full", budget=190, since=2, limit=2).where("project = 'p' and section = 'documents'").orderBy("place").collect()
+    full = context.context(p, d, r, "full", budget=150, since=2, limit=2).where("project = 'p' and section = 'documents'").orderBy("place").collect()
     assert [x.id for x in full] == ["4", "3"] and full[0].content.startswith("# Head") and 0 < len(full[1].content.split()) < 153 and full[1].left_over >= 0
     with pytest.raises(ValueError, match="detail"):
         context.context(p, d, r, "none")
