@@ -76,10 +76,21 @@ add("TXT6_personal_data", _by_kind(T.personal), _KINDS_SQL.replace("KINDS", "'em
 add("TXT7_scan_all", _by_kind(T.scan_all), _KINDS_SQL.replace("KINDS", "'api_key', 'bearer_token', 'password', 'email', 'phone', 'ssn'"))
 add("TXT8_redact_emails", lambda s, d: B.notes(s, d).select("doc_id", F.md5(F.regexp_replace("text", T.PERSONAL[0][1], "[REDACTED:email]")).alias("h")), NOTES + r"SELECT doc_id, md5(regexp_replace(text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}', '[REDACTED:email]', 'g')) AS h FROM notes")
 add("TXT9_sanitise_policy", lambda s, d: B.notes(s, d).select("doc_id", F.sha2(F.when(F.col("project") == "src1", T.redact(F.col("text"), True)).otherwise(T.redact(F.col("text"), False)), 256).alias("h")))
+_SECRET_SQL = "regexp_replace(regexp_replace(regexp_replace(text, '(?i)(?:sk|pk|gh[pousr]|api)[_-][A-Za-z0-9_-]{16,}', '[REDACTED:api_key]', 'g'), 'Bearer\\s+[A-Za-z0-9\\-._~+/]+=*(?:\\.[A-Za-z0-9\\-._~+/]+=*){1,2}', '[REDACTED:bearer_token]', 'g'), '(?i)(?:password|passwd|secret|private[_-]?key)\\s*[:=]\\s*[\"'']?([^\\s\"'']{8,})', '[REDACTED:password]', 'g')"
+_PERSONAL_SQL = "regexp_replace(regexp_replace(regexp_replace(" + _SECRET_SQL + ", '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\\.[A-Za-z]{2,}', '[REDACTED:email]', 'g'), '(^|[^\\d])(?:\\+1[-.\\s]?)?\\(?\\d{3}\\)?[-.\\s]?\\d{3}[-.\\s]?\\d{4}($|[^\\d])', '\\1[REDACTED:phone]\\2', 'g'), '(^|[^\\d])\\d{3}-\\d{2}-\\d{4}($|[^\\d])', '\\1[REDACTED:ssn]\\2', 'g')"
+S["TXT9_sanitise_policy"] = NOTES + "SELECT doc_id, sha256(CASE WHEN project = 'src1' THEN " + _PERSONAL_SQL + " ELSE " + _SECRET_SQL + " END) AS h FROM notes"
 add("TXT10_entities", _counted(T.entities, "name", "kind"))
+_ALIASES = "|".join(re.escape(a).replace("\\ ", "  ") for a in sorted(T.ALIASES, key=lambda a: (-len(a), a)))
+_NAMES = "MAP {" + ", ".join(f"'{a.replace(' ', '  ')}': '{name}'" for a, (name, _) in T.ALIASES.items()) + "}"
+#: Entities outside code fences; what is no part of a word is doubled, so that neighbours need not share it.
+ENTITIES = rf"""bare AS (SELECT doc_id, array_to_string(list_transform(range(1, len(p) + 1, 2), lambda i: p[i]), ' ``` ') AS t FROM (SELECT doc_id, string_split(text, '```') AS p FROM notes)),
+ent AS (SELECT doc_id, {_NAMES}[lower(raw)] AS name, 'technology' AS kind FROM (SELECT doc_id, unnest(regexp_extract_all(regexp_replace(t, '([^\p{{L}}\p{{N}}_])', '\1\1', 'g'), '(?i)(?:^|[^\p{{L}}\p{{N}}_])({_ALIASES})(?:$|[^\p{{L}}\p{{N}}_])', 1)) AS raw FROM bare)
+UNION ALL SELECT doc_id, lower(unnest(regexp_extract_all(t, '(?i)\b(?:\d{{4}}-\d{{2}}-\d{{2}}|(?:{T.MONTHS})\s+\d{{1,2}},\s+\d{{4}})\b'))), 'date' FROM bare)"""
+S["TXT10_entities"] = f"WITH {B.NOTES}, {ENTITIES} SELECT name, kind, count(*) AS n FROM ent GROUP BY ALL"
 add("TXT11_dates", lambda s, d: B.notes(s, d).select("doc_id", F.concat("text", F.lit("\nSince 2024-01-0"), (F.col("doc_id") % 9 + 1).cast("string"), F.lit(" and March 3, 2023.")).alias("t")).select(F.inline(T.entities(F.col("t")))).where("kind = 'date'").groupBy("name").agg(count_all().alias("n")), NOTES + r"SELECT lower(raw) AS name, count(*) AS n FROM (SELECT unnest(regexp_extract_all(text || chr(10) || 'Since 2024-01-0' || (doc_id % 9 + 1) || ' and March 3, 2023.', '(?i)(\d{4}-\d{2}-\d{2}|march\s+\d{1,2},\s+\d{4})', 1)) AS raw FROM notes) GROUP BY 1")
 add("TXT12_normalised_names", lambda s, d: table(s, d, "supplier").select("s_suppkey", T.normalised_name(F.concat(F.lit(" ."), F.when(F.col("s_suppkey") % 2 == 0, "Postgres").otherwise(F.col("s_name")), F.lit("!;"))).alias("name")), "SELECT s_suppkey, CASE WHEN s_suppkey % 2 = 0 THEN 'postgresql' ELSE lower(s_name) END AS name FROM supplier")
 add("TXT13_merged_entities", lambda s, d: B.notes(s, d).select("doc_id", T.entities(F.col("text")).alias("e")).select("doc_id", F.size(T.merged_entities(F.filter("e", lambda x: x["name"] == "redis"), F.col("e"))).cast("long").alias("n"), F.size("e").cast("long").alias("all")))
+S["TXT13_merged_entities"] = f'WITH {B.NOTES}, {ENTITIES} SELECT doc_id, count(name) AS n, count(name) AS "all" FROM notes LEFT JOIN ent USING (doc_id) GROUP BY doc_id'
 add("TXT14_markdown_links", lambda s, d: B.notes(s, d).select("doc_id", F.inline(T.markdown_links(F.col("text")))), NOTES + "SELECT doc_id, 'the guide' AS anchor, 'docs/g' || doc_id % 7 || '.md' AS target FROM notes")
 add("TXT15_path_references", lambda s, d: T.path_references(B.notes(s, d).withColumn("text", F.concat("text", F.lit("\nread docs/g"), (F.col("doc_id") % 7).cast("string"), F.lit(".md, twice"))), s.range(0, 4).select(F.concat(F.lit("docs/g"), F.col("id").cast("string"), F.lit(".md")).alias("path")), "doc_id", "text").select("doc_id", "target", "confidence"), NOTES + "SELECT doc_id, 'docs/g' || doc_id % 7 || '.md' AS target, 0.8::DOUBLE AS confidence FROM notes WHERE doc_id % 7 < 4")
 def _linked(s, d):
@@ -94,6 +105,16 @@ add("TXT18_requirements", lambda s, d: CD.requirements(B.notes(s, d), "doc_id",
 add("TXT18_modal_lines", lambda s, d: CD.requirements(B.notes(s, d), "doc_id", "text").groupBy("method", "priority").agg(count_all().alias("n")), NOTES + r"SELECT method, priority, count(*) AS n FROM (SELECT DISTINCT doc_id, 'regex_shall_must' AS method, t, CASE WHEN regexp_matches(lower(t), 'must|shall') THEN 'must' WHEN contains(lower(t), 'should') THEN 'should' WHEN regexp_matches(lower(t), 'could|may') THEN 'could' END AS priority FROM (SELECT doc_id, regexp_replace(unnest(regexp_extract_all(text, '(?im)^(.{0,20}(?:shall|must|should|will)\s+.{10,200})$', 1)), '^\s+|\s+$', '', 'g') AS t FROM notes) WHERE NOT ends_with(t, '?') AND NOT regexp_matches(t, '(?i)^(open question:|question:|todo:|tbd:)') AND NOT starts_with(t, 'REQ-') AND t <> 'The code in a fence must not be counted here' UNION ALL SELECT doc_id, 'regex_req_id', '', 'must' FROM notes) GROUP BY method, priority")
 add("TXT19_open_questions", lambda s, d: CD.questions(B.notes(s, d), "doc_id", "text").where("method = 'regex_todo_marker'").select("doc_id", "question", "confidence"), NOTES + "SELECT doc_id, 'decide about the quota ' || doc_id % 6 AS question, 0.9::DOUBLE AS confidence FROM notes")
 add("TXT19_question_lines", lambda s, d: CD.questions(B.notes(s, d), "doc_id", "text").groupBy("method", "context").agg(count_all().alias("n")))
+# lines outside fences: the question, its label taken off, and the line above; the first of each wording counts, marked ones before noted ones
+S["TXT19_question_lines"] = NOTES + r"""
+, l AS (SELECT doc_id, unnest(a) AS line, unnest(range(len(a))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS a FROM notes)),
+f AS (SELECT *, coalesce(sum((length(line) - length(replace(line, '```', ''))) // 3) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) % 2 = 1 AS fenced,
+  last_value(nullif(line, '') IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS above FROM l),
+q AS (SELECT doc_id, i, 0 AS k, regexp_extract(line, '^([^#`\n].{10,300}\?)\s*$', 1) AS raw, above FROM f WHERE NOT fenced
+  UNION ALL SELECT doc_id, i, 1, regexp_extract(line, '(?i)^(?:TODO|TBD|OPEN QUESTION|QUESTION)[:\s]+(.{5,300})$', 1), NULL FROM f WHERE NOT fenced),
+n AS (SELECT *, trim(regexp_replace(trim(raw), '(?i)^(?:open\s+question|question)[:\s]+', '')) AS question FROM q WHERE raw <> ''),
+u AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY doc_id, question ORDER BY k, i) = 1)
+SELECT CASE k WHEN 0 THEN 'regex_question_mark' ELSE 'regex_todo_marker' END AS method, nullif(trim(above), '') AS context, count(*) AS n FROM u GROUP BY ALL"""
 add("TXT20_code_fence", lambda s, d: B.notes(s, d).select("doc_id", X.in_fence(F.col("text"), F.instr("text", "The code in a fence")).alias("inside"), X.in_fence(F.col("text"), F.instr("text", "Should we move")).alias("outside")), NOTES + "SELECT doc_id, true AS inside, false AS outside FROM notes")
 add("TXT21_signatures", lambda s, d: table(s, d, "orders").select("o_orderkey", X.signature("o_orderstatus", "o_orderpriority", F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey").cast("string"))).alias("signature")), "SELECT o_orderkey, sha256(o_orderstatus || chr(10) || o_orderpriority || chr(10) || CASE WHEN o_orderkey % 2 = 0 THEN CAST(o_custkey AS VARCHAR) ELSE '' END) AS signature FROM orders")
 add("TXT22_content_hash", lambda s, d: B.documents(s, d).select("doc_id", X.content_hash(F.col("text")).alias("hash")), "SELECT doc_id, 'sha256:' || sha256(text) AS hash FROM documents")
