@@ -18,6 +18,7 @@ from folioflow.functions import text as X
 from folioflow.operators import context, graph, history, insights, retrieval
 from folioflow.operators import textetl as T
 
+# The modes, fields and limits of a search request.
 MODES = ("find_docs", "ask_question", "find_decisions", "search_history", "compare_over_time")
 
 

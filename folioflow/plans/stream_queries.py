@@ -34,6 +34,7 @@ def _events(s, d):
 
 
 GAP = 1800_000_000
+SLICES = 3
 add("STR1_debounce", lambda s, d: T.debounced(table(s, d, "events").withColumn("ts", F.col("ts").cast("timestamp")), "user_id", "ts", "30 minutes").select("user_id", "n", B.micros("first").alias("first"), B.micros("last").alias("last")), f"WITH e AS (SELECT user_id, epoch_us(ts) AS t, lag(epoch_us(ts)) OVER w AS b FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT user_id, t, sum(CASE WHEN b IS NULL OR t - b > {GAP} THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY t) AS k FROM e) SELECT user_id, count(*) AS n, min(t) AS first, max(t) AS last FROM g GROUP BY user_id, k")
 add("STR2_change_only", lambda s, d: T.changed(_events(s, d), "user_id", ["at_us", "event_id"], "event_type"), "WITH c AS (SELECT user_id, event_id, event_type, epoch_us(ts) AS at_us, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS b FROM events) SELECT user_id, event_id, event_type, at_us FROM c WHERE b IS DISTINCT FROM event_type")
 RATE = "WITH RECURSIVE e AS (SELECT user_id, event_id, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events), f AS (SELECT user_id, k, [t] AS w, true AS ok FROM e WHERE k = 1 UNION ALL SELECT e.user_id, e.k, CASE WHEN len(list_filter(f.w, lambda x: x > e.t - 86400000000)) < 2 THEN list_append(list_filter(f.w, lambda x: x > e.t - 86400000000), e.t) ELSE f.w END, len(list_filter(f.w, lambda x: x > e.t - 86400000000)) < 2 FROM f JOIN e ON e.user_id = f.user_id AND e.k = f.k + 1)"
@@ -98,15 +99,16 @@ add("STR3_queue_poll", lambda s, d: T.polled(_jobs(s, d), "pool", ["priority", "
 
 
 def _poll_stream(s, d):
-    """The queue as a stream of job files: what polls hand to the worker, until nothing is queued."""
+    """The queue as a stream of jobs that come in three parts: what each poll hands to the worker, and in which order."""
     out = shared_dir(s)
-    _jobs(s, d).repartition(4, "job_id").write.parquet(f"{out}/queue")
-    queue = s.readStream.schema(_jobs(s, d).schema).option("maxFilesPerTrigger", 1).parquet(f"{out}/queue")
-    T.poll_stream(queue, lambda df, n: df.withColumn("status", F.lit("running")).write.mode("overwrite").parquet(f"{out}/done/poll={n}"), f"{out}/state").awaitTermination()
-    return s.read.parquet(f"{out}/done").groupBy("pool", "status").agg(count_all().alias("n"))
+    for k in range(SLICES):
+        _jobs(s, d).where(f"job_id % {SLICES} = {k}").write.mode("append").parquet(f"{out}/queue")
+        queue = s.readStream.schema(_jobs(s, d).schema).parquet(f"{out}/queue")
+        T.poll_stream(queue, lambda df, n: df.withColumn("status", F.lit("running")).write.mode("overwrite").parquet(f"{out}/done/poll={n}"), f"{out}/state").awaitTermination()
+    return s.read.parquet(f"{out}/done").select("poll", "pool", "place", "job_id", "status")
 
 
-add("STR3_queue_poll_stream", _poll_stream, f"WITH {JOBS} SELECT pool, 'running' AS status, count(*) AS n FROM jobs WHERE status = 'queued' GROUP BY pool")
+add("STR3_queue_poll_stream", _poll_stream, f"WITH {JOBS} SELECT (job_id % 3)::INTEGER AS poll, pool, row_number() OVER (PARTITION BY job_id % 3, pool ORDER BY priority, created_at, job_id)::INTEGER AS place, job_id, 'running' AS status FROM jobs WHERE status = 'queued'")
 
 
 def _polls(s, d):
@@ -117,7 +119,6 @@ def _polls(s, d):
 add("STR9_snapshot_push", lambda s, d: T.pushed(_polls(s, d), "conv_id", ["turn"], ["role", "long"]).select("conv_id", "turn", "payload"), "WITH p AS (SELECT conv_id, turn, '{\"role\":\"' || role || '\",\"long\":' || CASE WHEN length(text) > 200 THEN 'true' ELSE 'false' END || '}' AS payload FROM conversations) SELECT conv_id, turn, payload FROM p QUALIFY lag(payload) OVER (PARTITION BY conv_id ORDER BY turn) IS DISTINCT FROM payload")
 
 
-SLICES = 3
 LATE = 3600_000_000
 
 

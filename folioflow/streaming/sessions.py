@@ -120,12 +120,14 @@ def polled(queue: DataFrame, by: str, order: list, worker: str | None = None) ->
     return taken.withColumn("status", F.lit("running")) if worker is None else taken.withColumn("status", F.lit("running")).withColumn("worker", F.lit(worker))
 
 
-def poll_stream(queue: DataFrame, sink: Callable, checkpoint: str, every: str | None = None):
-    """The poll loop as a stream: each trigger hands the queued jobs that came since the last one to sink, most urgent first.
+def poll_stream(queue: DataFrame, sink: Callable, checkpoint: str, every: str | None = None, by: str = "pool"):
+    """The poll loop as a stream: each trigger hands the queued jobs that came since the last one to sink, with place: their turn in their queue (by).
 
-    Without every it takes what is there and ends; with it, it polls at that pace until it is stopped.
+    The most urgent come first, then the older ones; places are told for each queue, so no trigger's jobs are sorted as a whole. Without every it takes
+    what is there and ends; with it, it polls at that pace until it is stopped.
     """
-    work = lambda df, n: sink(df.where("status = 'queued'").orderBy("priority", "created_at", "job_id"), n)
+    turn = Window.partitionBy(by).orderBy("priority", "created_at", "job_id")
+    work = lambda df, n: sink(df.where("status = 'queued'").withColumn("place", F.row_number().over(turn)), n)
     writer = queue.writeStream.foreachBatch(work).option("checkpointLocation", checkpoint)
     return (writer.trigger(processingTime=every) if every else writer.trigger(availableNow=True)).start()
 
