@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 STATUSES = ("queued", "running", "completed", "failed", "skipped")
@@ -29,5 +29,7 @@ def counters(rows: DataFrame, by: str, reason: str) -> DataFrame:
 def flush_summary(deltas: DataFrame, by: str, seq: str, kind: str, value: str, n: int = 10) -> DataFrame:
     """Counts and the first n distinct values of each kind in the order first seen."""
     first = deltas.groupBy(by, kind, value).agg(F.min(seq).alias("_s"), F.count(F.lit(1)).alias("_n"))
-    listed = F.slice(F.transform(F.array_sort(F.collect_list(F.struct(F.col("_s"), F.col(value).alias("v")))), lambda x: x.v), 1, n)
-    return first.groupBy(by, kind).agg(F.sum("_n").alias("n"), listed.alias("values"))
+    seen = first.withColumn("_r", F.row_number().over(Window.partitionBy(by, kind).orderBy("_s", value)))
+    # only the first n are gathered
+    few = F.array_sort(F.collect_list(F.when(F.col("_r") <= n, F.struct("_r", F.col(value).alias("v")))))
+    return seen.groupBy(by, kind).agg(F.sum("_n").alias("n"), F.transform(few, lambda x: x.v).alias("values"))

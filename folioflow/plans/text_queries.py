@@ -14,6 +14,7 @@ from folioflow.operators import context as C
 from folioflow.operators import textetl as T
 from folioflow.plans import bindings as B
 from folioflow.sources.tables import table
+from folioflow.streaming.sessions import within_budget
 
 Q: dict = {}
 S: dict[str, str] = {}
@@ -259,9 +260,9 @@ add("RET10_citation_indices", lambda s, d: table(s, d, "part").select("p_partkey
 
 def _budget(s, d):
     """Lines of an order taken in order while their quantities fit a budget of 60."""
-    lines = table(s, d, "lineitem").select("l_orderkey", F.struct(F.col("l_linenumber").alias("line"), F.col("l_partkey").alias("part"), F.col("l_quantity").cast("int").alias("size")).alias("x"))
-    items = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_list("x")).alias("i"))
-    return items.select("l_orderkey", T.greedy_fit(F.col("i"), 60).alias("t")).select("l_orderkey", F.size("t").cast("long").alias("n"), F.aggregate("t", F.lit(0), lambda a, x: a + x["size"]).cast("long").alias("used"))
+    lines = table(s, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").cast("int").alias("size"))
+    taken = within_budget(lines, ["l_orderkey"], ["l_linenumber", "l_partkey", "size"], "size", 60).groupBy("l_orderkey").agg(count_all().alias("n"), F.sum("size").alias("used"))
+    return lines.select("l_orderkey").distinct().join(taken, "l_orderkey", "left").select("l_orderkey", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("used", F.lit(0)).alias("used"))
 
 
 #: A greedy fold over items (g, k, size) numbered from 1 in each group, with budgets (g, budget): what is left after each, and whether it was taken.

@@ -58,8 +58,8 @@ def changed_stream(events: DataFrame, key: str, order: list[str], state: str) ->
     return events.groupBy(key).transformWithStateInPandas(Last(), outputStructType=events.schema, outputMode="Append", timeMode="None")
 
 
-def folded(events: DataFrame, keys: list[str], order: list[str], start: Callable, column: str) -> DataFrame:
-    """events with a boolean column: start() gives a key's fold, a function of the first order column's value, called for each event in order.
+def folded(events: DataFrame, keys: list[str], order: list[str], start: Callable, column: str, value: str | None = None) -> DataFrame:
+    """events with a boolean column: start() gives a key's fold, a function of value (the first order column if none is named), called for each event in order.
 
     Events come sorted and stream through the fold, so a task holds one batch and the state of one key, however many events a key has.
     """
@@ -69,7 +69,7 @@ def folded(events: DataFrame, keys: list[str], order: list[str], start: Callable
         for batch in batches:
             own = [batch.column(batch.schema.get_field_index(k)).to_pylist() for k in keys]
             out = []
-            for *key, at in zip(*own, batch.column(batch.schema.get_field_index(order[0])).to_pylist(), strict=True):
+            for *key, at in zip(*own, batch.column(batch.schema.get_field_index(value or order[0])).to_pylist(), strict=True):
                 if step is None or key != last:
                     last, step = key, start()
                 out.append(step(at))
@@ -113,6 +113,23 @@ def first_in_ttl(events: DataFrame, keys: list[str], at: str, order: str, micros
     return folded(events, keys, [at, order], start, "fresh").where("fresh").select(*keys, order)
 
 
+def within_budget(rows: DataFrame, keys: list[str], order: list[str], size: str, budget: int) -> DataFrame:
+    """The rows of each key that are taken in order while their sizes fit the budget; one that does not fit is passed over, the next one may."""
+
+    def start() -> Callable:
+        left = [budget]
+
+        def step(n: int | None) -> bool:
+            fine = n is not None and 0 < left[0] >= n
+            if fine:
+                left[0] -= n
+            return fine
+
+        return step
+
+    return folded(rows, keys, order, start, "_fits", size).where("_fits").drop("_fits")
+
+
 def polled(queue: DataFrame, by: str, order: list, worker: str | None = None) -> DataFrame:
     """What a worker's poll takes of each queue (by): the first queued job by order, one a poll."""
     first = Window.partitionBy(by).orderBy(*order)
