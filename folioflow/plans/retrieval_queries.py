@@ -28,11 +28,18 @@ def _queries(s, d):
 _STORED: dict = {}
 
 
+def _there(s, kept) -> bool:
+    """Whether the files of something kept are still in the shared folder."""
+    files = [kept] if isinstance(kept, str) else [kept.folder] if isinstance(kept, R.InvertedIndex) else kept.inputFiles()[:1]
+    path = lambda f: s._jvm.org.apache.hadoop.fs.Path(f)
+    return all(path(f).getFileSystem(s._jsc.hadoopConfiguration()).exists(path(f)) for f in files)
+
+
 def _stored(s, d, what, make):
     """What is derived from the documents and kept. The first query of a session that asks for it makes it, the others read it; other files are another
-    corpus."""
+    corpus, and what is gone from the shared folder is made again."""
     corpus = (what, s.sparkContext.applicationId, *sorted(table(s, d, "documents").inputFiles()))
-    if corpus not in _STORED:
+    if corpus not in _STORED or not _there(s, _STORED[corpus]):
         _STORED[corpus] = make()
     return _STORED[corpus]
 
