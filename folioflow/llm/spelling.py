@@ -80,6 +80,8 @@ class Shard:
 
     def near(self, u: str):
         """Each word with its n that one change makes of u, once, unless the other kind of shard finds it."""
+        if not len(self.automaton):  # a block that no word was dealt to
+            return
         heads, tails, size = [], [], len(u)
         for end, p in self.automaton.iter(u):
             if end + 1 == len(p):  # at offset 0

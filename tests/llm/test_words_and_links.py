@@ -118,7 +118,7 @@ def near_words(c) -> dict:
 def test_op13(spark, options):
     """Words from few letters, so that many share halves, and some that lead to each other in chains."""
     r = random.Random(3)
-    make = lambda: "".join(r.choices("abéX", k=r.randrange(4, 9)))
+    make = lambda: "".join(r.choices(r.choice(["abé", "abé", "abéX"]), k=r.randrange(4, 8)))
     some = [make() for _ in range(250)] + ["aaaaa", "ééééé", "abababab", "ÿÿÿÿÿ"]
     texts = {i: " ".join(r.choices(some, weights=[1 + k % 40 for k in range(len(some))], k=120)) + "\naaaaa2aaaaa-Aaaaa" for i in range(60)} | {60: None, 61: "", 62: " !", 63: "zzzzz " * 99 + "zzzzy " * 30 + "zzzyy " * 9}
     docs = spark.createDataFrame(list(texts.items()), "doc_id long, text string")
@@ -133,7 +133,7 @@ def test_op13(spark, options):
 
     got = {x.word: (x.form, x.root, x.n, x.n_near, x.form_n) for x in spelling.variants(docs, **options).collect()}
     assert got == {w: (form.get(w), root(w), n, len(near[w]), c.get(form.get(w))) for w, n in c.items()}
-    assert any(root(w) != form[w] for w in form) and max(map(len, near.values())) > 8
+    assert any(root(w) != form[w] for w in form) and max(map(len, near.values())) > 5
 
 
 def plain_collocations(docs: list, longest: int, least: int, covered: int, top: int) -> set:
