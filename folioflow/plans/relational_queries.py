@@ -267,13 +267,13 @@ add("PRJ6_citations_resolved", _cited, "WITH r AS (SELECT doc_id AS ref_id, sour
 
 
 def _entity_details(s, d):
-    """Suppliers as entities, mentioned by line items and joined by shared nations; the wanted are those of three nations."""
+    """Suppliers as entities, mentioned by line items and joined in a tree; the wanted are those of every third nation."""
     ents = table(s, d, "supplier").select(F.col("s_suppkey").alias("entity"), F.lit("supplier").alias("kind"), F.col("s_name").alias("name"))
     said = table(s, d, "lineitem").select(F.col("l_suppkey").alias("entity"), "l_orderkey")
     edges = table(s, d, "supplier").where("s_suppkey > 1").select(F.col("s_suppkey").alias("source"), F.floor(F.col("s_suppkey") / 2).cast("long").alias("target"), F.lit("above").alias("kind"))
-    heads, _, ways = G.entity_detail(ents, said, edges, table(s, d, "supplier").where("s_nationkey < 3").select(F.col("s_suppkey").alias("entity")))
+    heads, _, ways = G.entity_detail(ents, said, edges, table(s, d, "supplier").where("s_nationkey % 3 = 0").select(F.col("s_suppkey").alias("entity")))
     n = ways.groupBy("entity").agg(F.count_if(F.col("direction") == "outgoing").alias("out"), F.count_if(F.col("direction") == "incoming").alias("in"), F.max("other_name").alias("last"))
     return heads.join(n, "entity", "left").select("entity", "name", "mentions", F.coalesce("out", F.lit(0).cast("long")).alias("n_out"), F.coalesce("in", F.lit(0).cast("long")).alias("n_in"), "last")
 
 
-add("GRF1_entity_details", _entity_details, "WITH w AS (SELECT s_suppkey AS e, s_name AS name FROM supplier WHERE s_nationkey < 3), m AS (SELECT l_suppkey AS e, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier WHERE s_suppkey > 1), x AS (SELECT a AS e, b AS o, 1 AS k FROM g UNION ALL SELECT b, a, 0 FROM g), y AS (SELECT e, count(*) FILTER (WHERE k = 1) AS n_out, count(*) FILTER (WHERE k = 0) AS n_in, max(s_name) AS last FROM x LEFT JOIN supplier ON s_suppkey = o GROUP BY e) SELECT w.e AS entity, name, coalesce(n, 0) AS mentions, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, last FROM w LEFT JOIN m USING (e) LEFT JOIN y USING (e)")
+add("GRF1_entity_details", _entity_details, "WITH w AS (SELECT s_suppkey AS e, s_name AS name FROM supplier WHERE s_nationkey % 3 = 0), m AS (SELECT l_suppkey AS e, count(*) AS n FROM lineitem GROUP BY 1), g AS (SELECT s_suppkey AS a, s_suppkey // 2 AS b FROM supplier WHERE s_suppkey > 1), x AS (SELECT a AS e, b AS o, 1 AS k FROM g UNION ALL SELECT b, a, 0 FROM g), y AS (SELECT e, count(*) FILTER (WHERE k = 1) AS n_out, count(*) FILTER (WHERE k = 0) AS n_in, max(s_name) AS last FROM x LEFT JOIN supplier ON s_suppkey = o GROUP BY e) SELECT w.e AS entity, name, coalesce(n, 0) AS mentions, coalesce(n_out, 0) AS n_out, coalesce(n_in, 0) AS n_in, last FROM w LEFT JOIN m USING (e) LEFT JOIN y USING (e)")
