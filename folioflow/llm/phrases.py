@@ -2,8 +2,9 @@
 
 The strips framework deals every stretch of text that may recur by its mark. A shard gives its words exact numbers, confirms which
 passages recur, word for word, in several documents, and compiles them into Aho-Corasick automata of at most PATTERNS passages each: a mark's only
-strip is one passage, else each recurring window is. Then all stretches of all documents stream through the shard's automata, and every
-occurrence in a document after the passage's first is removed.
+strip is one passage, else each recurring window is. Then the stretches that were dealt stream through the shard's automata, and every
+occurrence in a document after the passage's first is removed. Copies of a frequent stretch that its task had sent before are settled by the framework, symbol
+for symbol, and don't come here.
 """
 
 from __future__ import annotations
