@@ -7,24 +7,29 @@ overflows is thinned the same way. Upper layers hold every 16th node of the laye
 with -1. For the largest inner product, vectors of a shard get one more component that makes their norms equal, and queries a zero.
 
 Queries go to the shards in blocks of at most QUERY_BLOCK vectors; in a shard all queries of a slice walk the graph in
-lockstep. The scores of what they find are inner products of the original vectors in double precision, added in order of components.
+lockstep. How wide the walk is, is measured in each shard and for each block: the nearest nodes of PROBES of the queries are told by brute force, and the beam
+is widened from LEAST on until walks find TARGET of them, so alike vectors cost little and unlike ones are still found; shards of at most SMALL nodes
+start at WIDTH. The scores of what they find are inner products of the original vectors in double precision, added in order of components.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from folioflow.llm.textscan import ragged
+from folioflow.llm.textscan import U64, mix, ragged, seeded
 from folioflow.session import cut, importable
 
 SHARD = 1 << 14
 LINKS, UPPER_LINKS, STEP = 40, 16, 16
 CANDIDATES = 64
-WIDTH, EXPAND = 320, 8
+LEAST, WIDTH, EXPAND = 64, 320, 8
+SMALL, PROBES, TARGET = 1 << 12, 64, 0.98
 QUERY_BLOCK = 1 << 16
 SLICE = 512
 
@@ -124,6 +129,20 @@ class Graph:
             out[i : i + len(q), : got.shape[1]] = got
         return out
 
+    def width(self, queries: np.ndarray, k: int, least: int) -> int:
+        """The narrowest beam, each half as wide again as the one before, in which walks from these queries find TARGET of their k nearest nodes."""
+        n = len(self.x)
+        k, w = min(k, n), max(k, least)
+        sims = queries @ self.x[:, :-1].T
+        kth = np.partition(sims, n - k, axis=1)[:, n - k :].min(1, keepdims=True)
+        while w < n:
+            got = self.search(queries, w)
+            found = (got >= 0) & (np.take_along_axis(sims, np.maximum(got, 0), 1) >= kth)
+            if np.minimum(found.sum(1), k).sum() >= TARGET * k * len(queries):
+                return w
+            w += w // 2
+        return n
+
     def _walk(self, q: np.ndarray, start: np.ndarray, lists: np.ndarray, width: int) -> np.ndarray:
         n, rows = len(lists), np.arange(len(q))
         seen = np.zeros((len(q), n + 1), bool)
@@ -174,7 +193,12 @@ def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
     return out
 
 
-BUILT = "dim int, shard int, n int, vectors binary, ids binary, counts binary, layers array<binary>, links array<int>"
+def share(k: int, shards: int) -> int:
+    """How many of the k nearest one of so many shards holds at most: the mean and three deviations, as a hash deals them."""
+    return min(k, math.ceil(k / shards + 3 * (k / shards * (1 - 1 / shards)) ** 0.5))
+
+
+BUILT = "dim int, shard int, shards int, n int, vectors binary, ids binary, counts binary, layers array<binary>, links array<int>"
 
 
 def _build(table: pa.Table) -> pa.Table:
@@ -185,8 +209,8 @@ def _build(table: pa.Table) -> pa.Table:
     ids = [ids[i] for i in order]
     g = Graph(v)
     one = lambda x, kind: pa.array([x], kind)
-    cols = [one(dim, pa.int32()), one(shard, pa.int32()), one(len(v), pa.int32()), one(v.tobytes(), pa.binary()), one(np.array([i for x in ids for i in x], np.int64).tobytes(), pa.binary()), one(np.array([len(x) for x in ids], np.int32).tobytes(), pa.binary()), one([f.tobytes() for f in g.flat], pa.list_(pa.binary())), one([f.shape[1] for f in g.flat], pa.list_(pa.int32()))]
-    return pa.Table.from_arrays(cols, names=["dim", "shard", "n", "vectors", "ids", "counts", "layers", "links"])
+    cols = [one(dim, pa.int32()), one(shard, pa.int32()), one(table.column("shards")[0].as_py(), pa.int32()), one(len(v), pa.int32()), one(v.tobytes(), pa.binary()), one(np.array([i for x in ids for i in x], np.int64).tobytes(), pa.binary()), one(np.array([len(x) for x in ids], np.int32).tobytes(), pa.binary()), one([f.tobytes() for f in g.flat], pa.list_(pa.binary())), one([f.shape[1] for f in g.flat], pa.list_(pa.int32()))]
+    return pa.Table.from_arrays(cols, names=["dim", "shard", "shards", "n", "vectors", "ids", "counts", "layers", "links"])
 
 
 def valid(df: DataFrame, key: str, vector: str) -> DataFrame:
@@ -209,7 +233,7 @@ def build(vectors: DataFrame, keep: int, shard: int = SHARD) -> DataFrame:
     nodes = first.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).withColumn("h", F.xxhash64("v")).withColumn("dim", F.size("v"))
     nodes = cut(nodes)
     shards = max(1, -(-nodes.count() // shard))
-    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(shards)).cast("int"))
+    dealt = nodes.withColumn("shard", F.pmod(F.xxhash64(F.lit(7), "h"), F.lit(shards)).cast("int")).withColumn("shards", F.lit(shards))
     return cut(dealt.groupBy("dim", "shard").applyInArrow(_build, BUILT))
 
 
@@ -229,7 +253,9 @@ def _searcher(block, k: int, keep: int):
                 at = np.cumsum(counts) - counts
                 g = Graph(x, [np.frombuffer(b, np.int32).reshape(-1, w) for b, w in zip(row["layers"], row["links"], strict=True)])
                 q = flat[ragged(places[pick], sizes[pick])].reshape(len(pick), row["dim"])
-                got = g.search(q.astype(np.float32), max(WIDTH, 4 * k))
+                q32 = q.astype(np.float32)
+                probes = q32[np.argsort(mix((q.view(U64) * seeded(row["dim"], 5)).sum(1)), kind="stable")[:PROBES]]
+                got = g.search(q32, g.width(probes, share(keep, row["shards"]), max(WIDTH, 4 * k) if row["n"] <= SMALL else max(LEAST, 2 * keep)))
                 a, c = np.nonzero(got >= 0)
                 node = got[a, c]
                 score = exact(q[a], x[node])

@@ -256,6 +256,17 @@ def test_recall_of_full_shards(spark):
     assert recall(spark, rng.normal(size=(3_000, 24)) * rng.lognormal(size=(3_000, 1)), pa.float64(), shard=800) >= 0.9
 
 
+def test_beam_follows_the_data(spark):
+    """Random vectors of many components need a wider beam than WIDTH for 0.9; vectors of few get along with a narrow one, also where shards share the nearest."""
+    rng = np.random.default_rng(4)
+    hard = rng.normal(size=(8_000, 192)) * np.exp(rng.normal(size=(8_000, 1)) * 0.3)
+    assert recall(spark, hard, pa.float32()) >= 0.95
+    easy = rng.normal(size=(6_000, 8)).astype(np.float32)
+    graph = neighbours.Graph(easy[:5_000])
+    assert graph.width(easy[5_000:5_064], neighbours.share(21, 4), neighbours.LEAST) < neighbours.WIDTH / 2
+    assert [neighbours.share(21, n) for n in (1, 4, 100)] == [21, 12, 2]
+
+
 def test_neighbour_ties(spark):
     """Equal vectors and equal scores: the smaller id first, and all of them found."""
     rows = [(i, [1.0, 0.0]) for i in range(40)] + [(100 + i, [0.5, float(i % 2)]) for i in range(6)] + [(200, None), (None, [1.0, 1.0]), (7, [1.0, 0.0])]
