@@ -22,7 +22,7 @@ from folioflow.llm import textscan as ts
 from folioflow.session import cut, fields, importable, plain_names
 
 WINDOW = 10
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 18
 SAMPLE = 16
 BLOCK_BYTES = 8 << 20
 
@@ -231,6 +231,7 @@ def _mapper(box, shard_words: int, text_at: int, width: int, finish):
                 yield finish(pa.RecordBatch.from_arrays(batch.columns[:width], names=batch.schema.names[:width]), own)
             parts.clear()
             held.clear()
+            ts.give_back()
 
         for batch in batches:
             for i, j, data, at in ts.groups(batch.column(text_at)):

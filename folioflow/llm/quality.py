@@ -215,6 +215,7 @@ class Classifier:
                     part = batch.slice(i, j - i)
                     p = probability(model, features(part.column(at), vectors, index))
                     yield pa.RecordBatch.from_arrays([*part.columns, pa.array(p, pa.float64())], names=[*part.schema.names, "score"])
+            ts.give_back()
 
         found = plain.mapInArrow(run, f"{fields(plain)}, score double")
         return found.select(*[F.col(f"c{i}").alias(n) for i, n in enumerate(names) if n.lower() != name.lower()], F.col("score").alias(name))

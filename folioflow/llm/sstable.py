@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folioflow.llm import bpe
+from folioflow.llm.textscan import give_back
 from folioflow.session import importable, shared_dir
 
 BLOCK = 1 << 16
@@ -217,6 +218,7 @@ def _writer(folder: str, vocabulary: str, end: int, key: str, text: str):
             if files.get_file_info(name).type != fs.FileType.NotFound:
                 files.delete_file(name)
             files.move(part, name)
+            give_back()
             yield pa.RecordBatch.from_pydict({"shard": [shard], "path": [f"{folder}/shard-{shard:06d}.sst"], "n_docs": [rows], "n_ids": [writer.ids]}, schema=pa.schema([("shard", pa.int32()), ("path", pa.string()), ("n_docs", pa.int64()), ("n_ids", pa.int64())]))
 
     return run

@@ -6,6 +6,8 @@ multi-byte character is a word byte, so byte-wise and character-wise words are t
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -76,6 +78,13 @@ class Rolling:
         return mix((self.sums[k:] - self.sums[:m]) * self.inverse[:m])
 
 
+def give_back() -> None:
+    """What was freed goes back to the system: a Python worker stays for the next stage, and would hold it beside what that stage needs."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):  # glibc
+        trim(0)
+
+
 def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets of a string column; null is empty."""
     if isinstance(column, pa.ChunkedArray):

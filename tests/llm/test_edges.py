@@ -233,6 +233,23 @@ def test_language_scores(spark, odd, monkeypatch):
     assert {x.lang_pred for x in got.where("trim(coalesce(text, '')) in ('', '\n')").collect()} == {"und"}
 
 
+def test_memory_of_decontamination():
+    """What a worker holds at once stays small beside an executor, however many words its task reads."""
+    import tracemalloc
+    from types import SimpleNamespace
+
+    phrases = decontaminate.Phrases([(1, "one two three four five six seven eight nine ten eleven")], decontaminate.WINDOW)
+    text = " ".join(f"w{i % 997} one two three" for i in range(500))
+    batches = (pa.RecordBatch.from_pydict({"c0": [text] * 50}) for _ in range(12))
+    run = decontaminate._mapper(SimpleNamespace(value=phrases), decontaminate.SHARD_WORDS, 0, 1, decontaminate._added)
+    tracemalloc.start()
+    try:
+        assert sum(len(b) for b in run(batches)) == 600
+        assert tracemalloc.get_traced_memory()[1] < 64 << 20
+    finally:
+        tracemalloc.stop()
+
+
 def recall(spark, vectors, kind, **options):
     df = spark.createDataFrame(pa.table({"id": pa.array(range(len(vectors)), pa.int64()), "v": pa.array(vectors.tolist(), pa.list_(kind))}))
     rows = neighbours.valid(df, "id", "v")
